@@ -13,3 +13,15 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.encode import encode_corpus
 
     return encode_corpus(_table(spark, folder, "documents"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.split import split_units
+
+    return split_units(_table(spark, folder, "units"), _table(spark, folder, "unit_limits")).where("piece_no = 1").select("unit_id", "boundary")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.split import split_units
+
+    return split_units(_table(spark, folder, "units"), _table(spark, folder, "unit_limits"))
