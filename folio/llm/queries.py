@@ -25,3 +25,17 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.split import split_units
 
     return split_units(_table(spark, folder, "units"), _table(spark, folder, "unit_limits"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from folio.llm.forms import consistent_text
+
+    return consistent_text(_table(spark, folder, "documents"), only_changed=True).select("doc_id", F.explode("forms").alias("form")).distinct()
+
+
+def p8_text(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.forms import consistent_text
+
+    return consistent_text(_table(spark, folder, "documents"))

@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+
+def _most(pattern: str, text: str = "text") -> str:
+    return f"list_max(list_transform(string_split_regex({text}, '{pattern}'), lambda x: length(x)))"
+
+
+INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}"
+SPACES = r"\x{B}\x{C}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WIDE = r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}"
+MIXED = r"'\p{Latin}\p{M}*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}]\p{M}*\p{Latin}|\p{Greek}\p{M}*\p{Cyrillic}|\p{Cyrillic}\p{M}*\p{Greek}'"
+ALIKE = "translate(seen, 'аеоуіАЕОУІοαΟΑΕΙ', 'aeoyiAEOYIoaOAEI')"
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+ORACLE: dict[str, str] = {
+    "p1_found": rf"""
+        WITH long AS (
+          SELECT DISTINCT unit_id, text, max_chars - overlap_chars AS size FROM units JOIN unit_limits USING (unit_type) WHERE length(text) > max_chars)
+        SELECT unit_id, CASE
+          WHEN {_most(r"\n[\t\r\f\v ]*(?:\n[\t\r\f\v ]*)+")} <= size THEN 'paragraph'
+          WHEN {_most(r"\n+")} <= size THEN 'line'
+          WHEN {_most(chr(1), "regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(1), 'g')")} <= size THEN 'sentence'
+          WHEN {_most(r"[ \n]+")} <= size THEN 'word' ELSE 'none' END AS boundary
+        FROM long""",
+    "p7_found": rf"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+        dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+        ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: array_to_string(w[p:p+11], ' '))) AS g FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p8_found": rf"""
+        WITH d AS (SELECT DISTINCT doc_id, text, regexp_replace(text, '[{INVISIBLE}]', '', 'g') AS seen FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, 'invisible' AS form FROM d WHERE text <> seen
+        UNION SELECT doc_id, 'space' FROM d WHERE regexp_matches(text, '[{SPACES}]')
+        UNION SELECT doc_id, 'width' FROM d WHERE regexp_matches(text, '[{WIDE}]')
+        UNION SELECT doc_id, 'combining' FROM d WHERE nfc_normalize(seen) <> seen
+          OR (regexp_matches(seen, {MIXED}) AND nfc_normalize({ALIKE}) <> {ALIKE})
+        UNION SELECT doc_id, 'lookalike' FROM d
+          WHERE regexp_matches(seen, {MIXED})""",
+}
