@@ -39,3 +39,9 @@ def p8_text(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.forms import consistent_text
 
     return consistent_text(_table(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.leaks import find_leaks
+
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).select("doc_id", "item_id").distinct()

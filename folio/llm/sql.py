@@ -11,7 +11,9 @@ INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{18
 SPACES = r"\x{B}\x{C}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WIDE = r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}"
 MIXED = r"'\p{Latin}\p{M}*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}]\p{M}*\p{Latin}|\p{Greek}\p{M}*\p{Cyrillic}|\p{Cyrillic}\p{M}*\p{Greek}'"
-ALIKE = "translate(seen, 'аеоуіАЕОУІοαΟΑΕΙ', 'aeoyiAEOYIoaOAEI')"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NARROW = f"translate(seen, '{''.join(chr(ord(c) + 0xFEE0) for c in LETTERS)}', '{LETTERS}')"
+ALIKE = f"translate({NARROW}, 'аеоуіАЕОУІοαΟΑΕΙ', 'aeoyiAEOYIoaOAEI')"
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 ORACLE: dict[str, str] = {
@@ -35,7 +37,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, 'invisible' AS form FROM d WHERE text <> seen
         UNION SELECT doc_id, 'space' FROM d WHERE regexp_matches(text, '[{SPACES}]')
         UNION SELECT doc_id, 'width' FROM d WHERE regexp_matches(text, '[{WIDE}]')
-        UNION SELECT doc_id, 'combining' FROM d WHERE nfc_normalize(seen) <> seen
+        UNION SELECT doc_id, 'combining' FROM d WHERE nfc_normalize({NARROW}) <> {NARROW}
           OR (regexp_matches(seen, {MIXED}) AND nfc_normalize({ALIKE}) <> {ALIKE})
         UNION SELECT doc_id, 'lookalike' FROM d
           WHERE regexp_matches(seen, {MIXED})""",
