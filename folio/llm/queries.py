@@ -45,3 +45,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.leaks import find_leaks
 
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    documents = _table(spark, folder, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("record_id"), "text")
+    evidence = _table(spark, folder, "evidence").select(F.lit("evidence").alias("part"), F.col("evidence_id").alias("record_id"), "text")
+    return documents.unionByName(evidence)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.neardup import linked_pairs
+
+    return linked_pairs(_records(spark, folder)).withColumnRenamed("part", "record_kind")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.neardup import grouped
+
+    return grouped(_records(spark, folder)).withColumnRenamed("part", "record_kind")

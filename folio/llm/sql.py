@@ -26,6 +26,15 @@ ORACLE: dict[str, str] = {
           WHEN {_most(chr(1), "regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(1), 'g')")} <= size THEN 'sentence'
           WHEN {_most(r"[ \n]+")} <= size THEN 'word' ELSE 'none' END AS boundary
         FROM long""",
+    "p5_found": rf"""
+        WITH r AS (SELECT DISTINCT 'documents' AS record_kind, doc_id AS id, text FROM documents
+                   UNION SELECT DISTINCT 'evidence', evidence_id, text FROM evidence),
+        w AS (SELECT *, {WORDS} AS w FROM r),
+        g AS (SELECT DISTINCT record_kind, id, text, unnest(list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p+3], ' '))) AS g FROM w WHERE len(w) >= 40),
+        n AS (SELECT record_kind, id, count(*) AS n FROM g GROUP BY ALL),
+        s AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.record_kind = b.record_kind AND a.id < b.id AND a.text <> b.text GROUP BY ALL)
+        SELECT record_kind, id_a, id_b FROM s JOIN n x USING (record_kind) JOIN n y USING (record_kind)
+        WHERE x.id = id_a AND y.id = id_b AND c >= 0.6 * (x.n + y.n - c)""",
     "p7_found": rf"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
