@@ -65,3 +65,16 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.neardup import grouped
 
     return grouped(_records(spark, folder)).withColumnRenamed("part", "record_kind")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.durable import materialize
+    from folio.llm.language import cases
+
+    return cases(materialize(p3_languages(spark, folder)))
+
+
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.language import identify
+
+    return identify(_table(spark, folder, "documents"), _table(spark, folder, "lang_samples"))
