@@ -78,3 +78,22 @@ def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.language import identify
 
     return identify(_table(spark, folder, "documents"), _table(spark, folder, "lang_samples"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.durable import materialize
+    from folio.llm.names import spelling_pairs
+
+    return spelling_pairs(materialize(p4_spellings(spark, folder)))
+
+
+def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from folio.llm.names import link_spellings
+
+    filters = _table(spark, folder, "filters")
+    parties = filters.select(F.explode("parties").alias("name"))
+    signers = filters.select(F.col("signer").alias("name"))
+    written = _table(spark, folder, "entities").select(F.col("value").alias("name"))
+    return link_spellings(parties.unionByName(signers).unionByName(written))
