@@ -8,6 +8,7 @@ token that matches no word is brought to its form by table.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.durable import materialize
 from folio.llm.automaton import Rules, count_in_parts, match_in_shards, shard_of
 from folio.llm.words import rows
 
@@ -33,13 +35,14 @@ CYRILLIC_LATIN = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵ
 GREEK_LATIN = "αa οo νv ρp ιi κk υu τt χx γy ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX όó άá ίí"
 CYRILLIC_GREEK = "оο рρ кκ хχ уγ аα АΑ ВΒ ЕΕ КΚ МΜ НΗ ОΟ РΡ ТΤ ХΧ ПΠ ГΓ ФΦ"
 
-OTHER = "\\p{IsGreek}\\p{IsCyrillic}"
-GAP = f"[\\p{{M}}{INVISIBLE}]*"
-#: For the JVM: a row that does not match holds none of the forms.
-SUSPECT = f"[{INVISIBLE}{SPACES}{WIDE}]|\\p{{L}}[{INVISIBLE}]*\\p{{M}}|[\\p{{IsLatin}}]{GAP}[{OTHER}]|[{OTHER}]{GAP}\\p{{IsLatin}}|\\p{{IsGreek}}{GAP}\\p{{IsCyrillic}}|\\p{{IsCyrillic}}{GAP}\\p{{IsGreek}}"
+#: What none of the forms can do without: one look tells most texts apart.
+_HINT = re.compile(f"[{INVISIBLE}{SPACES}{WIDE}\\u0300-\\u036F\\u0370-\\u052F\\u0591-\\u06ED\\u0900-\\u0DFF\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF]")
 _TOKEN = regex.compile(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]*")
-_WORD = regex.compile(r"\p{L}+")
-_IRREGULAR = regex.compile(rf"[{INVISIBLE}{WIDE}\p{{M}}]|[\p{{Latin}}]+[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]+\p{{Latin}}|\p{{Greek}}\p{{Cyrillic}}|\p{{Cyrillic}}\p{{Greek}}")
+_WORD = re.compile(r"[^\W\d_]+")
+_GAP = f"[\\p{{M}}{INVISIBLE}]*"
+_IRREGULAR = regex.compile(
+    rf"[{INVISIBLE}{WIDE}]|\p{{L}}\p{{M}}|\p{{Latin}}{_GAP}[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]{_GAP}\p{{Latin}}|\p{{Greek}}{_GAP}\p{{Cyrillic}}|\p{{Cyrillic}}{_GAP}\p{{Greek}}"
+)
 _SKIP = regex.compile(f"[{INVISIBLE}]")
 _SPACE = regex.compile(f"[{SPACES}]")
 _WIDTH = regex.compile(f"[{WIDE}]")
@@ -188,28 +191,37 @@ def _accents(token: str, mixed: bool) -> bool:
     return False
 
 
+def suspect(text: str | None) -> bool:
+    """Whether the text may hold one of the forms."""
+    return bool(text and _HINT.search(text) and (_IRREGULAR.search(text) or _SPACE.search(text)))
+
+
 def irregular_tokens(text: str) -> list[str]:
     return [t for t in _TOKEN.findall(text) if _IRREGULAR.search(t)]
 
 
-def regular_words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text) if not _IRREGULAR.search(w)] if _IRREGULAR.search(text) else _WORD.findall(text)
+def _words_and_tokens(text: str) -> list[tuple[bool, str] | str]:
+    """Regular words in lower case as they are, irregular tokens in a pair."""
+    if not suspect(text):
+        return _WORD.findall(text.lower())
+    tokens = _TOKEN.findall(text)
+    odd = [(True, t) for t in tokens if _IRREGULAR.search(t)]
+    return [w for t in tokens if not _IRREGULAR.search(t) for w in _WORD.findall(t.lower())] + odd
 
 
-def _counted(source: DataFrame, irregular: bool, shards: int) -> DataFrame:
-    """shard, token or word, weight of all tokens of one sort."""
+def _counted(source: DataFrame, shards: int) -> DataFrame:
+    """shard, irregular, token, weight: all words and irregular tokens with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t for b in batches for t in b.column(0).to_pylist() if t)
-        parts = count_in_parts(irregular_tokens(t) for t in texts) if irregular else count_in_parts(regular_words(t.lower()) for t in texts)
-        for counts in parts:
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard_of(skeleton(k), shards) for k in keys], pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["shard", "token", "weight"]
-            )
+        for counts in count_in_parts(map(_words_and_tokens, texts)):
+            keys = [k if isinstance(k, tuple) else (False, k) for k in counts]
+            columns = ([shard_of(skeleton(k), shards) for _, k in keys], [odd for odd, _ in keys], [k for _, k in keys], list(counts.values()))
+            kinds = (pa.int32(), pa.bool_(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "irregular", "token", "weight"])
 
-    counted = source.select("text").mapInArrow(run, "shard int, token string, weight long")
-    return counted.groupBy("shard", "token").agg(F.sum("weight").cast("double").alias("weight"))
+    counted = source.select("text").mapInArrow(run, "shard int, irregular boolean, token string, weight long")
+    return counted.groupBy("shard", "irregular", "token").agg(F.sum("weight").cast("double").alias("weight"))
 
 
 def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", only_changed: bool = False) -> DataFrame:
@@ -218,16 +230,24 @@ def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Null text stays null and empty text empty, both without forms. One row out for each row in,
     repeated rows included; null ids stay. Other columns are not read, so their names cannot
     clash. An empty table gives an empty result. With only_changed, rows without forms are left
-    out; as rows that cannot hold a form are told apart by one pattern in the scan, only the
-    others are shuffled. The vocabulary is counted over all texts, in parts before the shuffle.
+    out. Only texts that may hold a form are shuffled. The vocabulary is counted over all texts,
+    in parts before the shuffle.
     """
     spark = df.sparkSession
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
-    dirty = source.where(suspect).withColumn("_key", F.xxhash64("text"))
-    tokens = _counted(dirty, True, shards)
-    vocabulary = _counted(source, False, shards).where("weight >= 2").withColumnRenamed("token", "word")
+
+    def only(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows(batches):
+                yield batch.filter(pa.array([suspect(t) is wanted for t in batch.column(1).to_pylist()], pa.bool_()))
+
+        return source.mapInArrow(run, source.schema)
+
+    dirty = materialize(only(True).withColumn("_key", F.xxhash64("text")))
+    counted = materialize(_counted(source, shards))
+    vocabulary = counted.where("NOT irregular AND weight >= 2").select("shard", F.col("token").alias("word"), "weight")
+    tokens = counted.where("irregular").select("shard", "token", "weight")
     spelled = match_in_shards(vocabulary, tokens, _rules, 0.0, _choose, "token string, spelling string", shards)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,5 +272,5 @@ def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str =
     fixed = dirty.join(known, "_key", "left").select("id", "text", "_known").mapInArrow(rewrite, schema)
     if only_changed:
         return fixed.where(F.size("forms") > 0).withColumnRenamed("id", id_column)
-    clean = source.where(~suspect).withColumn("forms", F.expr("cast(array() as array<string>)"))
+    clean = only(False).withColumn("forms", F.expr("cast(array() as array<string>)"))
     return clean.unionByName(fixed).withColumnRenamed("id", id_column)
