@@ -159,12 +159,18 @@ def near_duplicates(
     posted = classes.select("class_id", "n", F.posexplode("entries").alias("at", "entry")).select(
         "entry", "class_id", F.expr("shiftleft(cast(n as long), 32) + at").alias("place")
     )
-    a = posted.select("entry", F.col("class_id").alias("class_a"), F.col("place").alias("place_a"))
+    # Of a pair the smaller set is looked up (at most its first n - ceil(2t/(1+t) n) + k entries can do),
+    # the larger one stands in the index with all of its entries.
+    n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    alike = similarity / (1 + similarity)
+    looked_up = posted.where(at <= n - F.ceil(2 * alike * n - 1e-6) + (shared - 1))
+    a = looked_up.select("entry", F.col("class_id").alias("class_a"), F.col("place").alias("place_a"))
     b = posted.select("entry", F.col("class_id").alias("class_b"), F.col("place").alias("place_b"))
     n_a, n_b = F.shiftright("place_a", 32), F.shiftright("place_b", 32)
     at_a, at_b = F.col("place_a").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("place_b").bitwiseAND(F.lit(0xFFFFFFFF))
-    overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-6)
-    close: Column = (F.col("class_a") < F.col("class_b")) & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
+    overlap = F.ceil(F.lit(alike) * (n_a + n_b) - 1e-6)
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("class_a") < F.col("class_b")))
+    close: Column = smaller & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
     tallied = a.join(b, "entry").where(close).groupBy("class_a", "class_b").agg(F.count("*").alias("hits"))
     candidates = materialize(tallied.where(F.col("hits") >= shared).select("class_a", "class_b"))
     return members, _verified(candidates, classes, source, similarity, shingle)

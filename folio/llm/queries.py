@@ -97,3 +97,13 @@ def p4_spellings(spark: SparkSession, folder: str) -> DataFrame:
     signers = filters.select(F.col("signer").alias("name"))
     written = _table(spark, folder, "entities").select(F.col("value").alias("name"))
     return link_spellings(parties.unionByName(signers).unionByName(written))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_text(spark, folder).selectExpr("document_id", "page", "inline(problems)").distinct()
+
+
+def p2_text(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.scans import repair_scans
+
+    return repair_scans(_table(spark, folder, "pages"))
