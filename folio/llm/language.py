@@ -272,9 +272,11 @@ def identify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id"
     spark = documents.sparkSession
     fitted = samples.select("language", "text").where("language IS NOT NULL AND text IS NOT NULL").orderBy("text", "language").limit(MOST_SAMPLES)
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).cast("string").alias("stored"))
-    labelled = source.where(F.col("stored").isNotNull() & F.length("text").between(LEAST_WORDS, MOST_CHARS)).select("text", "stored")
-    labelled = labelled.orderBy(F.xxhash64("text"), "text", "stored").limit(MOST_TEXTS)
-    counts = fit([(r["language"], r["text"]) for r in fitted.collect()], [(r["text"], r["stored"]) for r in labelled.collect()])
+    labelled = source.where(F.col("stored").isNotNull() & F.length("text").between(LEAST_WORDS, MOST_CHARS)).withColumn("h", F.xxhash64("text"))
+    # The bound is found on hashes alone, so no task sends texts that are not used.
+    least = labelled.select("h").distinct().orderBy("h").limit(MOST_TEXTS).agg(F.max("h")).first()[0]
+    chosen = labelled.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.min(F.struct("text", "stored")).alias("x")).select("x.*") if least is not None else None
+    counts = fit([(r["language"], r["text"]) for r in fitted.collect()], sorted((r["text"], r["stored"]) for r in chosen.collect()) if chosen is not None else [])
     packed = spark.sparkContext.broadcast(pickle.dumps(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

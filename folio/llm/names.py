@@ -63,6 +63,9 @@ NICKNAMES = {
     )
 }
 
+#: Characters of either end that are keys of a name too long for a key for each error.
+LONG_KEY = 32
+
 _GLUED = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 #: Costs (negative log likelihoods) of the channel.
@@ -72,7 +75,8 @@ TYPO, NICKNAME, INITIAL, DROPPED, OTHER_LEGAL, OTHER_MIDDLE = 4.0, 2.0, 2.5, 1.0
 def parse(name: str) -> tuple[str, ...]:
     """('p', surname, given, middle) of a person or ('o', words joined by blanks, business, legal)."""
     text = unicodedata.normalize("NFKC", name)
-    text = re.sub(r"\b(?:[A-Za-z]\.){2,}(?=\W|$)", lambda m: _dotted(m.group()), text)
+    initials = bool(re.fullmatch(r"\s*[^\W\d_]+(?:[-'’][^\W\d_]+)*,\s*(?:[^\W\d_]\.\s*)+", text))  # a surname and initials, not a legal form
+    text = re.sub(r"\b(?:[A-Za-z]\.){2,}(?=\W|$)", lambda m: " ".join(m.group().replace(".", "")) if initials else _dotted(m.group()), text)
     split = " ".join(_GLUED.sub(" ", part) if not re.fullmatch(r"\W*(?:G|Ges)mbH\W*", part) else part for part in text.split())
     comma = split.find(",")
     tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(split)]
@@ -86,12 +90,10 @@ def parse(name: str) -> tuple[str, ...]:
         return ("o", " ".join(core) or " ".join(lower), " ".join(sorted(set(business))), " ".join(sorted(kinds)))
     whole = [(w, at) for (w, at) in zip(lower, (at for _, at in tokens)) if len(w) > 1]
     short = [w for w in lower if len(w) == 1]
-    initials = [w for t, at in tokens if 1 < len(t) <= 3 and t.isupper() and "|" in text for w in t.lower()]
     if len(whole) < 1 or len(whole) > 2:
         return ("o", " ".join(lower), "", "")
     if len(whole) == 1:
-        marks = short or initials
-        return ("p", whole[0][0], marks[0] if marks else "", marks[1] if len(marks) > 1 else "")
+        return ("p", whole[0][0], short[0] if short else "", short[1] if len(short) > 1 else "")
     (a, at_a), (b, at_b) = whole
     written = {at: t for t, at in tokens}
     first_is_surname = at_a < comma < at_b or (written[at_a].isupper() and not written[at_b].isupper())
@@ -113,6 +115,9 @@ def keys(parsed: tuple[str, ...]) -> list[str]:
         bases = {"".join(words), "".join(words[1:] + words[:1]), "".join(sorted(words))}
     found = set()
     for b in bases:
+        if len(b) > 2 * LONG_KEY:  # of a long name one end is free of the error
+            found.update((f"{b[:LONG_KEY]}<", f">{b[-LONG_KEY:]}"))
+            continue
         found.add(b)
         if len(b) >= 5:
             found.update(b[:i] + b[i + 1 :] for i in range(len(b)))
@@ -125,10 +130,13 @@ def edits(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    a, b, high = a[low:], b[low:], 0
+    while high < min(len(a), len(b)) and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[: len(a) - high], b[: len(b) - high]
     if len(a) > 12 or len(b) > 12:
         return most + 1
     before, row = [], list(range(len(b) + 1))
