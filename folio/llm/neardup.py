@@ -32,6 +32,8 @@ from folio.llm.words import WORD, rows
 SHINGLE, SIMILARITY, LEAST_WORDS, SHARED = 4, 0.6, 40, 3
 #: Counters of the shingle statistics (a fixed size, whatever the collection holds).
 COUNTERS = 1 << 20
+#: Rows (of at most about 50 bytes) up to which a side of a join is sent to all executors.
+BROADCAST_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,21 +156,17 @@ def near_duplicates(
     # where not, shuffled.
     emitted = indexed.where("entries IS NOT NULL")
     first = emitted.groupBy("class_id").agg(F.count("*").alias("times"), F.min("number").alias("first")).where("times > 1")
-    surplus = emitted.select("class_id", "number").join(first, "class_id").where("number <> first").select("number")
-    classes = emitted.join(surplus, "number", "left_anti")
+    surplus = materialize(emitted.select("class_id", "number").join(first, "class_id").where("number <> first").select("number"))
+    classes = emitted.join(_small(surplus), "number", "left_anti")
     posted = classes.select("class_id", "n", F.posexplode("entries").alias("at", "entry")).select(
         "entry", "class_id", F.expr("shiftleft(cast(n as long), 32) + at").alias("place")
     )
-    # Of a pair the smaller set is looked up (at most its first n - ceil(2t/(1+t) n) + k entries can do),
-    # the larger one stands in the index with all of its entries.
-    n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    alike = similarity / (1 + similarity)
-    looked_up = posted.where(at <= n - F.ceil(2 * alike * n - 1e-6) + (shared - 1))
-    a = looked_up.select("entry", F.col("class_id").alias("class_a"), F.col("place").alias("place_a"))
+    # Both sides are the same rows, so one shuffle serves both. The smaller set of a pair is side a.
+    a = posted.select("entry", F.col("class_id").alias("class_a"), F.col("place").alias("place_a"))
     b = posted.select("entry", F.col("class_id").alias("class_b"), F.col("place").alias("place_b"))
     n_a, n_b = F.shiftright("place_a", 32), F.shiftright("place_b", 32)
     at_a, at_b = F.col("place_a").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("place_b").bitwiseAND(F.lit(0xFFFFFFFF))
-    overlap = F.ceil(F.lit(alike) * (n_a + n_b) - 1e-6)
+    overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-6)
     smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("class_a") < F.col("class_b")))
     close: Column = smaller & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
     tallied = a.join(b, "entry").where(close).groupBy("class_a", "class_b").agg(F.count("*").alias("hits"))
@@ -188,7 +186,7 @@ def _verified(candidates: DataFrame, classes: DataFrame, source: DataFrame, simi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["class_id", "hashes"])
 
     # A record id may stand in several rows with other texts; the class of a row is its own.
-    texts = source.join(chosen, ["part", "record_id"]).select("class_id", "text")
+    texts = source.join(_small(materialize(chosen)), ["part", "record_id"]).select("class_id", "text")
     hashed = texts.mapInArrow(sets, "class_id long, hashes binary").dropDuplicates(["class_id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +205,11 @@ def _verified(candidates: DataFrame, classes: DataFrame, source: DataFrame, simi
     return pairs.where(F.col("similarity") >= similarity - 1e-9)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcasting if it has at most BROADCAST_ROWS rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
