@@ -39,12 +39,14 @@ CONFUSIONS = (
     "rn:m m:rn nn:m m:nn ri:n n:ri li:h h:li cl:d d:cl ii:u u:ii vv:w w:vv w:vi vi:w in:m m:in ni:m m:ni iii:m m:iii"
 )
 HYPHENS = "-‐‑¬­"
+_HYPHENS = frozenset(HYPHENS)
 
 _LETTERS = r"[^\W\d_]+"
 _NATIVE = re.compile(rf"{_LETTERS}(?:['’-]{_LETTERS})*")
 _BROKEN = re.compile(rf"([^\W_@!|(]+(?:['’@!|(][^\W_]+)*)[{HYPHENS}]\s*$")
 _NEXT = re.compile(r"\s*([^\W_]+(?:['’@!|(][^\W_]+)*)")
 _NUMBER = re.compile(r"(?i)(?:\[[\dlo|]+\]|[-–] ?[\dlo|]+ ?[-–]|[\dlo|]{1,5}|[\dlo|]+ ?/ ?[\dlo|]+|p(?:[a@]g[ecf]|\.)? ?[\dlo|]+(?: [oc0][ft] [\dlo|]+)?|[ivxl]{1,6})$")
+_PART = re.compile(r"[^\s\-‐‑–—/,.]+")
 _GAP = re.compile(r"\s{3,}\S+(?: \S+){0,3}$")
 _MIXED = re.compile(r"[\doOlI|!]+")
 
@@ -91,6 +93,11 @@ def edge_lines(text: str) -> list[tuple[str, int, int, str, str, bool]]:
     return found
 
 
+def broken_end(line: str) -> re.Match | None:
+    """The last word of a line if it ends in a hyphen."""
+    return _BROKEN.search(line) if line.rstrip()[-1:] in _HYPHENS else None
+
+
 class Page:
     """The running text of a page: its lines, its words and where they stand."""
 
@@ -101,7 +108,7 @@ class Page:
         self.before, self.after = before, after
         self.broken: dict[int, tuple[str, str]] = {}  # line number -> fragment, continuation
         for n, i in enumerate(self.body):
-            if m := _BROKEN.search(self.lines[i - 1]):
+            if m := broken_end(self.lines[i - 1]):
                 follow = _NEXT.match(self.lines[self.body[n + 1] - 1]) if n + 1 < len(self.body) else None
                 goes_on = follow.group(1) if follow else (after if n + 1 == len(self.body) else None)
                 if goes_on:
@@ -114,7 +121,7 @@ class Page:
 
     @property
     def last(self) -> str | None:
-        m = _BROKEN.search(self.lines[self.body[-1] - 1]) if self.body else None
+        m = broken_end(self.lines[self.body[-1] - 1]) if self.body else None
         return m.group(1) if m else None
 
     def tokens(self) -> Iterator[tuple[int, str, int, int]]:
@@ -127,9 +134,8 @@ class Page:
                 m = _NEXT.match(line)
                 start = m.end() if m else 0
             end = _BROKEN.search(line).start() if i in self.broken else len(line)
-            for m in re.finditer(r"[^\s\-‐‑–—/,.]+", line[:end]):
-                if m.start() >= start:
-                    yield i, m.group(), m.start(), m.end()
+            for m in _PART.finditer(line, start, end):
+                yield i, m.group(), m.start(), m.end()
             previous = i
 
     def joins(self) -> list[tuple[int | None, str, str]]:
@@ -142,14 +148,20 @@ class Page:
     def asked(self) -> set[str]:
         """Words whose verdicts are needed: '-word' asks whether a word is known, 'word' what it may mean."""
         found: set[str] = set()
-        for _, token, _, _ in self.tokens():
-            found.update(readings(token))
+        for token in {token for _, token, _, _ in self.tokens()}:
+            found.update(look(token)[1])
         for _, a, b in self.joins():
             a, b = a.lower(), b.lower()
             found.update((f"-{a + b}", f"-{a}-{b}", f"-{a}", f"-{b}", a + b, a, b))
         return found
 
 
+@lru_cache(maxsize=300_000)
+def look(token: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether a token is a misread number, and its readings; tokens recur, so both are remembered."""
+    return misread_number(token), tuple(readings(token))
+
+
 def readings(token: str) -> list[str]:
     """The ways to take a token's outer signs; none for numbers."""
     low = token.lower()
@@ -178,14 +190,17 @@ def misread_number(token: str) -> bool:
 class Verdicts:
     """What is known of the words of one page. meant: word -> candidates (word, cost, count)."""
 
-    def __init__(self, known: dict[str, float], meant: dict[str, list[tuple[str, float, float]]], on_page: set[str]):
-        self.known, self.meant, self.on_page = known, meant, on_page
+    def __init__(self, known: dict[str, float], meant: dict[str, list[tuple[str, float, float]]], page: Page):
+        self.known, self.meant, self.page = known, meant, page
+        self.on_page: set[str] | None = None
 
     def best(self, word: str) -> str | None:
         found = self.meant.get(word)
         if not found:
             return None
-        return min(found, key=lambda x: (x[1], x[0] not in self.on_page, -x[2], x[0]))[0]
+        if len(found) > 1 and self.on_page is None:
+            self.on_page = {word for _, token, _, _ in self.page.tokens() for word in look(token)[1]}
+        return min(found, key=lambda x: (x[1], x[0] not in (self.on_page or ()), -x[2], x[0]))[0]
 
     def join(self, a: str, b: str) -> tuple[bool, str | None]:
         """Whether fragment and continuation are one word, and which if it was misread."""
@@ -205,12 +220,13 @@ def repair(page: Page, verdicts: Verdicts) -> tuple[str, list[tuple[int, str]]]:
     problems: set[tuple[int, str]] = set()
     changes: dict[int, list[tuple[int, int, str]]] = {}
     for i, token, start, end in page.tokens():
-        if misread_number(token):
+        number, words = look(token)
+        if number:
             problems.add((i, "misread"))
             changes.setdefault(i, []).append((start, end, token.translate(str.maketrans("oOlI|!", "001111"))))
             continue
-        for reading in readings(token):
-            if meant := verdicts.best(reading):
+        for reading in words:
+            if reading in verdicts.meant and (meant := verdicts.best(reading)):
                 problems.add((i, "misread"))
                 at = token.lower().find(reading)
                 changes.setdefault(i, []).append((start + at, start + at + len(reading), cased(meant, token[at : at + len(reading)])))
@@ -244,9 +260,9 @@ def repair(page: Page, verdicts: Verdicts) -> tuple[str, list[tuple[int, str]]]:
         if wrong_b and place + 1 < len(page.body):
             problems.add((page.body[place + 1], "misread"))
     paragraphs: list[list[str]] = [[]]
-    previous = None
+    previous, body = None, set(page.body)
     for i, line in enumerate(page.lines, 1):
-        if i not in page.body:
+        if i not in body:
             if not line.strip() and paragraphs[-1] and previous not in ends:
                 paragraphs.append([])
             continue
@@ -363,6 +379,7 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<int>)")
     input_columns = ["document_id", "page", "text", F.coalesce("running", empty).alias("running"), "before", "after"]
     asked = whole.select(*input_columns).mapInArrow(ask, "document_id string, page int, asked array<string>")
+    asked = materialize(asked)  # asked for twice
     asked = asked.select("document_id", "page", F.explode("asked").alias("asked"))
     wanted = asked.groupBy("asked").agg(F.count("*").alias("times"))
     native = materialize(_native_counts(source.where("kind <> 'ocr'")).where(F.col("count") >= KNOWN))
@@ -401,8 +418,7 @@ def repair_scans(pages: DataFrame) -> DataFrame:
                         known[row["asked"][1:]] = row["meant"][0]["seen"]
                     else:
                         means[row["asked"]] = [(m["meant"], m["cost"], m["seen"]) for m in row["meant"]]
-                on_page = {t.lower().strip(".,;:!?()\"'") for _, t, _, _ in page.tokens()}
-                new, found = repair(page, Verdicts(known, means, on_page))
+                new, found = repair(page, Verdicts(known, means, page))
                 texts.append(new)
                 problems.append([{"line_no": n, "problem": p} for n, p in sorted([*((n, "running") for n in skip), *found])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(problems, kind)], ["document_id", "page", "text", "problems"])
