@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 ATTEMPTS, STALLED_AFTER = 5, 120
 
 
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark where lateness is given; it needs an instant, not a wall-clock time."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", late) if late else events
+    e = _marked(events, late)
     return e.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour", late: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", late) if late else events
+    e = _marked(events, late)
     return e.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", late) if late else events
+    e = _marked(events, late)
     out = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
