@@ -51,6 +51,14 @@ NAMES = {
 }
 
 
+#: A string of code: so many characters without white space. Its words are in no language.
+_CODE = re.compile(r"\S{40,}")
+
+
+def _as_code(m: re.Match) -> str:
+    return " a0" * len(WORD.findall(m.group()))
+
+
 class LanguageModel:
     """Scores of words by language, fitted on word counts by language."""
 
@@ -139,7 +147,7 @@ class LanguageModel:
         for text in texts:
             ids, starts, marks = [], [], []
             for number, paragraph in enumerate(text.split("\n\n"), 1):
-                found = WORD.findall(paragraph)
+                found = WORD.findall(_CODE.sub(_as_code, paragraph))
                 if found:
                     marks.append((number, len(ids), len(ids) + len(found)))
                     starts.append(len(ids))

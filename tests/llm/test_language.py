@@ -17,12 +17,12 @@ def test_rows(spark):
     german = "Der Vertrag wird mit dem Ende des Monats und nach der letzten Mahnung ohne weitere Angaben beendet."
     docs = [
         (1, english, "en-GB", 0), (2, english, "DE", 0), (3, english, None, 0), (4, f"{english} {english}\n\n{german}", "en", 0), (5, None, "en", 0), (6, "", None, 0), (7, "a1b2c3 " * 40, None, 0),
-        (8, (english + " ") * 4000, "en", 0), (2, english, "DE", 0), (None, english, "xx", 0), (9, "中文文件 " * 10, None, 0), (10, "Guten Tag", None, 0),
+        (8, (english + " ") * 4000, "en", 0), (2, english, "DE", 0), (None, english, "xx", 0), (9, "中文文件 " * 10, None, 0), (10, "Guten Tag", None, 0), (11, "XheF/RowUB+zXMJQ/GQPIkO+yIDHia/kZjAApB/iNGLmGw+XURLHTz/ABEj+XkiZRH/GezXAA/egGBspnJqKe/POznbRpp", None, 0),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, language string, seg_no int")
     found = identify(df, samples)
     main = {r["doc_id"]: (r["language"], r["confidence"]) for r in found.where("seg_no = 0").collect()}
-    assert main[1][0] == main[4][0] == main[8][0] == "en" and main[1][1] > 0.9 and main[5] == main[6] == main[7] == main[9] == ("und", 0.0)
+    assert main[1][0] == main[4][0] == main[8][0] == "en" and main[1][1] > 0.9 and main[5] == main[6] == main[7] == main[9] == main[11] == ("und", 0.0)
     out = {tuple(r) for r in cases(found).collect()}
     assert out == {(2, 0, "en"), (3, 0, "en"), (4, 2, "de"), (None, 0, "en")}
     assert cases(identify(df.limit(0), samples)).count() == 0
