@@ -22,16 +22,19 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def postings(units: DataFrame) -> DataFrame:
+def postings(units: DataFrame, kinds: str = "wfir") -> DataFrame:
     """kind, term, unit_id, document_id, tf: w words, f folded words that are no word of the unit, i
-    identifiers, r reversed words with a digit."""
-    base = units.select("unit_id", "document_id", T.tokens(F.col("text")).alias("words"), F.col("text"))
-    words = base.select("unit_id", "document_id", F.lit("w").alias("kind"), F.explode("words").alias("term"))
-    folded = base.select("unit_id", "document_id", F.lit("f").alias("kind"), F.explode(F.array_except(T.fold(F.col("words")), "words")).alias("term"))
-    found = base.select("unit_id", "document_id", F.lit("i").alias("kind"), F.explode(T.identifiers(F.col("text"))).alias("term"))
-    back = F.transform(F.filter("words", lambda w: w.rlike("[0-9]") & (F.length(w) >= 3)), F.reverse)
-    reverse = base.select("unit_id", "document_id", F.lit("r").alias("kind"), F.explode(back).alias("term"))
-    every = words.unionByName(folded).unionByName(found).unionByName(reverse)
+    identifiers, r reversed words with a digit. One pass over the units, one shuffle of partial counts."""
+    words = T.tokens(F.col("text"))
+    terms = {
+        "w": F.col("_words"), "f": F.array_except(T.fold(F.col("_words")), F.col("_words")), "i": T.identifiers(F.col("text")),
+        "r": F.transform(F.filter("_words", lambda w: w.rlike("[0-9]") & (F.length(w) >= 3)), F.reverse),
+    }
+
+    def entries(kind: str) -> Column:
+        return F.transform(terms[kind], lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    every = units.select("unit_id", "document_id", "text", words.alias("_words")).select("unit_id", "document_id", F.inline(F.concat(*map(entries, kinds))))
     return every.groupBy("kind", "term", "unit_id", "document_id").agg(F.count("*").alias("tf"))
 
 

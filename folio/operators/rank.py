@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.durable import with_rank
+
 # Match type -> (tier, priority inside the tier), retrieval constants.
 MATCHES = {
     "exact_phrase": (1, 0), "exact_identifier": (1, 0), "filename": (1, 0), "structured": (1, 0), "exact_term": (2, 1), "joined_form": (2, 1), "metadata": (2, 1), "entity": (2, 1),
@@ -35,23 +41,29 @@ def fuse(candidates: DataFrame, exact_intent: bool = False, partition: str | Non
     reciprocal rank; further retrievers lift a little; results are ordered by key, then score, then id.
     """
     by = [partition] if partition else []
-    over = Window.partitionBy(*(by or [F.lit(1)]))
     lexical = F.col("match_type") != "semantic"
-    c = candidates.withColumn("_other", F.max((lexical & (F.col("match_type") != "fuzzy")).cast("int")).over(over)).where("NOT (match_type = 'fuzzy' AND _other = 1)")
+    other = F.max((lexical & (F.col("match_type") != "fuzzy")).cast("int"))
+    if by:
+        c = candidates.withColumn("_other", other.over(Window.partitionBy(*by)))
+    else:
+        c = candidates.crossJoin(F.broadcast(candidates.agg(other.alias("_other"))))  # one row
+    c = c.where("NOT (match_type = 'fuzzy' AND coalesce(_other, 0) = 1)")
     c = c.withColumn("_tier", tier(F.col("match_type"))).withColumn("_first", F.struct("_tier", priority(F.col("match_type")).alias("p"), (-F.col("raw_score")).alias("s")))
     docs = c.groupBy(*by, "document_id").agg(
         F.min(F.when(lexical, F.col("_first"))).alias("lex"), F.max(F.when(~lexical, F.col("raw_score"))).alias("vec"), F.count_distinct("retriever").alias("retrievers"), F.min("_tier").alias("tier")
     )
-    lex_rank = F.when(F.col("lex").isNotNull(), F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy(F.asc_nulls_last("lex"), "document_id")) - 1)
-    vec_rank = F.when(F.col("vec").isNotNull(), F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy(F.desc_nulls_last("vec"), "document_id")) - 1)
+
+    def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else with_rank(df, name, *order)
+
+    docs = numbered(numbered(docs, "_l", F.asc_nulls_last("lex"), F.asc("document_id")), "_v", F.desc_nulls_last("vec"), F.asc("document_id"))
+    docs = docs.withColumn("lex_rank", F.when(F.col("lex").isNotNull(), F.col("_l") - 1)).withColumn("vec_rank", F.when(F.col("vec").isNotNull(), F.col("_v") - 1))
     w_lex, w_vec = (1.0, 0.6) if exact_intent else (0.7, 1.0)
-    docs = docs.withColumn("lex_rank", lex_rank).withColumn("vec_rank", vec_rank)
     score = F.coalesce(w_lex / (RRF_K + F.col("lex_rank")), F.lit(0.0)) + F.coalesce(w_vec / (RRF_K + F.col("vec_rank")), F.lit(0.0)) + PER_RETRIEVER * (F.col("retrievers") - 1)
     exact = F.lit(exact_intent) | (F.col("tier") == 1)
     key = F.when(exact, F.col("tier")).when((F.col("tier") == 2) | (F.coalesce("vec", F.lit(0.0)) >= FLOOR + STRONG), 2).otherwise(3)
     docs = docs.withColumn("score", F.round(score, 9)).withColumn("key", key)
-    order = Window.partitionBy(*by or [F.lit(1)]).orderBy("key", F.desc("score"), "document_id")
-    return docs.select(*by, "document_id", "tier", "key", "score", F.row_number().over(order).alias("rank"))
+    return numbered(docs.select(*by, "document_id", "tier", "key", "score"), "rank", F.asc("key"), F.desc("score"), F.asc("document_id"))
 
 
 def rerank(ranked: DataFrame, groups: str = "key", frozen: int = 1) -> DataFrame:
@@ -78,17 +90,52 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, similarity, rank: exact top k by cosine for a stated query set (query_id, q).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, label, similarity, rank: exact top k by cosine for a stated query set (query_id, q).
 
-    Queries come in blocks that are sent to the vectors; each partition keeps its own best k
-    before the shuffle (the window's group limit), so what is moved is k rows a query and task.
+    Queries come in blocks of fixed size, each sent to all tasks in turn. A task multiplies its
+    batches of vectors with the block and keeps the best k of each query and batch, so what is
+    shuffled is k rows a query and batch. Vectors without length have no similarity and no row.
     """
-    unit = F.transform("q", lambda x: x.cast("double") / F.sqrt(dot(F.col("q"), F.col("q"))))
-    asked = queries.select("query_id", unit.alias("q"))
-    scored = vectors.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q")), F.sqrt(dot(F.col("embedding"), F.col("embedding")))), 9).alias("similarity"))
+    spark, parts, ids, held = vectors.sparkSession, [], [], []
+    id_type, vec_type, label_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString(), vectors.schema["label"].dataType.simpleString()
+    schema = f"query_id {id_type}, vec_id {vec_type}, label {label_type}, similarity double"
+
+    def search() -> None:
+        matrix = np.array(held, np.float64)
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        sent = spark.sparkContext.broadcast((np.array(ids), np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = sent.value
+            for batch in batches:
+                column = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(column, axis=1)
+                if not (norm > 0).any():
+                    continue
+                alike = np.round((asked @ column[norm > 0].T) / norm[norm > 0], 9)
+                rows = np.nonzero(norm > 0)[0]
+                order = np.lexsort((np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False)[rows], alike.shape), -alike), axis=1)[:, :k]
+                picked = rows[order].ravel()
+                sims = np.take_along_axis(alike, order, 1).ravel()
+                some = pa.array(picked)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), batch.column(0).take(some), batch.column(1).take(some), pa.array(sims)], ["query_id", "vec_id", "label", "similarity"])
+
+        parts.append(vectors.select("vec_id", "label", "embedding").where("embedding IS NOT NULL").mapInArrow(best, schema))
+
+    for row in queries.where("q IS NOT NULL").toLocalIterator():
+        ids.append(row["query_id"])
+        held.append(row["q"])
+        if len(ids) == block:
+            search()
+            ids, held = [], []
+    if ids:
+        search()
+    found = spark.createDataFrame([], schema)
+    for part in parts:
+        found = found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def semantic(found: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:

@@ -51,7 +51,7 @@ def all_stems(units: DataFrame, words: list[str]) -> DataFrame:
     from folio.functions.stem import stem
 
     wanted = sorted({stem(w) for w in words})
-    held = with_stems(P.postings(units).where("kind = 'w'")).where(F.col("stem").isin(wanted))
+    held = with_stems(P.postings(units, "w")).where(F.col("stem").isin(wanted))
     hits = held.groupBy("unit_id", "document_id").agg(F.count_distinct("stem").alias("n"), F.sum("tf").alias("tf")).where(F.col("n") == len(wanted))
     return _found(hits, "all_terms", F.col("tf"))
 

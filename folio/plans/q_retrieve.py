@@ -66,7 +66,7 @@ def unmatched_terms(s, d):
 
 @query()
 def stem_df(s, d):
-    words = St.with_stems(P.postings(M.units(s, d)).where("kind = 'w'"))
+    words = St.with_stems(P.postings(M.units(s, d), "w"))
     return words.groupBy("stem").agg(F.count_distinct("unit_id").alias("df"))
 
 

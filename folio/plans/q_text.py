@@ -52,12 +52,20 @@ def any_term(s, d):
 
 @query(f"{W} SELECT t AS term, least(count(DISTINCT unit_id), 200000) AS df FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY t")
 def term_df(s, d):
-    return P.document_frequency(P.postings(M.units(s, d)).where("kind = 'w'"))
+    return P.document_frequency(P.postings(M.units(s, d), "w"))
 
 
 @query(f"{W} SELECT unit_id, t AS term, count(*) AS tf FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY ALL")
 def term_tf(s, d):
-    return P.postings(M.units(s, d)).where("kind = 'w'").select("unit_id", "term", "tf")
+    return P.postings(M.units(s, d), "w").select("unit_id", "term", "tf")
+
+
+@query(
+    f"{W}, x AS (SELECT unit_id, 'w' AS kind, unnest(words) AS term FROM w UNION ALL SELECT unit_id, 'r', reverse(t) FROM (SELECT unit_id, unnest(words) AS t FROM w) WHERE length(t) >= 3 AND regexp_matches(t, '[0-9]'))"
+    " SELECT kind, count(*) AS postings, count(DISTINCT term) AS terms FROM (SELECT DISTINCT unit_id, kind, term FROM x) GROUP BY kind"
+)
+def posting_totals(s, d):
+    return P.postings(M.units(s, d), "wr").groupBy("kind").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
 
 
 @query(f"{W} SELECT unit_id, len(words) AS n_terms FROM w")
@@ -67,17 +75,17 @@ def n_terms(s, d):
 
 @query(f"{W} SELECT DISTINCT t AS term, length(t) AS length FROM (SELECT unnest(words) AS t FROM w) WHERE regexp_full_match(t, '[a-z]{{4,32}}')")
 def vocabulary(s, d):
-    return P.vocabulary(P.postings(M.units(s, d)).where("kind = 'w'"))
+    return P.vocabulary(P.postings(M.units(s, d), "w"))
 
 
 @query(f"{W} SELECT t AS term, count(*) AS n FROM (SELECT unnest(words) AS t FROM w) WHERE starts_with(t, 'ware') GROUP BY t")
 def prefix_terms(s, d):
-    return P.starting(P.postings(M.units(s, d)).where("kind = 'w'"), "ware").groupBy("term").agg(F.sum("tf").alias("n"))
+    return P.starting(P.postings(M.units(s, d), "w"), "ware").groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query(f"{W} SELECT DISTINCT t AS term FROM (SELECT unnest(words) AS t FROM w) WHERE ends_with(t, '84') AND length(t) >= 3 AND regexp_matches(t, '[0-9]')")
 def suffix_terms(s, d):
-    back = P.postings(M.units(s, d)).where("kind = 'r'")
+    back = P.postings(M.units(s, d), "r")
     return P.starting(back, "48").select(F.reverse("term").alias("term")).distinct()
 
 
@@ -169,7 +177,7 @@ def evidence_windows(s, d):
 
 @query()
 def typo_candidates(s, d):
-    terms = P.vocabulary(P.postings(M.units(s, d)).where("kind = 'w'"))
+    terms = P.vocabulary(P.postings(M.units(s, d), "w"))
     return P.corrections(terms, "warehuose")
 
 

@@ -89,6 +89,6 @@ def test_engine_stays_inside_its_tenant(spark):
     found = engine.run('"short notice"', date(2026, 1, 1)).collect()
     assert found and all(r["document_id"] in own and r["tier"] == 1 and "short" in r["snippet"].lower() for r in found)
     assert engine.run("how many documents", date(2026, 1, 1)).collect()[0]["value"] <= len(own)
-    plan = engine.search(engine.plan("short notice"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = engine.candidates(engine.plan("short notice"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= plan.count(tenant)
     assert engine.run("documents by type").count() > 0
