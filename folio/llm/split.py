@@ -57,7 +57,7 @@ def _cuts(text: str, level: str, size: int) -> dict[int, int]:
     for a, b in zip(marks, marks[1:]):  # only stretches without any boundary, and those with long separators
         while b - a > size:
             c = a + size
-            while c > a + size // 2 and unicodedata.combining(text[c]):
+            while c > a + max(1, size // 2) and unicodedata.combining(text[c]):
                 c -= 1
             found[c] = STRENGTH["none"]
             a = c

@@ -22,6 +22,11 @@ def test_levels():
     assert boundary_of("aabbb", 3) == "none"
 
 
+def test_a_limit_of_one_character_ends():
+    text = "e\u0301e\u0301\u0301"
+    assert [text[a:b] for a, b, _ in split_text(text, 1, 0)[1]] == list(text)
+
+
 def test_weak_boundaries_are_merged_first():
     text = "aaaa bbbb.\n\ncccc dddd."
     level, pieces = split_text(text, 14, 0)
