@@ -165,3 +165,34 @@ def question_ngrams(text: str) -> list[str]:
                 continue
             found.append(" ".join(some))
     return list(dict.fromkeys(found))
+
+
+# Function words that tell languages apart.
+LANGUAGE_WORDS = {
+    "de": "der die das und ist nicht ein eine mit für", "en": "the of and to is that for with was are", "es": "el los las del que una por con para es", "fr": "le les des et une dans est pour que pas",
+    "it": "il gli di che una per con non della sono", "nl": "de het een van en niet dat op voor met", "pt": "os as do da que uma para com não em",
+}
+
+
+def language(words: Column) -> Column:
+    """Language by function words: the one with most of them, if at least two and 4 % of eight words or more; else und."""
+    n = F.size(words)
+    scores = [_language_score(words, code, held) for code, held in LANGUAGE_WORDS.items()]
+    best = F.array_max(F.array(*scores))
+    return F.when((n >= 8) & (best["hits"] >= F.greatest(F.lit(2.0), 0.04 * n)), best["code"]).otherwise("und")
+
+
+def _language_score(words: Column, code: str, held: str) -> Column:
+    return F.struct(F.size(F.filter(words, lambda w: w.isin(*held.split()))).alias("hits"), F.lit(code).alias("code"))
+
+
+def guess_title(c: Column) -> Column:
+    """The first line that is not blank, if it has 3 to 120 characters and three letters."""
+    first = F.trim(F.get(F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)) > 0), F.lit(0)))
+    letters = F.length(F.regexp_replace(first, r"[^\p{L}]", ""))
+    return F.when(F.length(first).between(3, 120) & (letters >= 3), first)
+
+
+def redact_url(c: Column) -> Column:
+    """Scheme, host and path of a URL; a query is hidden."""
+    return F.regexp_replace(c, r"(https?://[^\s?#]+)\?[^\s]*", "$1?…")
