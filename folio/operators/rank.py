@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ MATCHES = {
 }
 RRF_K, PER_RETRIEVER, SOFT_TYPE = 60, 0.0015, 0.006
 FLOOR, MARGIN, STRONG = 0.30, 0.22, 0.15
+#: Queries of a block that are compared with a batch at once (bounds the memory of a task).
+PART = 256
 
 
 def _mapped(column: Column, k: int) -> Column:
@@ -90,12 +92,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, label, similarity, rank: exact top k by cosine for a stated query set (query_id, q).
+def _searched(vectors: DataFrame, queries: DataFrame, keep: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
+    """query_id, vec_id, label, similarity of the pairs that ``keep`` picks of each batch of vectors.
 
-    Queries come in blocks of fixed size, each sent to all tasks in turn. A task multiplies its
-    batches of vectors with the block and keeps the best k of each query and batch, so what is
-    shuffled is k rows a query and batch. Vectors without length have no similarity and no row.
+    Queries (query_id, q) come in blocks of fixed size, each sent to all tasks in turn. A task
+    multiplies its batches of vectors with the block, PART queries at a time. keep(similarities, vec_ids)
+    gives the places of queries and vectors. Vectors without length have no similarity and no row.
     """
     spark, parts, ids, held = vectors.sparkSession, [], [], []
     id_type, vec_type, label_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString(), vectors.schema["label"].dataType.simpleString()
@@ -111,15 +113,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 40
             for batch in batches:
                 column = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 norm = np.linalg.norm(column, axis=1)
-                if not (norm > 0).any():
-                    continue
-                alike = np.round((asked @ column[norm > 0].T) / norm[norm > 0], 9)
                 rows = np.nonzero(norm > 0)[0]
-                order = np.lexsort((np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False)[rows], alike.shape), -alike), axis=1)[:, :k]
-                picked = rows[order].ravel()
-                sims = np.take_along_axis(alike, order, 1).ravel()
-                some = pa.array(picked)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), batch.column(0).take(some), batch.column(1).take(some), pa.array(sims)], ["query_id", "vec_id", "label", "similarity"])
+                if not len(rows):
+                    continue
+                vec_ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+                for at in range(0, len(names), PART):
+                    alike = np.round((asked[at : at + PART] @ column[rows].T) / norm[rows], 9)
+                    one, other = keep(alike, vec_ids)
+                    some = pa.array(rows[other])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[at + one]), batch.column(0).take(some), batch.column(1).take(some), pa.array(alike[one, other])], ["query_id", "vec_id", "label", "similarity"]
+                    )
 
         parts.append(vectors.select("vec_id", "label", "embedding").where("embedding IS NOT NULL").mapInArrow(best, schema))
 
@@ -134,8 +138,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 40
     found = spark.createDataFrame([], schema)
     for part in parts:
         found = found.unionByName(part)
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, label, similarity, rank: exact top k by cosine for a stated query set (query_id, q).
+
+    A task keeps the best k of each query and batch, so what is shuffled is k rows a query and batch.
+    """
+
+    def top(alike: np.ndarray, vec_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(vec_ids, alike.shape), -alike), axis=1)[:, :k]
+        return np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _searched(vectors, queries, top, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def within_margin(vectors: DataFrame, queries: DataFrame, floor: float = FLOOR, margin: float = MARGIN, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, label, similarity: all neighbours that ``semantic`` keeps, however many.
+
+    A task drops what is too far from the best of its own batch; the best of all is no less similar,
+    so nothing is lost by that.
+    """
+
+    def close(alike: np.ndarray, vec_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(alike >= np.maximum(floor, alike.max(axis=1, keepdims=True) - margin))
+
+    return semantic(_searched(vectors, queries, close, block), floor, margin)
 
 
 def semantic(found: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:

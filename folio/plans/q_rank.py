@@ -65,9 +65,13 @@ COSINE_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS a
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM n QUALIFY rank <= 10)"""
 
 
-def _nearest(s, d, k=10):
+def _asked(s, d):
     e = table(s, d, "embeddings")
-    return R.nearest(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _nearest(s, d, k=10):
+    return R.nearest(*_asked(s, d), k)
 
 
 @query(f"{COSINE_SQL} SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM k")
@@ -77,7 +81,7 @@ def knn_top10(s, d):
 
 @query(f"{COSINE_SQL} SELECT query_id, vec_id FROM (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS best FROM k) WHERE similarity >= greatest(0.3, best - 0.22)")
 def semantic_margin(s, d):
-    return R.semantic(_nearest(s, d)).select("query_id", "vec_id")
+    return R.within_margin(*_asked(s, d)).select("query_id", "vec_id")
 
 
 @query(
