@@ -8,19 +8,23 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
+from folio.functions.stem import stem
 from folio.operators import compute as C
 from folio.operators import filters as O
 from folio.operators import postings as P
 from folio.operators import rank as R
-from folio.plans.plan import QueryPlan, plan_query, validate
+from folio.operators import retrieve as V
+from folio.plans.plan import STRATEGIES, QueryPlan, plan_query, validate
 from folio.sources.tables import table
 
 SHARED_TABLES = ("unit_limits", "benchmark", "lang_samples")
+# Match types that put a document into the set of a computation.
+DOCUMENT_SET = ("exact_phrase", "exact_identifier", "exact_term", "joined_form", "partial_identifier", "all_terms", "ocr_tolerant", "filename", "filename_terms")
 
 
 class TenantCatalog:
@@ -66,34 +70,65 @@ class Engine:
                 docs = O.in_jurisdictions(docs, self.fields, f.jurisdictions)
         return docs
 
-    def candidates(self, plan: QueryPlan) -> DataFrame:
-        """document_id, unit_id, retriever, match_type, raw_score of all lexical retrievers, in one union."""
-        units = self.catalog.units().join(self.scope(plan).select("document_id"), "document_id", "left_semi")
+    def candidates(self, plan: QueryPlan, strategies: list[str] | None = None) -> DataFrame:
+        """document_id, unit_id, retriever, match_type, raw_score of the retrievers that the plan (or
+        ``strategies``) names, in one union. There is no semantic one: questions have no vectors here."""
+        chosen = strategies or plan.strategies or STRATEGIES
+        scope = self.scope(plan)
+        inside = scope.select("document_id")
+        known = self.catalog.units()
+        units = known.join(inside, "document_id", "left_semi")
         empty = units.select("document_id", "unit_id", F.lit("").alias("retriever"), F.lit("").alias("match_type"), F.lit(0.0).alias("raw_score")).limit(0)
         parts = [empty]
 
-        def add(found: DataFrame, retriever: str, match: str, score="score") -> None:
+        def add(found: DataFrame, retriever: str, match: str | Column, score="score") -> None:
             raw = F.col(score) if isinstance(score, str) else score
-            parts.append(found.select("document_id", "unit_id", F.lit(retriever).alias("retriever"), F.lit(match).alias("match_type"), raw.alias("raw_score")))
+            kind = F.lit(match) if isinstance(match, str) else match
+            parts.append(found.select("document_id", "unit_id", F.lit(retriever).alias("retriever"), kind.alias("match_type"), raw.alias("raw_score")))
+
+        def given(found: DataFrame, retriever: str) -> None:
+            add(found, retriever, F.col("match_type"), "raw_score")
 
-        for phrase in plan.phrases:
-            add(P.with_phrase(units, phrase), "exact", "exact_phrase", F.lit(1.0))
-        for identifier in plan.identifiers:
-            add(units.where(F.array_contains(T.identifiers(F.col("text")), identifier)), "exact", "exact_identifier", F.lit(1.0))
         words = plan.text.split()
-        if len(words) == 1:
-            add(P.ranked(units, words), "exact", "exact_term")
-        if len(words) >= 2:
-            add(P.with_phrase(units, plan.text), "exact", "exact_phrase", F.lit(1.0))
-            scored = P.ranked(units, words, need=1)
-            add(scored.where(F.col("matched") == len(set(words))), "lexical", "all_terms")
-            if len(set(words)) >= 3 and not plan.phrases:
-                need = max(2, -(-3 * len(set(words)) // 5))
-                add(scored.where((F.col("matched") >= need) & (F.col("matched") < len(set(words)))), "lexical", "most_terms")
+        if "exact" in chosen:
+            for phrase in plan.phrases:
+                add(P.with_phrase(units, phrase), "exact", "exact_phrase", F.lit(1.0))
+            for identifier in plan.identifiers:
+                add(units.where(F.array_contains(T.identifiers(F.col("text")), identifier)), "exact", "exact_identifier", F.lit(1.0))
+            if len(words) == 1:
+                add(P.ranked(units, words), "exact", "exact_term")
+            if len(words) >= 2:
+                add(P.with_phrase(units, plan.text), "exact", "exact_phrase", F.lit(1.0))
+            named = T.split_words(" ".join([*plan.phrases, plan.text]))
+            named = [w for w in named if w not in T.STOPWORDS] or named
+            if len("".join(named)) >= 3:
+                held = T.tokens(F.regexp_replace("filename", "_", " "))
+                every = F.size(F.array_intersect(held, F.array(*map(F.lit, named)))) == len(set(named))
+                given(V.filename(scope.where(every), named), "exact")
+        if "lexical" in chosen and len(words) >= 2:
+            stems = sorted({stem(w) for w in words})
+            scored = P.ranked(units, stems, need=1, forms=V.stem_forms(units, stems))
+            add(scored.where(F.col("matched") == len(stems)), "lexical", "all_terms")
+            if len(stems) >= 3 and not plan.phrases:
+                need = max(2, -(-3 * len(stems) // 5))
+                add(scored.where((F.col("matched") >= need) & (F.col("matched") < len(stems))), "lexical", "most_terms")
             for form in T.join_variants(words):
                 add(P.with_phrase(units, form), "lexical", "joined_form", F.lit(1.0))
-        if not parts[1:] or plan.strategies == ["structured"]:
-            add(self.scope(plan).withColumn("unit_id", F.lit(None).cast("string")), "structured", "structured", F.lit(0.0))
+        if "fuzzy" in chosen and words:
+            given(V.ocr_tolerant(units, words), "fuzzy")
+            for word in dict.fromkeys(words):
+                given(V.partial_identifier(units, word), "fuzzy")
+            given(V.typos(units, known, words), "fuzzy")  # dropped by fuse where anything else is found
+        if "entity" in chosen:
+            entities = self.catalog.table("entities").join(inside, "document_id", "left_semi")
+            given(V.entity(self.catalog.spark, entities, plan.question), "entity")
+        if "contextual" in chosen:
+            clauses = self.catalog.table("clauses").join(inside, "document_id", "left_semi")
+            given(V.contextual(units, clauses, plan.question), "contextual")
+        if "metadata" in chosen and words:
+            given(V.metadata(units, words), "metadata")
+        if not (words or plan.phrases or plan.identifiers) or plan.strategies == ["structured"]:
+            add(scope.withColumn("unit_id", F.lit(None).cast("string")), "structured", "structured", F.lit(0.0))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -113,11 +148,13 @@ class Engine:
         return found.join(docs, "document_id").select("rank", "document_id", "filename", "title", "doc_type", "tier", "score", "page", "char_start", snippet.alias("snippet")).orderBy("rank")
 
     def document_set(self, plan: QueryPlan) -> DataFrame:
-        """Documents of a computation: filters, and the words of the question where there are any."""
+        """Documents of a computation: filters, and the words of the question where there are any. Only
+        the matches of DOCUMENT_SET count, so not most words and no corrected typing errors."""
         scope = self.scope(plan)
         if not (plan.text or plan.phrases or plan.identifiers):
             return scope
-        return scope.join(self.candidates(plan).select("document_id").distinct(), "document_id", "left_semi")
+        found = self.candidates(plan, ["exact", "lexical", "fuzzy"]).where(F.col("match_type").isin(*DOCUMENT_SET))
+        return scope.join(found.select("document_id").distinct(), "document_id", "left_semi")
 
     def run(self, question: str, today: date | None = None, limit: int = 20) -> DataFrame:
         """The answer of a question as a DataFrame: results, a number, or a table."""

@@ -55,8 +55,9 @@ def bm25(tf: Column, df: Column, n: Column, length: Column) -> Column:
     return idf(df, n) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / AVERAGE))
 
 
-def ranked(units: DataFrame, terms: list[str], need: int | None = None) -> DataFrame:
+def ranked(units: DataFrame, terms: list[str], need: int | None = None, forms: DataFrame | None = None) -> DataFrame:
     """unit_id, document_id, matched, score of the units with at least ``need`` (all) of the different terms.
+    forms (word, term): the words that count as a term, where it is not only the term itself.
 
     One pass over the units: the words of a unit are counted in place, so only matching
     (unit, term) rows leave the scan; their document frequencies are a small side.
@@ -64,7 +65,8 @@ def ranked(units: DataFrame, terms: list[str], need: int | None = None) -> DataF
     terms = list(dict.fromkeys(terms))
     base = units.select("unit_id", "document_id", T.tokens(F.col("text")).alias("words"))
     total = base.agg(F.count("*").alias("n"))
-    hits = base.select("unit_id", "document_id", F.size("words").alias("length"), F.explode("words").alias("term")).where(F.col("term").isin(terms))
+    held = base.select("unit_id", "document_id", F.size("words").alias("length"), F.explode("words").alias("term" if forms is None else "word"))
+    hits = held.where(F.col("term").isin(terms)) if forms is None else held.join(forms, "word")
     hits = hits.groupBy("unit_id", "document_id", "length", "term").agg(F.count("*").alias("tf"))
     # At most one row for each asked term, and one row: bounded by the question.
     df = hits.groupBy("term").agg(F.least(F.count("*"), F.lit(DF_CAP)).alias("df"))

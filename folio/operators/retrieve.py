@@ -56,6 +56,30 @@ def all_stems(units: DataFrame, words: list[str]) -> DataFrame:
     return _found(hits, "all_terms", F.col("tf"))
 
 
+def stem_forms(units: DataFrame, stems: list[str]) -> DataFrame:
+    """word, term: the words of the units that have one of the stems, with that stem."""
+    held = units.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    return with_stems(held).where(F.col("stem").isin(stems)).select(F.col("term").alias("word"), F.col("stem").alias("term"))
+
+
+def typos(units: DataFrame, known: DataFrame, words: list[str]) -> DataFrame:
+    """Units that hold all the words, where words that ``known`` units lack are corrected (six words at most, five letters at least)."""
+    asked = list(dict.fromkeys(words))
+    long = [w for w in asked if len(w) >= 5 and not w.isdigit()]
+    if not long or len(asked) > 6:
+        return _found(units.limit(0), "fuzzy", F.lit(1.0))
+    vocabulary = P.vocabulary(known.select(F.explode(T.tokens(F.col("text"))).alias("term")))
+    near = None
+    for w in long:
+        some = P.corrections(vocabulary, w).select(F.col("term").alias("word"), F.lit(w).alias("term"))
+        near = some if near is None else near.unionByName(some)
+    near = near.join(unmatched(known, long).withColumnRenamed("word", "term"), "term", "left_semi").select("word", "term")
+    own = units.sparkSession.createDataFrame([(w, w) for w in asked], "word string, term string")
+    forms = own.unionByName(near)
+    corrected = forms.agg(F.coalesce(F.max(F.col("word") != F.col("term")), F.lit(False)).alias("_corrected"))
+    return _found(P.ranked(units, asked, forms=forms).crossJoin(F.broadcast(corrected)).where("_corrected"), "fuzzy", F.lit(1.0))
+
+
 def entity(spark: SparkSession, entities: DataFrame, question: str) -> DataFrame:
     """Documents of persons, organisations and jurisdictions that the question names; longer names win."""
     grams = spark.createDataFrame([(g,) for g in T.question_ngrams(question)], "gram string")

@@ -1,5 +1,8 @@
 """Whole results: cases that a cut would lose."""
 
+from datetime import datetime
+
+from folio.operators.engine import Engine, TenantCatalog
 from folio.plans import registry
 
 
@@ -8,3 +11,28 @@ def test_margin_has_no_limit(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = {(r["query_id"], r["vec_id"]) for r in registry.queries()["semantic_margin"](spark, str(tmp_path)).collect()}
     assert found == {(q, v) for q in (0, 20) for v in range(31)}
+
+
+def test_engine_runs_the_retrievers_of_the_plan(spark, tmp_path):
+    texts = {
+        "d1": "the 0ld cabinet was moved", "d2": "order INV-77-0048123 was paid", "d3": "nothing here", "d4": "the suppliers invoiced us", "d5": "a letter", "d6": "some clause",
+    }
+    names = {"d3": "harbour_survey.txt"}
+    at = datetime(2026, 1, 1)
+    docs = [("t", d, names.get(d, f"{d}x.txt"), d, "memo", "indexed", "en", "text", "txt", False) for d in texts]
+    spark.createDataFrame(docs, "tenant_id string, document_id string, filename string, title string, doc_type string, status string, language string, kind string, file_ext string, has_signature boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    units = [("t", d, f"{d}:0", 1, "passage", text, 0, at) for d, text in texts.items()] + [("t", "d5", "d5:1", 1, "document", "title quarterly ledger", None, at)]
+    spark.createDataFrame(units, "tenant_id string, document_id string, unit_id string, page int, unit_type string, text string, char_start int, stored_at timestamp").write.parquet(f"{tmp_path}/units.parquet")
+    spark.createDataFrame([("t", "d5", "person", "Ann Marlowe", "ann marlowe")], "tenant_id string, document_id string, type string, value string, value_norm string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([("t", "d6", "warranty")], "tenant_id string, document_id string, clause_type string").write.parquet(f"{tmp_path}/clauses.parquet")
+    engine = Engine(TenantCatalog(spark, str(tmp_path), "t"))
+    for question, document, kind in (
+        ("old cabinet", "d1", "ocr_tolerant"), ("0048123", "d2", "partial_identifier"), ("harbour survey", "d3", "filename"), ("supplier invoicing", "d4", "all_terms"), ("ann marlowe", "d5", "entity"),
+        ("guarantee", "d6", "concept_clause"), ("quarterly ledger", "d5", "metadata"), ("suplliers invoiced", "d4", "fuzzy"),
+    ):
+        found = {(r["document_id"], r["match_type"]) for r in engine.candidates(engine.plan(question, at.date())).collect()}
+        assert (document, kind) in found, question
+    for question, n in (("how many documents about old cabinet", 1), ("how many documents about harbour survey", 1), ("how many documents about supplier invoicing", 1), ("how many documents about suplliers invoiced", 0)):
+        plan = engine.plan(question, at.date())
+        plan.text = question.split("about ")[1]
+        assert engine.document_set(plan).count() == n, question
