@@ -5,8 +5,8 @@ position (its upper bits) and the byte there (its lowest eight), so two records
 positional byte for each shingle they share. All shingles are put in one order, rare ones first,
 by counts over the whole collection. Two records of similarity t or more share at least ``t`` of
 the larger one's shingles; so of the first n - ceil(t n) + k shingles of each, at least k are
-shared. Only these stand in the inverted index. Pairs are tallied by shared positional bytes,
-pairs with fewer than k are dropped, and the rest are verified on their whole shingle sets.
+shared, or all where the pair shares fewer than k. Only these stand in the inverted index. Pairs are tallied by shared positional bytes,
+pairs with fewer than k (or than the pair needs, if that is less) are dropped, and the rest are verified on their whole shingle sets.
 
 A shared entry must also leave enough shingles behind it in both orders for the pair to reach
 t at all; the first k shared entries of a true pair do, so others are not tallied.
@@ -169,7 +169,9 @@ def near_duplicates(
     overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-6)
     smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("class_a") < F.col("class_b")))
     close: Column = smaller & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
-    tallied = a.join(b, "entry").where(close).groupBy("class_a", "class_b").agg(F.count("*").alias("hits"))
+    # A pair of small sets may reach t with fewer than k shared shingles in all; then each counts for more.
+    weight = F.greatest(F.lit(1), F.ceil(shared / F.greatest(overlap, F.lit(1))))
+    tallied = a.join(b, "entry").where(close).groupBy("class_a", "class_b").agg(F.sum(weight).alias("hits"))
     candidates = materialize(tallied.where(F.col("hits") >= shared).select("class_a", "class_b"))
     return members, _verified(candidates, classes, source, similarity, shingle)
 

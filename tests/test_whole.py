@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from folio.llm.neardup import linked_pairs
 from folio.operators.engine import Engine, TenantCatalog
 from folio.plans import registry
 
@@ -36,3 +37,9 @@ def test_engine_runs_the_retrievers_of_the_plan(spark, tmp_path):
         plan = engine.plan(question, at.date())
         plan.text = question.split("about ")[1]
         assert engine.document_set(plan).count() == n, question
+
+
+def test_small_sets_share_few(spark):
+    rows = [("p", "a", "x " * 40 + "y"), ("p", "b", "x " * 40 + "y z"), ("p", "c", "x " * 40 + "q r s t u"), ("p", "d", "x " * 40), ("p", "e", "w " * 40)]
+    found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
+    assert found == {("a", "b")}
