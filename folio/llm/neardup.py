@@ -135,7 +135,7 @@ def near_duplicates(
                 if n < least_words:
                     continue
                 salt = np.uint64(_hash(part))
-                one = _signed(_hash(part + h.tobytes().hex()))
+                one = _class(part, h)
                 entries = None
                 if one not in seen:  # copies within a task are indexed once
                     seen.add(one)
@@ -184,11 +184,16 @@ def _verified(candidates: DataFrame, classes: DataFrame, source: DataFrame, simi
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         for batch in rows(batches, 1000):
-            packed = [shingles(t)[1].tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["class_id", "hashes"])
-
-    # A record id may stand in several rows with other texts; the class of a row is its own.
-    texts = source.join(_small(materialize(chosen)), ["part", "record_id"]).select("class_id", "text")
+            found: list[list] = [[], []]
+            for one, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = shingles(text)[1]
+                if _class(part, h) == one:
+                    found[0].append(one)
+                    found[1].append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["class_id", "hashes"])
+
+    # A record id may stand in several rows with other texts; only those of the class itself are kept.
+    texts = source.join(_small(materialize(chosen)), ["part", "record_id"]).select("class_id", "part", "text")
     hashed = texts.mapInArrow(sets, "class_id long, hashes binary").dropDuplicates(["class_id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +221,10 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _class(part: str, hashes: np.ndarray) -> int:
+    return _signed(_hash(part + hashes.tobytes().hex()))
+
+
 def linked_pairs(records: DataFrame, **options) -> DataFrame:
     """(part, id_a, id_b): all pairs of records with different texts that are near duplicates,
     id_a < id_b. Records with equal texts are no pair. Options and cases: near_duplicates."""

@@ -43,3 +43,14 @@ def test_small_sets_share_few(spark):
     rows = [("p", "a", "x " * 40 + "y"), ("p", "b", "x " * 40 + "y z"), ("p", "c", "x " * 40 + "q r s t u"), ("p", "d", "x " * 40), ("p", "e", "w " * 40)]
     found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
     assert found == {("a", "b")}
+
+
+def test_ids_with_several_texts(spark):
+    rows = []
+    for k in range(12):
+        base = " ".join(f"w{k}n{i}" for i in range(50))
+        rows += [("p", f"a{k}", base), ("p", f"b{k}", base + " more")]
+        rows += [("p", f"a{k}", " ".join(f"{c}{k}n{i}" for i in range(60))) for c in "uv"]
+        rows += [("p", f"c{k}", " ".join(f"u{k}n{i}" for i in range(60)) + " end")]
+    found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
+    assert found == {pair for k in range(12) for pair in ((f"a{k}", f"b{k}"), (f"a{k}", f"c{k}"))}
