@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from folio.functions.extract import sentences
 from folio.sources.parsers import block_type
 
-TARGET, SLACK, MOST_ROWS = 1000, 1.25, 5000
+TARGET, SLACK = 1000, 1.25
 UNITS = "document_id string, page int, ordinal int, unit_type string, text string, context string, char_start int, char_end int"
 
 
@@ -41,7 +41,7 @@ def page_units(text: str) -> list[tuple[str, str, str | None, int, int]]:
     for part in text.split("\n\n"):
         if block_type(part) == "table":
             lines, offset = part.split("\n"), at + len(part.split("\n")[0]) + 1
-            for line in lines[1 : MOST_ROWS + 1]:
+            for line in lines[1:]:
                 found.append(("table_row", line, lines[0], offset, offset + len(line)))
                 offset += len(line) + 1
             if prose_start is not None:

@@ -38,7 +38,13 @@ _BETWEEN = re.compile(rf"\bbetween ({_NAME}) and ({_NAME})")
 _CLAUSE = re.compile(r"(?m)^(?:(?P<ref>\d{1,2}(?:\.\d{1,2})*)[.)]? +(?P<head>[A-Z][^\n]{2,80})|(?P<title>[A-Z][A-Za-z ]{3,60}))$")
 _CONTACT = re.compile(r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?P<phone>(?<![\w/-])\+?\(?\d[\d ()-]{6,18}\d(?![\w/-]))")
 _SENTENCE = re.compile(r"[^.!?;\n]+(?:[.!?;]+|$|(?=\n))")
-_LABEL = re.compile(r"(?m)^([A-Z][\w /-]{1,38}): +(\S[^\n]{0,300})$")
+_LABEL = re.compile(r"(?m)^([A-Z][\w /-]{1,38}): +(\S[^\n]*)$")
+_STOP = re.compile(r"[.\n]")
+# Sentences that state a clause without a heading: type, cue, whether the sentence begins before the cue.
+_STATED = (
+    ("governing_law", re.compile(r"(?i)\bgoverned\s+by\s+the\s+laws?\s+of\b"), True), ("governing_law", re.compile(r"(?i)\bgoverning\s+law\s*:"), False),
+    ("termination", re.compile(r"(?i)\b(?:may|shall|can)\s+(?:terminate|end\s+(?:the|this)\s+(?:employment|agreement|contract|lease|engagement))\b"), True),
+)
 
 
 def _cue(text: str, start: int, roles: dict[str, str], reach: int) -> str | None:
@@ -133,19 +139,31 @@ def find_contacts(text: str) -> list[dict]:
 
 
 def find_clauses(text: str) -> list[dict]:
+    """Headed clauses up to the next head, and sentences that state a governing law or a right to terminate.
+    The heading tells the type, else the opening of the body, else the rest of it."""
     heads = list(_CLAUSE.finditer(text))
     found = []
     for k, m in enumerate(heads):
         stop = heads[k + 1].start() if k + 1 < len(heads) else len(text)
-        body = text[m.end() : min(stop, m.end() + 1500)].rstrip()
-        head = m["head"] or m["title"]
-        kind = next((c for w, c in CLAUSE_WORDS.items() if w in head.lower()), None)
-        sure = 0.95
-        if kind is None:
-            kind, sure = next((c for w, c in CLAUSE_WORDS.items() if w in body[:240].lower()), None), 0.75
+        body = text[m.end() : stop].rstrip()
+        head, low = (m["head"] or m["title"]).lower(), body.lower()
+        kind, sure = next(((c, sure) for part, sure in ((head, 0.95), (low[:240], 0.75), (low, 0.75)) for w, c in CLAUSE_WORDS.items() if w in part), (None, 0.0))
         if kind and body.strip():
             found.append({"start": m.start(), "end": m.end() + len(body), "name": kind, "value": text[m.start() : m.end() + len(body)], "unit": m["ref"], "confidence": sure})
-    return found
+    headed = list(found)
+    for kind, cue, before in _STATED:
+        end = 0
+        for m in cue.finditer(text):
+            if m.start() < end:
+                continue
+            start = max(end, text.rfind(".", end, m.start()) + 1, text.rfind("\n", end, m.start()) + 1) if before else m.start()
+            stop = _STOP.search(text, m.end())
+            end = stop.end() if stop else len(text)
+            value = text[start:end].strip()
+            start += len(text[start:end]) - len(text[start:end].lstrip())
+            if not any(f["name"] == kind and f["start"] <= start < f["end"] for f in headed):
+                found.append({"start": start, "end": start + len(value), "name": kind, "value": value, "confidence": 0.7})
+    return sorted(found, key=lambda f: f["start"])
 
 
 def find_relations(text: str) -> list[dict]:

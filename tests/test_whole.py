@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from folio.functions import extract as X
+from folio.functions.chunks import page_units
 from folio.llm.neardup import linked_pairs
 from folio.operators.engine import Engine, TenantCatalog
 from folio.plans import registry
@@ -54,3 +56,18 @@ def test_ids_with_several_texts(spark):
         rows += [("p", f"c{k}", " ".join(f"u{k}n{i}" for i in range(60)) + " end")]
     found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
     assert found == {pair for k in range(12) for pair in ((f"a{k}", f"b{k}"), (f"a{k}", f"c{k}"))}
+
+
+def test_units_and_facts_are_whole():
+    rows = [f"r{i} | {i}" for i in range(5200)]
+    assert [u[1] for u in page_units("h | v\n" + "\n".join(rows))] == rows
+    body = "The parties agree on this. " * 80 + "The premium of the insurance is paid by the tenant."
+    clause = X.find_clauses(f"1. General matters\n{body}")
+    assert [c["name"] for c in clause] == ["insurance"] and clause[0]["value"].endswith("by the tenant.")
+    assert X.find_relations("Remark: " + "v" * 400)[0]["value"] == "v" * 400
+    text = "we met. This deed is governed by\nthe laws of Spain. Either side may terminate this lease early. Nothing more.\nGoverning law: Italy"
+    stated = X.find_clauses(text)
+    assert [(c["name"], c["value"]) for c in stated] == [
+        ("governing_law", "This deed is governed by\nthe laws of Spain."), ("termination", "Either side may terminate this lease early."), ("governing_law", "Governing law: Italy"),
+    ]
+    assert all(text[c["start"] : c["end"]] == c["value"] for c in stated)
