@@ -87,12 +87,13 @@ def starting(words: DataFrame, prefix: str) -> DataFrame:
     return words.where(F.col("term").startswith(prefix))
 
 
-def corrections(terms: DataFrame, asked: str, shortlist: int = 50) -> DataFrame:
+def corrections(terms: DataFrame, asked: str, most_rows: int | None = 5) -> DataFrame:
     """Vocabulary words that ``asked`` may be a typing error of: same first letter, similar length and
-    trigrams; an edit (a swap of neighbours is one) for short words, two for long ones; the nearest."""
+    trigrams; an edit (a swap of neighbours is one) for short words, two for long ones; the nearest.
+    Only the reported rows are limited."""
     most = 1 if len(asked) < 8 else 2
     near = terms.where(F.col("term").startswith(asked[:1]) & F.abs(F.length("term") - len(asked)).between(0, 2))
-    near = near.where(F.levenshtein("term", F.lit(asked)) <= 2 * most).withColumn("similarity", T.trigram_similarity(F.col("term"), F.lit(asked)))
-    near = near.where("similarity >= 0.3").orderBy(F.desc("similarity"), "term").limit(shortlist)
+    near = near.where(F.levenshtein("term", F.lit(asked)) <= 2 * most).where(T.trigram_similarity(F.col("term"), F.lit(asked)) >= 0.3)
     near = near.withColumn("distance", T.edit_distance_udf(F.col("term"), F.lit(asked))).where(F.col("distance") <= most)
-    return near.withColumn("_r", F.rank().over(Window.partitionBy(F.lit(1)).orderBy("distance"))).where("_r = 1").select("term", "distance").orderBy("term").limit(5)
+    found = near.withColumn("_r", F.rank().over(Window.partitionBy(F.lit(1)).orderBy("distance"))).where("_r = 1").select("term", "distance")
+    return found if most_rows is None else found.orderBy("term").limit(most_rows)

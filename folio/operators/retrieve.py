@@ -71,7 +71,7 @@ def typos(units: DataFrame, known: DataFrame, words: list[str]) -> DataFrame:
     vocabulary = P.vocabulary(known.select(F.explode(T.tokens(F.col("text"))).alias("term")))
     near = None
     for w in long:
-        some = P.corrections(vocabulary, w).select(F.col("term").alias("word"), F.lit(w).alias("term"))
+        some = P.corrections(vocabulary, w, None).select(F.col("term").alias("word"), F.lit(w).alias("term"))
         near = some if near is None else near.unionByName(some)
     near = near.join(unmatched(known, long).withColumnRenamed("word", "term"), "term", "left_semi").select("word", "term")
     own = units.sparkSession.createDataFrame([(w, w) for w in asked], "word string, term string")

@@ -6,6 +6,7 @@ from folio.functions import extract as X
 from folio.functions.chunks import page_units
 from folio.llm.neardup import linked_pairs
 from folio.operators.engine import Engine, TenantCatalog
+from folio.operators.postings import corrections
 from folio.plans import registry
 
 
@@ -71,3 +72,10 @@ def test_units_and_facts_are_whole():
         ("governing_law", "This deed is governed by\nthe laws of Spain."), ("termination", "Either side may terminate this lease early."), ("governing_law", "Governing law: Italy"),
     ]
     assert all(text[c["start"] : c["end"]] == c["value"] for c in stated)
+
+
+def test_corrections_without_a_shortlist(spark):
+    asked = "warehouses"  # words with all of its trigrams but one or two are more alike than the nearest one, a swap
+    far = [f"warehouses{a}{b}"[:12] for a in "abcdefgh" for b in "stuvwxyz"]
+    terms = spark.createDataFrame([(t,) for t in {*far, "waerhouses"}], "term string")
+    assert [(r["term"], r["distance"]) for r in corrections(terms, asked).collect()] == [("waerhouses", 1)]
