@@ -36,7 +36,7 @@ GREEK_LATIN = "αa οo νv ρp ιi κk υu τt χx γy ΑA ΒB ΕE ΖZ ΗH ΙI 
 CYRILLIC_GREEK = "оο рρ кκ хχ уγ аα АΑ ВΒ ЕΕ КΚ МΜ НΗ ОΟ РΡ ТΤ ХΧ ПΠ ГΓ ФΦ"
 
 #: What none of the forms can do without: one look tells most texts apart.
-_HINT = re.compile(f"[{INVISIBLE}{SPACES}{WIDE}\\u0300-\\u036F\\u0370-\\u052F\\u0591-\\u06ED\\u0900-\\u0DFF\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF]")
+_HINT = regex.compile(rf"[\p{{M}}\p{{Greek}}\p{{Cyrillic}}{INVISIBLE}{SPACES}{WIDE}]")
 _TOKEN = regex.compile(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = f"[\\p{{M}}{INVISIBLE}]*"

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from folio.functions import extract as X
 from folio.functions.chunks import page_units
+from folio.llm.forms import suspect
 from folio.llm.neardup import linked_pairs
 from folio.operators.engine import Engine, TenantCatalog
 from folio.operators.postings import corrections
@@ -79,3 +80,7 @@ def test_corrections_without_a_shortlist(spark):
     far = [f"warehouses{a}{b}"[:12] for a in "abcdefgh" for b in "stuvwxyz"]
     terms = spark.createDataFrame([(t,) for t in {*far, "waerhouses"}], "term string")
     assert [(r["term"], r["distance"]) for r in corrections(terms, asked).collect()] == [("waerhouses", 1)]
+
+
+def test_hint_sees_all_marks():
+    assert suspect("plain がく") and suspect("aἀ") and suspect("aꙋ") and not suspect("plain") and not suspect("ἀνήρ")
