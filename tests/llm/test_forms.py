@@ -1,5 +1,5 @@
 from folio.llm.automaton import Trie
-from folio.llm.forms import _rules, consistent_text, normalize, skeleton
+from folio.llm.forms import _rules, consistent_text, normalize, skeleton, suspect
 
 
 def test_automaton_reads_all_forms_at_no_cost():
@@ -28,3 +28,7 @@ def test_rows(spark):
     assert by[3] == (None, []) and by[4] == ("", []) and by[None] == ("a b", ["space"]) and by[5][0].endswith("file") and by[5][1] == ["width"]
     assert {r["doc_id"] for r in consistent_text(df, only_changed=True).collect()} == {2, None, 5}
     assert consistent_text(df.limit(0)).count() == 0
+
+
+def test_hint_sees_all_marks():
+    assert suspect("plain がく") and suspect("aἀ") and suspect("aꙋ") and not suspect("plain") and not suspect("ἀνήρ")
