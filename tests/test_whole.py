@@ -4,8 +4,6 @@ from datetime import datetime
 
 from folio.functions import extract as X
 from folio.functions.chunks import page_units
-from folio.llm.forms import suspect
-from folio.llm.neardup import linked_pairs
 from folio.operators.engine import Engine, TenantCatalog
 from folio.operators.postings import corrections
 from folio.plans import registry
@@ -43,23 +41,6 @@ def test_engine_runs_the_retrievers_of_the_plan(spark, tmp_path):
         assert engine.document_set(plan).count() == n, question
 
 
-def test_small_sets_share_few(spark):
-    rows = [("p", "a", "x " * 40 + "y"), ("p", "b", "x " * 40 + "y z"), ("p", "c", "x " * 40 + "q r s t u"), ("p", "d", "x " * 40), ("p", "e", "w " * 40)]
-    found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
-    assert found == {("a", "b")}
-
-
-def test_ids_with_several_texts(spark):
-    rows = []
-    for k in range(12):
-        base = " ".join(f"w{k}n{i}" for i in range(50))
-        rows += [("p", f"a{k}", base), ("p", f"b{k}", base + " more")]
-        rows += [("p", f"a{k}", " ".join(f"{c}{k}n{i}" for i in range(60))) for c in "uv"]
-        rows += [("p", f"c{k}", " ".join(f"u{k}n{i}" for i in range(60)) + " end")]
-    found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
-    assert found == {pair for k in range(12) for pair in ((f"a{k}", f"b{k}"), (f"a{k}", f"c{k}"))}
-
-
 def test_units_and_facts_are_whole():
     rows = [f"r{i} | {i}" for i in range(5200)]
     assert [u[1] for u in page_units("h | v\n" + "\n".join(rows))] == rows
@@ -80,7 +61,3 @@ def test_corrections_without_a_shortlist(spark):
     far = [f"warehouses{a}{b}"[:12] for a in "abcdefgh" for b in "stuvwxyz"]
     terms = spark.createDataFrame([(t,) for t in {*far, "waerhouses"}], "term string")
     assert [(r["term"], r["distance"]) for r in corrections(terms, asked).collect()] == [("waerhouses", 1)]
-
-
-def test_hint_sees_all_marks():
-    assert suspect("plain がく") and suspect("aἀ") and suspect("aꙋ") and not suspect("plain") and not suspect("ἀνήρ")
