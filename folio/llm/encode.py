@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
-#: Characters of a leaf of the tree.
-LEAF = 16_384
+#: Characters of a leaf of the tree (a line of text), so that nearly every text is a tree of several.
+LEAF = 96
 #: Characters on either side of a border in the first window.
-WINDOW = 64
+WINDOW = 16
 #: The split pattern of byte_bpe_50k (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,10 +43,11 @@ class TreeEncoder:
         self.encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.size = {rank: len(token) for token, rank in table.items()}
         self.leaf, self.window = leaf, window
+        self.joins = 0  # borders joined so far
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
+        if not text:
+            return []
         # Neighbours are joined level by level, so no recursion depth is needed for any length.
         level = [(a, min(a + self.leaf, len(text))) for a in range(0, len(text), self.leaf)]
         level = [(a, b, self.encoding.encode_ordinary(text[a:b])) for a, b in level]
@@ -59,6 +60,8 @@ class TreeEncoder:
         return self.encoding.decode(ids)
 
     def _join(self, text: str, left: tuple, right: tuple) -> tuple:
+        """The encoding of two neighbouring pieces: tokens near their border are made again from a window
+        whose ends are certain breaks (or the ends of the pieces), all others are kept."""
         start, border, ids = left
         _, end, more = right
         reach = self.window
@@ -73,27 +76,20 @@ class TreeEncoder:
             if b < end or border + reach >= end:
                 break
             reach *= 2
-        ids = ids[: self._upto(ids, text[a:border])]
-        more = more[len(more) - self._upto(more[::-1], text[border:b], whole=text[b:end]) :] if b < end else []
-        ids.extend(self.encoding.encode_ordinary(text[a:b]))
-        ids.extend(more)
+        size = self.size
+        keep, cut = len(ids), len(text[a:border].encode())
+        while cut > 0:
+            keep -= 1
+            cut -= size[ids[keep]]
+        skip, cut = 0, len(text[border:b].encode())
+        while cut > 0:
+            cut -= size[more[skip]]
+            skip += 1
+        ids[keep:] = self.encoding.encode_ordinary(text[a:b])
+        ids.extend(more[skip:] if skip else more)
+        self.joins += 1
         return start, end, ids
 
-    def _upto(self, ids: list[int], cut: str, whole: str | None = None) -> int:
-        """How many of ids remain when the bytes of ``cut`` go from their end; with ``whole``,
-        how many of ids make up the bytes of ``whole``."""
-        if whole is not None:
-            left, n = len(whole.encode()), 0
-            while left > 0:
-                left -= self.size[ids[n]]
-                n += 1
-            return n
-        left, n = len(cut.encode()), len(ids)
-        while left > 0:
-            n -= 1
-            left -= self.size[ids[n]]
-        return n
-
 
 def _breaks(text: str, p: int) -> bool:
     return text[p] in SPACE and text[p - 1] not in SPACE
