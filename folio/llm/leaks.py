@@ -1,15 +1,19 @@
 """Problem 7: passages of held-out test items inside the corpus.
 
-The items are the collection of a BM25 inverted index; every passage of the corpus is a query.
-A query's score for an item is bounded block by block from the greatest weight of each word in
-the block (block-max WAND); only blocks whose bound reaches the threshold are scored. The
-threshold of an item is proven: a passage that holds ``run`` consecutive words of the item
-scores at least the least sum of weights over all such windows of the item, so nothing is lost.
-What passes is verified word by word.
+The items are the collection of a BM25 inverted index; every passage of the corpus is a query, its
+words counted as often as they stand in it. Items lie in blocks. A passage's score is first
+bounded by the greatest weights of each block (block-max WAND): the blocks whose bound reaches
+their least threshold are the pivots, all others are skipped, and only in the pivots are posting
+lists read and items scored. The threshold of an item is proven: a passage that holds ``run``
+consecutive words of the item scores at least the least sum of weights over all such windows of
+the item, so no leak is below it. Passages overlap so far that every ``run`` consecutive words
+stand in one of them, around its middle word; a candidate is verified by laying passage and
+item upon each other at that word and comparing outward, word by word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,101 +26,106 @@ from folio.llm.words import rows, words
 
 #: BM25 parameters and consecutive words that make a leak (defaults).
 K1, B, RUN = 1.2, 0.75, 12
-#: Items of a block of the index; items of one index (a shard); words of a passage.
-BLOCK, SHARD, PASSAGE = 16, 4096, 512
+#: Items of a block, items of one index (a shard), shards of one pass over the corpus.
+BLOCK, SHARD, SHARDS_A_PASS = 32, 4096, 8
+#: Words of a text that are scored at once (bounds the memory of a task).
+SEGMENT = 16_384
 
 
 class ItemIndex:
-    """Inverted index of items: word -> (items, weights), with the greatest weight of each block."""
+    """Inverted index of items: posting lists by block, with the greatest weight of each word in each block."""
 
     def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN):
         self.run = run
         items = [(i, w) for i, w in items if len(w) >= run]
         self.ids = [i for i, _ in items]
-        self.texts = [w for _, w in items]
-        n = len(items)
-        mean = sum(len(w) for w in self.texts) / n if n else 1.0
         self.number: dict[str, int] = {}
-        counts: list[dict[int, int]] = []
-        for text in self.texts:
-            tf: dict[int, int] = {}
-            for w in text:
-                k = self.number.setdefault(w, len(self.number))
-                tf[k] = tf.get(k, 0) + 1
-            counts.append(tf)
-        df = np.zeros(len(self.number))
+        self.texts = [[self.number.setdefault(w, len(self.number)) for w in text] for _, text in items]
+        n, self.other = len(items), len(self.number)
+        mean = sum(map(len, self.texts)) / n if n else 1.0
+        counts = [Counter(text) for text in self.texts]
+        df = np.zeros(self.other)
         for tf in counts:
             df[list(tf)] += 1
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        # Word by item, sparse by posting list; dense only within the block that is being scored.
-        self.weight = [{k: idf[k] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(text) / mean)) for k, f in tf.items()} for tf, text in zip(counts, self.texts)]
-        blocks = (n + BLOCK - 1) // BLOCK
-        self.bound = np.zeros((len(self.number) + 1, blocks), np.float32)  # the last row is for other words
-        self.dense: list[np.ndarray] = []
-        for b in range(blocks):
-            inside = self.weight[b * BLOCK : (b + 1) * BLOCK]
-            dense = np.zeros((len(self.number) + 1, len(inside)), np.float32)
-            for col, weights in enumerate(inside):
-                dense[list(weights), col] = list(weights.values())
-            held = np.unique(np.fromiter((k for weights in inside for k in weights), np.int64))
-            self.bound[held, b] = dense[held].max(1)
-            local = np.full(len(self.number) + 1, len(held))
-            local[held] = np.arange(len(held))
-            self.dense.append((local, np.vstack([dense[held], np.zeros((1, len(inside)), np.float32)])))
-        self.least = np.array([self._least(text, weights) for text, weights in zip(self.texts, self.weight)], np.float32) * (1 - 1e-4)
-        self.least_of_block = np.array([self.least[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)], np.float32)
-        self.windows: dict[tuple, list[int]] = {}
+        weights = [{k: idf[k] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(text) / mean)) for k, f in tf.items()} for tf, text in zip(counts, self.texts)]
+        self.places: list[dict[int, list[int]]] = []
+        least = np.empty(n)
         for col, text in enumerate(self.texts):
-            for at in range(len(text) - run + 1):
-                at_window = self.windows.setdefault(tuple(text[at : at + run]), [])
-                if col not in at_window:
-                    at_window.append(col)
-
-    def _least(self, text: list[str], weights: dict[int, float]) -> float:
-        return min(sum(weights[k] for k in {self.number[w] for w in text[at : at + self.run]}) for at in range(len(text) - self.run + 1))
-
-    def candidates(self, numbers: np.ndarray) -> list[int]:
-        """Items whose score for the query of these (different) word numbers reaches their threshold."""
-        found: list[int] = []
-        bounds = self.bound[numbers].sum(0)
-        for b in np.nonzero(bounds >= self.least_of_block)[0]:
-            local, dense = self.dense[b]
-            score = dense[local[numbers]].sum(0)
-            found += (b * BLOCK + np.nonzero(score >= self.least[b * BLOCK : b * BLOCK + len(score)])[0]).tolist()
-        return found
+            at: dict[int, list[int]] = {}
+            for p, k in enumerate(text):
+                at.setdefault(k, []).append(p)
+            self.places.append(at)
+            sums = np.cumsum([0.0, *(weights[col][k] for k in text)])
+            least[col] = (sums[run:] - sums[:-run]).min() * (1 - 1e-6)
+        starts = range(0, n, BLOCK)
+        self.bound = np.zeros((self.other + 1, len(starts)), np.float32)  # the last row is for other words
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # row of a word, weights of its postings, thresholds
+        for b, first in enumerate(starts):
+            inside = weights[first : first + BLOCK]
+            held = np.unique(np.fromiter((k for w in inside for k in w), np.int64))
+            row = np.full(self.other + 1, len(held))
+            row[held] = np.arange(len(held))
+            table = np.zeros((len(held) + 1, len(inside)), np.float32)
+            for col, w in enumerate(inside):
+                table[row[list(w)], col] = list(w.values())
+            self.bound[held, b] = table[:-1].max(1)
+            self.blocks.append((row, table, least[first : first + BLOCK]))
+        self.least = np.array([thresholds.min() for *_, thresholds in self.blocks])
+
+    def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place of the passage's middle word, item) of all passages and items that reach the item's threshold."""
+        run = self.run
+        starts = np.arange(0, max(1, len(numbers) - run + 1), run)
+        ends = np.minimum(starts + 2 * run - 1, len(numbers))
+        middle = starts + run - 1
+        reached = _sums(self.bound[numbers], starts, ends) >= self.least
+        for b in np.nonzero(reached.any(0))[0]:
+            some = np.nonzero(reached[:, b])[0]
+            row, table, least = self.blocks[b]
+            passages, items = np.nonzero(_sums(table[row[numbers]], starts[some], ends[some]) >= least)
+            yield from zip(middle[some[passages]].tolist(), (items + b * BLOCK).tolist())
 
     def leaks(self, text: list[str]) -> dict[int, int]:
         """item id -> longest number of consecutive words of the item that the text holds (from run on)."""
         best: dict[int, int] = {}
-        number, other, run = self.number, len(self.number), self.run
-        numbers = np.fromiter((number.get(w, other) for w in text), np.int64, len(text))
-        step = max(PASSAGE, 2 * run)
-        for start in range(0, max(1, len(text) - run + 1), step):
-            end = start + step + run - 1
-            if not (found := self.candidates(np.unique(numbers[start:end]))):
+        get, other, run = self.number.get, self.other, self.run
+        if not self.ids:
+            return best
+        whole = [get(w, other) for w in text]
+        numbers = np.array(whole, np.int64)
+        for first in range(0, max(1, len(whole) - run + 1), SEGMENT):
+            part = numbers[first : first + SEGMENT + run - 1]
+            if len(part) < run:
                 continue
-            wanted = set(found)
-            known = (numbers[start:end] != other).astype(np.int32)
-            # Windows of ``run`` words that the index knows all of.
-            inside = np.nonzero(np.convolve(known, np.ones(run, np.int32), "valid") == run)[0] if len(known) >= run else ()
-            for at in inside:
-                for col in self.windows.get(tuple(text[start + at : start + at + run]), ()):
-                    if col in wanted:
-                        best[col] = max(best.get(col, 0), self._length(text, int(start + at), col))
+            for at, col in self.candidates(part):
+                at += first
+                for p in self.places[col].get(whole[at], ()):
+                    n = _overlap(whole, at, self.texts[col], p)
+                    if n >= run and n > best.get(col, 0):
+                        best[col] = n
         return {self.ids[col]: n for col, n in best.items()}
 
-    def _length(self, text: list[str], at: int, col: int) -> int:
-        item, longest, window = self.texts[col], 0, text[at : at + self.run]
-        for p in range(len(item) - self.run + 1):
-            if item[p : p + self.run] == window:
-                n = self.run
-                while at + n < len(text) and p + n < len(item) and text[at + n] == item[p + n]:
-                    n += 1
-                longest = max(longest, n)
-        return longest
 
+def _sums(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows from start to end, for each pair of them."""
+    total = np.zeros((len(weights) + 1, weights.shape[1]))
+    np.cumsum(weights, axis=0, out=total[1:])
+    return total[ends] - total[starts]
 
-@lru_cache(maxsize=2)
+
+def _overlap(text: list[int], at: int, item: list[int], p: int) -> int:
+    """Length of the equal stretch around place ``at`` of the text and ``p`` of the item."""
+    low = 1
+    while low <= at and low <= p and text[at - low] == item[p - low]:
+        low += 1
+    high, most = 1, min(len(text) - at, len(item) - p)
+    while high < most and text[at + high] == item[p + high]:
+        high += 1
+    return low + high - 1
+
+
+@lru_cache(maxsize=SHARDS_A_PASS)
 def _index(packed: bytes, run: int) -> ItemIndex:
     import pickle
 
@@ -130,8 +139,8 @@ def find_leaks(corpus: DataFrame, items: DataFrame, run: int = RUN, id_column: s
     Letter case, punctuation and white space don't matter. Null and short texts have no rows;
     repeated rows give repeated rows (equal ones). Rows of an item id are each an item, their
     results are merged by the caller. Other columns are not read. The test set is the stated query
-    set: it is read in shards of at most SHARD items, each one index, and every corpus row meets
-    every shard; one shard at a time is in a worker's memory. An empty table gives an empty result.
+    set: it is read in shards of at most SHARD items, each one index, and the corpus is read once
+    for SHARDS_A_PASS of them. An empty table gives an empty result.
     """
     spark = corpus.sparkSession
     import pickle
@@ -149,11 +158,12 @@ def find_leaks(corpus: DataFrame, items: DataFrame, run: int = RUN, id_column: s
     if part:
         shards.append(spark.sparkContext.broadcast(pickle.dumps(part)))
 
-    def run_shard(shard):
+    def search(some: list):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(shard.value, run)
+            indexes = [_index(shard.value, run) for shard in some]
             for batch in rows(batches):
-                found = [(i, item, n) for i, text in zip(*(c.to_pylist() for c in batch.columns)) for item, n in index.leaks(words(text)).items()]
+                texts = [(i, words(text)) for i, text in zip(*(c.to_pylist() for c in batch.columns))]
+                found = [(i, item, n) for index in indexes for i, text in texts for item, n in index.leaks(text).items()]
                 columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((batch.schema.field(0).type, None, pa.int32()))]
                 if found:
                     yield pa.RecordBatch.from_arrays(columns, ["id", "item", "longest"])
@@ -162,8 +172,8 @@ def find_leaks(corpus: DataFrame, items: DataFrame, run: int = RUN, id_column: s
 
     out = None
     schema = f"id {id_type}, item {item_type}, longest int"
-    for shard in shards:
-        found = source.mapInArrow(run_shard(shard), schema)
+    for at in range(0, len(shards), SHARDS_A_PASS):
+        found = source.mapInArrow(search(shards[at : at + SHARDS_A_PASS]), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from folio.llm.leaks import ItemIndex, find_leaks
 from folio.llm.words import words
 
@@ -32,3 +33,27 @@ def test_rows(spark):
     assert out == {(1, 7, 13), (5, 7, 13)}
     assert find_leaks(corpus, items.limit(0)).count() == 0 and find_leaks(corpus.limit(0), items).count() == 0
     assert words("Ein-Wort, zwei_Wörter") == ["ein", "wort", "zwei", "wörter"]
+
+
+def test_rows_come_from_the_index(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    texts = [words(r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r["text"]]
+    index = ItemIndex(items)
+    found = [set(index.leaks(t)) for t in texts]
+    assert found == [brute(t, items) for t in texts] and any(found)
+    # Few pairs of passage and item are left to verify, and no row comes from elsewhere.
+    passages = sum(len(range(0, len(t) - 11, 12)) for t in texts if len(t) >= 12)
+    looked = sum(sum(1 for _ in index.candidates(np.array([index.number.get(w, index.other) for w in t]))) for t in texts if len(t) >= 12)
+    assert looked < 0.02 * passages * len(items)
+    monkeypatch.setattr(ItemIndex, "candidates", lambda self, numbers: iter(()))
+    assert not any(index.leaks(t) for t in texts)
+
+
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr("folio.llm.leaks.SHARD", 2)
+    monkeypatch.setattr("folio.llm.leaks.SHARDS_A_PASS", 2)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(14))) for k in range(7)]
+    corpus = spark.createDataFrame([(k, f"and {t} again") for k, t in items], "doc_id long, text string")
+    out = {tuple(r) for r in find_leaks(corpus, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out == {(k, k, 14) for k in range(7)}
