@@ -2,16 +2,18 @@
 
 Tokens with irregular characters are read by a weighted edit automaton along a trie of the
 corpus' own regular words, where look-alike letters, full-width forms, joined letters, separate
-accents and invisible characters cost nothing. The word found most is the canonical spelling; a
-token that matches no word is brought to its form by table.
+accents and invisible characters cost nothing. The word found most is the canonical spelling, and
+the rules on the accepted path tell which forms the token held; a token that matches no word is
+brought to its form by table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,10 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.durable import materialize
-from folio.llm.automaton import Rules, count_in_parts, match_in_shards, shard_of
+from folio.llm.automaton import Rules, Trie, count_in_parts, match_in_shards, shard_of
 from folio.llm.words import rows
 
 FORMS = ("width", "combining", "invisible", "space", "lookalike")
+#: Marks of the automaton's rules.
+WIDTH, COMBINING, HIDDEN, LOOKALIKE = 1, 2, 4, 8
+_NAMES = {WIDTH: "width", COMBINING: "combining", HIDDEN: "invisible", LOOKALIKE: "lookalike"}
+#: Occurrences that make a word a canonical spelling: one that stands once only may itself be a slip. Rarer
+#: words are not read by the automaton; tokens that look like them go to the table.
+KNOWN = 2
+#: Words of the vocabulary in a shard.
+SHARD = 50_000
 
 # Character classes and pairs of letters that look alike.
 INVISIBLE = (
@@ -87,38 +97,46 @@ def skeleton(token: str) -> str:
 
 @lru_cache(maxsize=1)
 def _rules() -> Rules:
-    single: dict[str, dict[str, float]] = {}
-    multi: list[tuple[str, str, float]] = []
+    single: dict[str, dict[str, tuple[int, int]]] = {}
+    multi: list[tuple[str, str, int, int]] = []
     letters = {c for c in map(chr, range(0x41, 0x530)) if c.isalpha()} | set(_alike())
-    marks = {}
+    accented: dict[str, dict[str, int]] = {}  # a letter and a separate accent -> what they may be, with marks
     for c in letters:
-        meant = {c.lower(): 0.0} | {x.lower(): 0.0 for x in _alike().get(c, "")}
-        single[c] = meant
+        single[c] = {x.lower(): (0, LOOKALIKE) for x in _alike().get(c, "")} | {c.lower(): (0, 0)}
         parts = unicodedata.normalize("NFD", c)
-        if len(parts) == 2 and len(c.lower()) == 1:  # a letter and a separate accent, the letter perhaps a look-alike
+        if len(parts) == 2 and len(c.lower()) == 1:
             for base in parts[0] + _alike().get(parts[0], ""):
-                marks[base + parts[1]] = marks.get(base + parts[1], set()) | {c.lower()}
-    for written, meant in marks.items():
-        multi += [(written, m, 0.0) for m in meant]
+                marks = COMBINING if base == parts[0] else COMBINING | LOOKALIKE
+                held = accented.setdefault(base + parts[1], {})
+                held[c.lower()] = min(marks, held.get(c.lower(), marks))
+    for written, held in accented.items():
+        multi += [(written, meant, 0, marks) for meant, marks in held.items()]
     for code in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0xFB00, 0xFB07)):
         plain = unicodedata.normalize("NFKC", chr(code))
         if len(plain) == 1:
-            single[chr(code)] = {plain.lower(): 0.0}
-            for mark, base in [(w[1:], plain) for w in marks if w[0] == plain]:
-                multi += [(chr(code) + mark, m, 0.0) for m in marks[base + mark]]
+            single[chr(code)] = {plain.lower(): (0, WIDTH)}
+            for written, held in accented.items():
+                if written[0] == plain:
+                    multi += [(chr(code) + written[1:], meant, 0, marks | WIDTH) for meant, marks in held.items()]
         else:
-            multi.append((chr(code), plain.lower(), 0.0))
-    skip = frozenset(c for c in map(chr, range(0x10000)) if _SKIP.match(c))
-    return Rules(single, multi, skip)
+            multi.append((chr(code), plain.lower(), 0, WIDTH))
+    return Rules(single, multi, {c: HIDDEN for c in map(chr, range(0x10000)) if _SKIP.match(c)})
 
 
-def _choose(token: tuple, found: list) -> list[tuple[str, str]]:
-    """The spelling that keeps most of the token's own letters, then the most frequent one."""
-    if not found:
-        return []
-    own = Counter(unicodedata.normalize("NFC", unicodedata.normalize("NFKC", _SKIP.sub("", token[0]))).lower())
-    word = min(found, key=lambda x: (-sum((own & Counter(x[0])).values()), -x[1], x[0]))[0]
-    return [(token[0], word)]
+def _read(words) -> Callable[[str, float], list[tuple]]:
+    """The automaton over a shard's words: a token's spelling is the word that keeps most of its own letters,
+    then the most frequent one; the marks are those of the accepted path."""
+    trie, rules = Trie(zip(words["word"], words["weight"])), _rules()
+
+    def read(token: str, _: float) -> list[tuple[str, str, int]]:
+        found = trie.match(token, rules, 0)
+        if not found:
+            return []
+        own = Counter(unicodedata.normalize("NFC", unicodedata.normalize("NFKC", _SKIP.sub("", token))).lower())
+        word, _, _, marks = min(found, key=lambda x: (-sum((own & Counter(x[0])).values()), -x[1], x[0]))
+        return [(token, word, marks)]
+
+    return read
 
 
 def _cased(word: str, like: str) -> str:
@@ -128,22 +146,29 @@ def _cased(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def _by_table(token: str, main: str) -> str:
-    """The form of a token that matches no known word."""
-    plain = unicodedata.normalize("NFC", _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m.group()), _SKIP.sub("", token)))
-    held = {name: len(script.findall(plain)) for name, script in _SCRIPTS.items()}
-    if sum(n > 0 for n in held.values()) < 2:
-        return plain
+def _by_table(token: str, main: str) -> tuple[str, int]:
+    """The form of a token that matches no known word, and the marks of what it held."""
+    bare = _SKIP.sub("", token)
+    narrow = _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m.group()), bare)
+    marks = (HIDDEN if bare != token else 0) | (WIDTH if narrow != bare else 0)
+    plain = unicodedata.normalize("NFC", narrow)
+    held = {name: len(script.findall(narrow)) for name, script in _SCRIPTS.items()}
+    mixed = sum(n > 0 for n in held.values()) > 1
+    if _accents(narrow, mixed):
+        marks |= COMBINING
+    if not mixed:
+        return plain, marks
     alike = _alike()
     sure = {name: sum(1 for c in script.findall(plain) if c not in alike) for name, script in _SCRIPTS.items()}
     goal = max(_SCRIPTS, key=lambda name: (sure[name], held[name] > 0 and name == main, held[name]))
     wanted = _SCRIPTS[goal]
     out = [c if not c.isalpha() or wanted.match(c) else next((x for x in alike.get(c, "") if wanted.match(x)), c) for c in plain]
-    return unicodedata.normalize("NFC", "".join(out))
+    return unicodedata.normalize("NFC", "".join(out)), marks | LOOKALIKE
 
 
-def normalize(text: str, known: dict[str, str]) -> tuple[str, list[str]]:
-    """The text in its consistent form, and the forms that it held. known: token -> spelling."""
+def normalize(text: str, known: dict[str, tuple[str, int]]) -> tuple[str, list[str]]:
+    """The text in its consistent form, and the forms that it held. known: token -> spelling and marks of
+    the automaton's path; other irregular tokens go by table."""
     forms: set[str] = set()
     main = max(_SCRIPTS, key=lambda name: len(_SCRIPTS[name].findall(text)))
     out, at = [], 0
@@ -163,19 +188,12 @@ def normalize(text: str, known: dict[str, str]) -> tuple[str, list[str]]:
             continue
         out.append(plain(text[at : m.start()]))
         at = m.end()
-        bare = _SKIP.sub("", token)
-        if bare != token:
-            forms.add("invisible")
-        if _WIDTH.search(bare):
-            forms.add("width")
-        narrow = _WIDTH.sub(lambda x: unicodedata.normalize("NFKC", x.group()), bare)
-        mixed = sum(bool(script.search(narrow)) for script in _SCRIPTS.values()) > 1
-        if mixed:
-            forms.add("lookalike")
-        whole = known.get(token)
-        fixed = _cased(whole, token) if whole else _by_table(token, main)
-        if _accents(narrow, mixed):
-            forms.add("combining")
+        if token in known:
+            word, marks = known[token]
+            fixed = _cased(word, token)
+        else:
+            fixed, marks = _by_table(token, main)
+        forms.update(name for mark, name in _NAMES.items() if marks & mark)
         out.append(fixed)
     out.append(plain(text[at:]))
     return "".join(out), sorted(forms)
@@ -209,19 +227,20 @@ def _words_and_tokens(text: str) -> list[tuple[bool, str] | str]:
     return [w for t in tokens if not _IRREGULAR.search(t) for w in _WORD.findall(t.lower())] + odd
 
 
-def _counted(source: DataFrame, shards: int) -> DataFrame:
-    """shard, irregular, token, weight: all words and irregular tokens with their counts."""
+def _counted(source: DataFrame) -> DataFrame:
+    """key, irregular, token, weight: all words and irregular tokens with their counts. The key is equal for all
+    tokens that look the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t for b in batches for t in b.column(0).to_pylist() if t)
         for counts in count_in_parts(map(_words_and_tokens, texts)):
             keys = [k if isinstance(k, tuple) else (False, k) for k in counts]
-            columns = ([shard_of(skeleton(k), shards) for _, k in keys], [odd for odd, _ in keys], [k for _, k in keys], list(counts.values()))
-            kinds = (pa.int32(), pa.bool_(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "irregular", "token", "weight"])
+            columns = ([shard_of(skeleton(k), 1 << 32) for _, k in keys], [odd for odd, _ in keys], [k for _, k in keys], list(counts.values()))
+            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "irregular", "token", "weight"])
 
-    counted = source.select("text").mapInArrow(run, "shard int, irregular boolean, token string, weight long")
-    return counted.groupBy("shard", "irregular", "token").agg(F.sum("weight").cast("double").alias("weight"))
+    counted = source.select("text").mapInArrow(run, "key long, irregular boolean, token string, weight long")
+    return counted.groupBy("key", "irregular", "token").agg(F.sum("weight").cast("double").alias("weight"))
 
 
 def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", only_changed: bool = False) -> DataFrame:
@@ -234,7 +253,6 @@ def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str =
     in parts before the shuffle.
     """
     spark = df.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def only(wanted: bool):
@@ -245,10 +263,13 @@ def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str =
         return source.mapInArrow(run, source.schema)
 
     dirty = materialize(only(True).withColumn("_key", F.xxhash64("text")))
-    counted = materialize(_counted(source, shards))
-    vocabulary = counted.where("NOT irregular AND weight >= 2").select("shard", F.col("token").alias("word"), "weight")
-    tokens = counted.where("irregular").select("shard", "token", "weight")
-    spelled = match_in_shards(vocabulary, tokens, _rules, 0.0, _choose, "token string, spelling string", shards)
+    counted = materialize(_counted(source))
+    tokens = counted.where("irregular")
+    vocabulary = counted.where((~F.col("irregular")) & (F.col("weight") >= KNOWN)).join(tokens.select("key").distinct(), "key", "left_semi")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counted.count() / SHARD))
+    shard = F.pmod("key", F.lit(shards)).cast("int").alias("shard")
+    words = vocabulary.select(shard, F.col("token").alias("word"), "weight")
+    spelled = match_in_shards(words, tokens.select(shard, "token", "weight"), _read, "token string, spelling string, marks int", shards)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
@@ -257,13 +278,13 @@ def consistent_text(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     known = dirty.select("_key", "text").mapInArrow(pairs, "_key long, token string").join(spelled, "token")
     # One text's own tokens: bounded by the length of the text.
-    known = known.groupBy("_key").agg(F.collect_set(F.struct("token", "spelling")).alias("_known"))
+    known = known.groupBy("_key").agg(F.collect_set(F.struct("token", "spelling", "marks")).alias("_known"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             texts, forms = [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                new, held = normalize(text, {x["token"]: x["spelling"] for x in found or ()})
+                new, held = normalize(text, {x["token"]: (x["spelling"], x["marks"]) for x in found or ()})
                 texts.append(new)
                 forms.append(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(forms, pa.list_(pa.string()))], ["id", "text", "forms"])

@@ -2,15 +2,17 @@
 
 Three steps. Page furniture (headers, footers, page numbers) is what stands outermost on a page and
 recurs on other pages, or numbers the page. Words broken at line ends are joined when the joined
-word is one. Words that the corpus' native pages do not know are read by a weighted Levenshtein
-automaton along a trie of those it knows, at the costs of the usual confusions of scanners; all
+word is one. Words that the corpus' native pages do not know are read by Levenshtein automata along
+tries of those it knows: a weighted one with the usual confusions of scanners as its edits, and
+the plain one of distance one, where any letter may be replaced, left out or put in. All
 candidates are retrieved and ranked by cost, by their presence on the same page, and by frequency.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,18 +21,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.durable import materialize
-from folio.llm.automaton import Rules, count_in_parts, match_in_shards, shard_of
+from folio.llm.automaton import Rules, Trie, count_in_parts, match_in_shards, shard_of
 from folio.llm.words import rows
 
 #: Occurrences that make a word known, and how much commoner than the misreading its source must be.
 KNOWN, RATIO = 2, 3.0
 #: Greatest cost of a misreading (one for each confusion), for words of up to three letters and longer ones.
-LIMIT_SHORT, LIMIT = 1.0, 2.0
+LIMIT_SHORT, LIMIT = 1, 2
+#: Cost of any other edit, letters of the shortest word that may hold one, and how much commoner its source must be.
+EDIT, LEAST_LETTERS, EDIT_RATIO = 3.0, 5, 3.0
+#: Words of the vocabulary in a shard.
+SHARD = 50_000
 #: Documents that repeat a line from page to page before it counts as furniture elsewhere, and their share.
 TEMPLATE_DOCUMENTS, TEMPLATE_SHARE = 3, 0.2
 #: Rows up to which the verdicts on words (about 60 bytes each) are sent to all executors; beyond, they are shuffled.
 BROADCAST_ROWS = 200_000
-#: Lines on either end of a page that may be furniture.
+#: Lines on either end of a page that are looked at together; where all are furniture, so many further ones are.
 EDGE = 3
 
 # What scanners confuse, as written:meant.
@@ -53,14 +59,14 @@ _MIXED = re.compile(r"[\doOlI|!]+")
 
 @lru_cache(maxsize=1)
 def _rules() -> Rules:
-    single: dict[str, dict[str, float]] = {}
+    single: dict[str, dict[str, tuple[int, int]]] = {}
     multi = []
     for pair in CONFUSIONS.split():
         written, meant = pair.split(":")
         if len(written) == len(meant) == 1:
-            single.setdefault(written, {})[meant] = 1.0
+            single.setdefault(written, {})[meant] = (1, 0)
         else:
-            multi.append((written, meant, 1.0))
+            multi.append((written, meant, 1, 0))
     return Rules(single, multi)
 
 
@@ -76,13 +82,14 @@ def page_number(line: str) -> bool:
     return bool(_NUMBER.fullmatch(line.strip()))
 
 
-def edge_lines(text: str) -> list[tuple[str, int, int, str, str, bool]]:
-    """(zone, place from the edge, line number, key, template, is a page number) of the outermost lines."""
+def edge_lines(text: str, depth: int = 0) -> list[tuple[str, int, int, str, str, bool]]:
+    """(zone, place from the edge, line number, key, template, is a page number) of the outermost lines, those
+    before ``depth`` left out."""
     lines = text.split("\n")
     filled = [i for i, line in enumerate(lines) if line.strip()]
     found = []
-    for zone, some in (("top", filled[:EDGE]), ("bottom", filled[::-1][:EDGE])):
-        for place, i in enumerate(some):
+    for zone, some in (("top", filled[depth : depth + EDGE]), ("bottom", filled[::-1][depth : depth + EDGE])):
+        for place, i in enumerate(some, depth):
             line = lines[i].strip()
             gap = _GAP.search(line)
             if gap and page_number(gap.group()):
@@ -194,8 +201,8 @@ class Verdicts:
         self.known, self.meant, self.page = known, meant, page
         self.on_page: set[str] | None = None
 
-    def best(self, word: str) -> str | None:
-        found = self.meant.get(word)
+    def best(self, word: str, most: float = EDIT) -> str | None:
+        found = [x for x in self.meant.get(word, ()) if x[1] <= most]
         if not found:
             return None
         if len(found) > 1 and self.on_page is None:
@@ -208,11 +215,11 @@ class Verdicts:
         one, two = self.known.get(a + b, 0.0), self.known.get(f"{a}-{b}", 0.0)
         if one or two:
             return one >= two, None
-        if meant := self.best(a + b):
+        if meant := self.best(a + b, LIMIT):
             return True, meant
         # Neither is known: two whole words are a word with its hyphen, anything else was broken.
-        whole = all(self.known.get(x) or self.best(x) for x in (a, b))
-        return not whole, None
+        whole = all(self.known.get(x) or self.best(x, LIMIT) for x in (a, b))
+        return not whole, None if whole else self.best(a + b)
 
 
 def repair(page: Page, verdicts: Verdicts) -> tuple[str, list[tuple[int, str]]]:
@@ -243,7 +250,7 @@ def repair(page: Page, verdicts: Verdicts) -> tuple[str, list[tuple[int, str]]]:
                 wrong_a = True
             written = cased(meant, a + b) if meant else a + b
         else:
-            fixed = [verdicts.best(x.lower()) for x, _ in sides]
+            fixed = [verdicts.best(x.lower(), LIMIT) for x, _ in sides]
             wrong_a, wrong_b = (f is not None for f in fixed)
             written = "-".join(cased(f, x) if f else x for f, (x, _) in zip(fixed, sides))
         if i is None:
@@ -297,18 +304,37 @@ def cased(word: str, like: str) -> str:
 def _running(pages: DataFrame) -> DataFrame:
     """document_id, page, running (line numbers of furniture) of the pages that have any."""
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            out: list[list] = [[] for _ in range(8)]
-            for document, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for row in edge_lines(text):
-                    for column, value in zip(out, (document, page, *row)):
-                        column.append(value)
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["document_id", "page", "zone", "place", "line_no", "key", "template", "number"])
+    def edges(depth: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows(batches):
+                out: list[list] = [[] for _ in range(8)]
+                for document, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    for row in edge_lines(text, depth):
+                        for column, value in zip(out, (document, page, *row)):
+                            column.append(value)
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["document_id", "page", "zone", "place", "line_no", "key", "template", "number"])
+
+        return run
 
     schema = "document_id string, page int, zone string, place int, line_no int, key string, template string, number boolean"
-    edge = materialize(pages.select("document_id", "page", "text").mapInArrow(edges, schema))
+    found, full, depth = None, None, 0
+    while True:
+        some = pages if full is None else pages.join(full.select("document_id", "page").distinct(), ["document_id", "page"], "left_semi")
+        edge = some.select("document_id", "page", "text").mapInArrow(edges(depth), schema)
+        if full is not None:
+            edge = edge.join(full, ["document_id", "page", "zone"], "left_semi")
+        zones = _zones(materialize(edge))
+        found = zones if found is None else found.unionByName(zones)
+        full = zones.where(F.size("lines") == EDGE).select("document_id", "page", "zone")
+        if not full.limit(1).count():
+            break
+        full, depth = materialize(full), depth + EDGE
+    return found.groupBy("document_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("running")).where(F.size("running") > 0)
+
+
+def _zones(edge: DataFrame) -> DataFrame:
+    """document_id, page, zone, lines (line numbers of furniture among the lines looked at)."""
     keyed = edge.where("key <> ''")
     repeated = keyed.groupBy("document_id", "zone", "key").agg(F.count_distinct("page").alias("pages"), F.first("template").alias("template"))
     repeated = materialize(repeated)
@@ -318,12 +344,11 @@ def _running(pages: DataFrame) -> DataFrame:
     own = repeated.where("pages > 1").select("document_id", "zone", "key", F.lit(True).alias("own"))
     marked = edge.join(own, ["document_id", "zone", "key"], "left").join(templates.select("zone", "template", F.lit(True).alias("common")), ["zone", "template"], "left")
     marked = marked.withColumn("is", F.coalesce("own", F.lit(False)) | F.coalesce("common", F.lit(False)) | F.col("number"))
-    # Furniture stands outermost: a line counts only if all lines farther out do (at most EDGE lines a zone).
+    # Furniture stands outermost: a line counts only if all lines farther out do (EDGE lines a zone).
     ordered = F.array_sort(F.collect_list(F.struct("place", "line_no", "is")))
     zones = marked.groupBy("document_id", "page", "zone").agg(ordered.alias("e"))
     outer = F.filter("e", lambda x: ~F.exists("e", lambda y: (y["place"] <= x["place"]) & ~y["is"]))
-    zones = zones.select("document_id", "page", F.transform(outer, lambda x: x["line_no"]).alias("lines"))
-    return zones.groupBy("document_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("running")).where(F.size("running") > 0)
+    return materialize(zones.select("document_id", "page", "zone", F.transform(outer, lambda x: x["line_no"]).alias("lines")).where(F.size("lines") > 0))
 
 
 def _native_counts(pages: DataFrame) -> DataFrame:
@@ -352,7 +377,6 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     before the shuffle. Words are matched in shards by a key that no confusion changes.
     """
     spark = pages.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("kind", F.lit("")).alias("kind"))
     scanned = source.where("kind = 'ocr' AND document_id IS NOT NULL AND page IS NOT NULL")
     scanned = materialize(scanned.groupBy("document_id", "page").agg(F.min("text").alias("text")))
@@ -386,19 +410,27 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("word", F.regexp_replace("asked", "^-", "")).withColumn("exists", F.col("asked").startswith("-"))
     judged = materialize(wanted.join(native, "word", "left"))
 
-    def keyed(column: str):
+    shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(native.count() / SHARD))
+
+    def keyed(keys, column: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([shard_of(fold(w), shards) for w in words], pa.int32()), batch.column(0), batch.column(1)], ["shard", column, "weight"])
+                places, kinds, shard = [], [], []
+                for n, word in enumerate(batch.column(0).to_pylist()):
+                    for key in keys(word):
+                        places.append(n)
+                        kinds.append(key[0])
+                        shard.append(shard_of(key, shards))
+                at = pa.array(places, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kinds, pa.string()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "kind", column, "weight"])
 
         return run
 
-    vocabulary = native.select("word", F.col("count").cast("double")).mapInArrow(keyed("word"), "shard int, word string, weight double")
+    vocabulary = native.select("word", F.col("count").cast("double")).mapInArrow(keyed(word_keys, "word"), "shard int, kind string, word string, weight double").distinct()
     unknown = judged.where("NOT exists AND count IS NULL").select("word", F.col("times").cast("double"))
-    tokens = unknown.mapInArrow(keyed("token"), "shard int, token string, weight double")
-    schema = "asked string, meant string, cost double, seen double"
-    meant = match_in_shards(vocabulary, tokens, _rules, LIMIT, _choose, schema, shards)
+    tokens = unknown.mapInArrow(keyed(token_keys, "token"), "shard int, kind string, token string, weight double")
+    meant = match_in_shards(vocabulary, tokens, _reader, "asked string, meant string, cost double, seen double", shards)
+    meant = meant.groupBy("asked", "meant", "seen").agg(F.min("cost").alias("cost"))
     meant = meant.groupBy("asked").agg(F.collect_list(F.struct("meant", "cost", "seen")).alias("meant"))
     exist = judged.where("exists AND count IS NOT NULL").select("asked", F.array(F.struct(F.lit("").alias("meant"), F.lit(0.0).alias("cost"), F.col("count").cast("double").alias("seen"))).alias("meant"))
     verdicts = materialize(meant.unionByName(exist))
@@ -427,8 +459,35 @@ def repair_scans(pages: DataFrame) -> DataFrame:
     return ready.mapInArrow(mend, "document_id string, page int, text string, problems array<struct<line_no:int,problem:string>>")
 
 
-def _choose(token: tuple, found: list) -> list[tuple[str, str, float, float]]:
-    """All words that are clearly commoner than the token, at the cost allowed for its length."""
-    word, times = token
-    limit = LIMIT_SHORT if len(word) <= 3 else LIMIT
-    return [(word, meant, cost, seen) for meant, seen, cost in found if 0 < cost <= limit and seen >= RATIO * times]
+def token_keys(token: str) -> list[str]:
+    """Keys of a token: it shares the first with all words that confusions make of it; a word that is one other
+    edit away has either its first half or its second half unchanged. A reading that takes in an outer sign
+    (``word!`` for a last letter l) is a confusion or nothing."""
+    half = len(token) // 2
+    edited = len(token) >= LEAST_LETTERS and token[0].isalpha() and token[-1].isalpha()
+    return [f"c{fold(token)}", *((f"<{token[:half]}", f">{token[half:]}") if edited else ())]
+
+
+def word_keys(word: str) -> list[str]:
+    """Keys of a word: those of all tokens that may stand for it (one letter shorter, as long, or one longer)."""
+    found = {f"c{fold(word)}"}
+    for n in range(max(LEAST_LETTERS, len(word) - 1), len(word) + 2):
+        found.update((f"<{word[: n // 2]}", f">{word[-(n - n // 2) :]}"))
+    return sorted(found)
+
+
+def _reader(words) -> Callable[[str, str, float], list[tuple[str, str, float, float]]]:
+    """The automata over a shard's words: all words that a token may stand for and that are clearly commoner."""
+    by = {kind: list(zip(some["word"], some["weight"])) for kind, some in words.groupby("kind")}
+    confused, fore, back = Trie(by.get("c", ())), Trie(by.get("<", ())), Trie((w[::-1], n) for w, n in by.get(">", ()))
+    rules = _rules()
+
+    def read(kind: str, token: str, times: float) -> list[tuple[str, str, float, float]]:
+        if kind == "c":
+            found = confused.match(token, rules, LIMIT_SHORT if len(token) <= 3 else LIMIT)
+            return [(token, meant, float(cost), seen) for meant, seen, cost, _ in found if cost > 0 and seen >= RATIO * times]
+        half = len(token) // 2
+        near = fore.near(token, half) if kind == "<" else [(w[::-1], n) for w, n in back.near(token[::-1], len(token) - half)]
+        return [(token, meant, EDIT, seen) for meant, seen in near if seen >= EDIT_RATIO * times]
+
+    return read

@@ -1,14 +1,14 @@
 from folio.llm.automaton import Trie
-from folio.llm.forms import _rules, consistent_text, normalize, skeleton, suspect
+from folio.llm.forms import COMBINING, HIDDEN, LOOKALIKE, WIDTH, _rules, consistent_text, normalize, skeleton, suspect
 
 
 def test_automaton_reads_all_forms_at_no_cost():
     trie = Trie([("employee", 5.0), ("file", 3.0), ("café", 2.0), ("дом", 1.0)])
     for token, word in (("emрloyее", "employee"), ("ﬁle", "file"), ("ｆｉｌｅ", "file"), ("café", "café"), ("саfе́", "café"), ("em​ploy­ee", "employee"), ("дoм", "дом"), ("EМPLOYEE", "employee")):
-        found = trie.match(token, _rules(), 0.0)
-        assert [w for w, _, cost in found if cost == 0] == [word], token
+        found = trie.match(token, _rules(), 0)
+        assert [w for w, _, cost, _ in found if cost == 0] == [word], token
         assert skeleton(token) == skeleton(word)
-    assert trie.match("filer", _rules(), 0.0) == []
+    assert trie.match("filer", _rules(), 0) == []
 
 
 def test_table_without_known_words():
@@ -32,3 +32,15 @@ def test_rows(spark):
 
 def test_hint_sees_all_marks():
     assert suspect("plain がく") and suspect("aἀ") and suspect("aꙋ") and not suspect("plain") and not suspect("ἀνήρ")
+
+
+def test_forms_are_those_of_the_accepted_path(spark, monkeypatch):
+    trie = Trie([("employee", 5.0), ("file", 3.0), ("café", 2.0)])
+    marks = {t: trie.match(t, _rules(), 0)[0][3] for t in ("emрloyее", "ﬁle", "ﬁ\u200ble", "cafe\u0301", "саfе\u0301", "ｆile", "EMPLOYEE")}
+    assert marks == {"emрloyее": LOOKALIKE, "ﬁle": WIDTH, "ﬁ\u200ble": WIDTH | HIDDEN, "cafe\u0301": COMBINING, "саfе\u0301": COMBINING | LOOKALIKE, "ｆile": WIDTH, "EMPLOYEE": 0}
+    # What the automaton says decides: another path gives other forms and another text.
+    assert normalize("the emрloyее", {"emрloyее": ("other", WIDTH)}) == ("the other", ["width"])
+    rows = spark.createDataFrame([(1, "the employee file"), (2, "an employee"), (3, "the emрloyее")], "doc_id long, text string")
+    assert [tuple(r) for r in consistent_text(rows, only_changed=True).collect()] == [(3, "the employee", ["lookalike"])]
+    monkeypatch.setattr("folio.llm.forms._read", lambda words: lambda token, weight: [(token, "nothing", HIDDEN)])
+    assert [tuple(r) for r in consistent_text(rows, only_changed=True).collect()] == [(3, "the nothing", ["invisible"])]

@@ -1,5 +1,7 @@
+import random
+
 from folio.llm.automaton import Trie
-from folio.llm.scans import CONFUSIONS, LIMIT, _rules, fold, misread_number, page_number, repair_scans
+from folio.llm.scans import CONFUSIONS, LIMIT, _rules, fold, misread_number, page_number, repair_scans, token_keys, word_keys
 
 
 def test_fold_is_unchanged_by_every_confusion():
@@ -25,9 +27,9 @@ def test_automaton_equals_rewriting():
 
     once = {w: reached(w, 1) for w in vocabulary}
     for token in set().union(*once.values()):
-        found = {w for w, _, cost in trie.match(token, _rules(), 1.0)}
+        found = {w for w, _, _, _ in trie.match(token, _rules(), 1)}
         assert found >= {w for w in vocabulary if token in once[w]}
-        assert all(cost <= LIMIT for _, _, cost in trie.match(token, _rules(), LIMIT))
+        assert all(cost <= LIMIT for _, _, cost, _ in trie.match(token, _rules(), LIMIT))
 
 
 def test_page_numbers():
@@ -46,7 +48,47 @@ def test_rows(spark):
     problems = {(p["line_no"], p["problem"]) for p in out["d", 1]["problems"]}
     assert problems == {(1, "running"), (3, "misread"), (3, "hyphen"), (5, "misread"), (6, "hyphen"), (8, "running")}
     assert {(p["line_no"], p["problem"]) for p in out["d", 2]["problems"]} == {(1, "running"), (4, "running")}
-    assert out["d", 1]["text"] == "The manaqer covers the customer and the conditions under third-party terms in 2021. Every customer"
+    assert out["d", 1]["text"] == "The manager covers the customer and the conditions under third-party terms in 2021. Every customer"
     assert out["d", 2]["text"] == "house covers terms" and out["e", 1]["text"] == "" and out["k", 1]["problems"] == []
     assert repair_scans(df.limit(0)).count() == 0
     assert repair_scans(df.where("kind = 'ocr'")).count() == 5
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_all_words_one_edit_away_are_retrieved():
+    r = random.Random(4)
+    vocabulary = sorted({"".join(r.choice("abc") for _ in range(r.randint(4, 9))) for _ in range(900)})
+    fore, back = Trie((w, 1.0) for w in vocabulary), Trie((w[::-1], 1.0) for w in vocabulary)
+    keys = {w: set(word_keys(w)) for w in vocabulary}
+    for _ in range(300):
+        token = "".join(r.choice("abcd") for _ in range(r.randint(5, 9)))
+        near = {w for w in vocabulary if distance(token, w) == 1}
+        half = len(token) // 2
+        found = {w for w, _ in fore.near(token, half)} | {w[::-1] for w, _ in back.near(token[::-1], len(token) - half)}
+        assert found == near
+        assert all(keys[w] & set(token_keys(token)) for w in near)
+
+
+WORDS = ("every", "about", "between", "house")
+
+
+def test_errors_outside_the_table_and_deep_furniture(spark):
+    native = "the document shows every agreement between customers and managers of the house about terms\n" * 20
+    head = "ACME REPORT\nFINAL VERSION\nINTERNAL COPY\nNORTHERN BRANCH"
+    scan = [f"{head}\nThe documnt shows {w} aqreement of\nmanagers {w} documeent about docurnent\nterms for {w} custqmers.\nPage {n} of 4" for n, w in enumerate(WORDS, 1)]
+    rows = [("n", 1, "native", native)] + [("d", n, "ocr", t) for n, t in enumerate(scan, 1)]
+    out = repair_scans(spark.createDataFrame(rows, "document_id string, page int, kind string, text string")).collect()
+    assert len(out) == 4
+    for r in out:
+        w = WORDS[r["page"] - 1]
+        assert r["text"] == f"The document shows {w} agreement of managers {w} document about document terms for {w} customers."
+        assert [p["line_no"] for p in r["problems"] if p["problem"] == "running"] == [1, 2, 3, 4, 8]
+        assert [p["line_no"] for p in r["problems"] if p["problem"] == "misread"] == [5, 6, 7]
