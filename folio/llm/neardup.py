@@ -1,14 +1,20 @@
 """Problem 5: near-duplicate records by an inverted index of positional bytes.
 
-A record is the set of its word sequences (shingles). The hash of a shingle is read as a byte
-position (its upper bits) and the byte there (its lowest eight), so two records share a
-positional byte for each shingle they share. All shingles are put in one order, rare ones first,
-by counts over the whole collection. Two records of similarity t or more share at least ``t`` of
-the larger one's shingles; so of the first n - ceil(t n) + k shingles of each, at least k are
-shared, or all where the pair shares fewer than k. Only these stand in the inverted index. Pairs are tallied by shared positional bytes,
-pairs with fewer than k (or than the pair needs, if that is less) are dropped, and the rest are verified on their whole shingle sets.
-
-A shared entry must also leave enough shingles behind it in both orders for the pair to reach
+A record is laid out as a sparse table of bytes: each of its word sequences (shingles) puts one byte,
+taken from its hash, at one position, taken from other bits of it; the table has as many positions
+as the collection needs for lists to stay short. Where several shingles of a record put the same
+byte at the same position, the further ones go to further layers of the table, so two records
+share at least as many positional bytes as shingles. The inverted index holds, for each position
+and byte, the records that have it.
+
+Count filtering. All positional bytes are put in one order, rare ones first, by counts over the whole
+collection. Two records of similarity t or more share at least ``t`` of the larger one's shingles;
+so of the first n - ceil(t n) + k positional bytes of each, at least k are shared, or all where the
+pair shares fewer than k. Only these are indexed. Pairs are tallied by shared positional bytes,
+pairs with fewer than k (or than the pair needs, if that is less) are dropped, and the rest are
+verified on their whole shingle sets.
+
+A shared entry must also leave enough of them behind it in both orders for the pair to reach
 t at all; the first k shared entries of a true pair do, so others are not tallied.
 
 Equal shingle sets are indexed once: such records form a class, and links between classes are
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +37,13 @@ from folio.llm.words import WORD, rows
 
 #: Words of a shingle, similarity, least words of a text, shared index entries that are guaranteed.
 SHINGLE, SIMILARITY, LEAST_WORDS, SHARED = 4, 0.6, 40, 3
-#: Counters of the shingle statistics (a fixed size, whatever the collection holds).
-COUNTERS = 1 << 20
+#: Counters of the statistics for each record, and the least and greatest number of them (4 bytes each). Their
+#: number decides how well the order tells rare from frequent, never the result.
+COUNTERS_A_RECORD, LEAST_COUNTERS, MOST_COUNTERS = 8, 1 << 20, 1 << 24
+#: Shingles of the collection for each position of the table of bytes.
+SHINGLES_A_POSITION = 16
+#: Length of a list of the index beyond which it is split over several tasks.
+LONG_LIST = 20_000
 #: Rows (of at most about 50 bytes) up to which a side of a join is sent to all executors.
 BROADCAST_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,21 +84,21 @@ def _prefix(n: int, similarity: float, shared: int) -> int:
     return min(n, n - math.ceil(round(similarity * n, 9)) + shared)
 
 
-def _shingle_counts(texts: DataFrame, size: int, least: int) -> np.ndarray:
-    """How often the shingles of each counter occur, over all texts.
+def _counts(texts: DataFrame, size: int, least: int, counters: int) -> np.ndarray:
+    """How often the positional bytes of each counter occur, over all texts.
 
     Each task adds its texts up in one array of fixed size; the arrays are summed in blocks by
-    a shuffle. What reaches the driver has the fixed size of COUNTERS.
+    a shuffle. What reaches the driver has the size of the counters (at most 64 MB).
     """
     blocks = 64
-    width = COUNTERS // blocks
+    width = counters // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingler(size), np.zeros(COUNTERS, np.uint32)
+        shingles, total = Shingler(size), np.zeros(counters, np.uint32)
         for batch in rows(batches):
-            several = [h for n, h in map(shingles, batch.column(0).to_pylist()) if n >= least]
+            several = [_salted(part, h) for part, (n, h) in zip(batch.column(0).to_pylist(), map(shingles, batch.column(1).to_pylist())) if n >= least]
             if several:
-                total += np.bincount((np.concatenate(several) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                total += np.bincount((np.concatenate(several) % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
         if total.any():
             parts = [b.tobytes() for b in total.reshape(blocks, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
@@ -97,13 +109,41 @@ def _shingle_counts(texts: DataFrame, size: int, least: int) -> np.ndarray:
             total += np.frombuffer(raw.as_py(), np.uint32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    summed = texts.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    summed = texts.select("part", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     out = np.zeros((blocks, width), np.uint32)
-    for row in summed.collect():  # 64 rows, 4 MB in all
+    for row in summed.collect():  # 64 rows
         out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
     return out.reshape(-1)
 
 
+def _power(least: float) -> int:
+    """The least power of two that is not below ``least``."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, least))))
+
+
+@lru_cache(maxsize=64)
+def _salt(part: str) -> np.uint64:
+    return np.uint64(_hash(part))
+
+
+def _salted(part: str, hashes: np.ndarray) -> np.ndarray:
+    """Hashes by which records of different parts share nothing but by chance."""
+    return hashes ^ _salt(part)
+
+
+def positional_bytes(hashes: np.ndarray, positions: int) -> np.ndarray:
+    """The sorted positional bytes of a record, each as position * 256 + byte. ``positions`` is a power of two;
+    positions from there on belong to further layers, for bytes that the record has several times."""
+    table = np.uint64(positions * 256)
+    found = np.sort(hashes & (table - np.uint64(1)))
+    again = found[1:] == found[:-1]
+    if again.any():
+        first = np.concatenate(([True], ~again))
+        start = np.maximum.accumulate(np.where(first, np.arange(len(found)), 0))
+        found = np.sort(found + (np.arange(len(found)) - start).astype(np.uint64) * table)
+    return found
+
+
 def near_duplicates(
     records: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, shared: int = SHARED
 ) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +161,10 @@ def near_duplicates(
     source = records.select("part", "record_id", F.col("text").cast("string").alias("text")).where(
         (F.length("text") >= 2 * least_words - 1) & F.col("record_id").isNotNull() & F.col("part").isNotNull()
     )
-    counts = spark.sparkContext.broadcast(_shingle_counts(source, shingle, least_words))
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, _power(COUNTERS_A_RECORD * records.count())))
+    counted = _counts(source, shingle, least_words, counters)
+    positions = _power(max(counters / 256, int(counted.sum(dtype=np.int64)) / SHINGLES_A_POSITION))
+    counts = spark.sparkContext.broadcast(counted)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,41 +172,50 @@ def near_duplicates(
         shingles, weight, seen = Shingler(shingle), counts.value, set()
         number = TaskContext.get().partitionId() << 40
         for batch in rows(batches, 1000):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             for part, record, text in zip(*(c.to_pylist() for c in batch.columns)):
                 n, h = shingles(text)
                 if n < least_words:
                     continue
-                salt = np.uint64(_hash(part))
                 one = _class(part, h)
-                entries = None
+                entries = long = None
                 if one not in seen:  # copies within a task are indexed once
                     seen.add(one)
-                    order = np.lexsort((h, weight[(h % np.uint64(COUNTERS)).astype(np.int64)]))
-                    entries = (h[order[: _prefix(len(h), similarity, shared)]] ^ salt).view(np.int64)
+                    placed = positional_bytes(_salted(part, h), positions)
+                    times = weight[(placed & np.uint64(counters - 1)).astype(np.int64)]
+                    order = np.argsort(times, kind="stable")[: _prefix(len(h), similarity, shared)]
+                    entries, times = placed[order].view(np.int64), times[order]
+                    if (many := times > LONG_LIST).any():  # they stand last; frequent ones are split
+                        short = len(order) - int(many.sum())
+                        long = [{"entry": int(e), "at": short + k, "tasks": int(t) // LONG_LIST + 1} for k, (e, t) in enumerate(zip(entries[short:], times[short:]))]
+                        entries = entries[:short]
                 number += 1
-                for column, value in zip(out, (part, record, one, _signed(_hash(text)), len(h), number, entries)):
+                for column, value in zip(out, (part, record, one, _signed(_hash(text)), len(h), number, entries, long, entries is not None)):
                     column.append(value)
-            kinds = (pa.string(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            names = ["part", "record_id", "class_id", "text_id", "n", "number", "entries"]
+            listed = pa.list_(pa.struct([("entry", pa.int64()), ("at", pa.int32()), ("tasks", pa.int32())]))
+            kinds = (pa.string(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), listed, pa.bool_())
+            names = ["part", "record_id", "class_id", "text_id", "n", "number", "entries", "long", "indexed"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     kind = source.schema["record_id"].dataType.simpleString()
-    schema = f"part string, record_id {kind}, class_id long, text_id long, n int, number long, entries array<long>"
+    schema = f"part string, record_id {kind}, class_id long, text_id long, n int, number long, entries array<long>, long array<struct<entry:long,at:int,tasks:int>>, indexed boolean"
     indexed = materialize(source.mapInArrow(index, schema))
     members = indexed.select("part", "class_id", "record_id", "text_id").distinct()
     # Of copies indexed by several tasks one stays. Only the others are joined, and they are few or,
     # where not, shuffled.
-    emitted = indexed.where("entries IS NOT NULL")
+    emitted = indexed.where("indexed")
     first = emitted.groupBy("class_id").agg(F.count("*").alias("times"), F.min("number").alias("first")).where("times > 1")
     surplus = materialize(emitted.select("class_id", "number").join(first, "class_id").where("number <> first").select("number"))
     classes = emitted.join(_small(surplus), "number", "left_anti")
-    posted = classes.select("class_id", "n", F.posexplode("entries").alias("at", "entry")).select(
-        "entry", "class_id", F.expr("shiftleft(cast(n as long), 32) + at").alias("place")
-    )
+    place = F.expr("shiftleft(cast(n as long), 32) + at")
+    posted = classes.select("class_id", "n", F.posexplode("entries").alias("at", "entry")).select(*_split("entry"), "class_id", place.alias("place"))
     # Both sides are the same rows, so one shuffle serves both. The smaller set of a pair is side a.
-    a = posted.select("entry", F.col("class_id").alias("class_a"), F.col("place").alias("place_a"))
-    b = posted.select("entry", F.col("class_id").alias("class_b"), F.col("place").alias("place_b"))
+    short = _sides(posted, posted, ["position", "byte"])
+    # Of a long list each row of side a is in one task, side b in all of them.
+    listed = classes.where("long IS NOT NULL").select("class_id", "n", F.inline("long")).select(*_split("entry"), "class_id", place.alias("place"), "tasks")
+    one, every = F.pmod(F.xxhash64("class_id"), F.col("tasks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))
+    both = [listed.withColumn("task", where).drop("tasks") for where in (one, every)]
+    met = short.unionByName(_sides(*both, ["position", "byte", "task"]))
     n_a, n_b = F.shiftright("place_a", 32), F.shiftright("place_b", 32)
     at_a, at_b = F.col("place_a").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("place_b").bitwiseAND(F.lit(0xFFFFFFFF))
     overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-6)
@@ -171,11 +223,22 @@ def near_duplicates(
     close: Column = smaller & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
     # A pair of small sets may reach t with fewer than k shared shingles in all; then each counts for more.
     weight = F.greatest(F.lit(1), F.ceil(shared / F.greatest(overlap, F.lit(1))))
-    tallied = a.join(b, "entry").where(close).groupBy("class_a", "class_b").agg(F.sum(weight).alias("hits"))
+    tallied = met.where(close).groupBy("class_a", "class_b").agg(F.sum(weight).alias("hits"))
     candidates = materialize(tallied.where(F.col("hits") >= shared).select("class_a", "class_b"))
     return members, _verified(candidates, classes, source, similarity, shingle)
 
 
+def _split(entry: str) -> list[Column]:
+    """Position and byte of an entry of the index."""
+    return [F.shiftright(entry, 8).alias("position"), F.col(entry).bitwiseAND(F.lit(255)).alias("byte")]
+
+
+def _sides(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """class_a, place_a, class_b, place_b of all that stand in the same lists."""
+    named = [df.select(*on, F.col("class_id").alias(f"class_{side}"), F.col("place").alias(f"place_{side}")) for df, side in ((a, "a"), (b, "b"))]
+    return named[0].join(named[1], on).drop(*on)
+
+
 def _verified(candidates: DataFrame, classes: DataFrame, source: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The candidate pairs whose whole shingle sets are similar enough."""
     wanted = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()

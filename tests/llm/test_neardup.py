@@ -1,6 +1,8 @@
 import random
 
-from folio.llm.neardup import Shingler, grouped, linked_pairs
+import numpy as np
+
+from folio.llm.neardup import Shingler, grouped, linked_pairs, positional_bytes
 
 
 def brute(rows, similarity=0.6):
@@ -52,3 +54,44 @@ def test_ids_with_several_texts(spark):
         rows += [("p", f"c{k}", " ".join(f"u{k}n{i}" for i in range(60)) + " end")]
     found = {(r["id_a"], r["id_b"]) for r in linked_pairs(spark.createDataFrame(rows, "part string, record_id string, text string")).collect()}
     assert found == {pair for k in range(12) for pair in ((f"a{k}", f"b{k}"), (f"a{k}", f"c{k}"))}
+
+
+def made(r, n=40):
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(n):
+        base = [r.choice(vocabulary) for _ in range(r.randint(40, 90))]
+        for _ in range(r.randint(1, 4)):
+            new = list(base)
+            for _ in range(r.randint(0, 5)):
+                new[r.randrange(len(new))] = r.choice(vocabulary)
+            rows.append((r.choice("ab"), len(rows), " ".join(new)))
+    return rows
+
+
+def test_positional_bytes_are_shared_at_least_as_often_as_shingles():
+    r = np.random.default_rng(7)
+    for positions in (1, 2, 16, 4096):
+        for _ in range(50):
+            common = r.integers(0, 2**63, r.integers(1, 60)).astype(np.uint64)
+            sets = [np.unique(np.concatenate([common, r.integers(0, 2**63, r.integers(0, 60)).astype(np.uint64)])) for _ in "ab"]
+            a, b = (positional_bytes(h, positions) for h in sets)
+            assert len(np.unique(a)) == len(sets[0]) and len(np.intersect1d(a, b)) >= len(np.intersect1d(*sets))
+            first = a[a < positions * 256]
+            assert set((first & 255).tolist()) <= {int(h) & 255 for h in sets[0]} and set((first >> 8).tolist()) == {(int(h) >> 8) % positions for h in sets[0]}
+
+
+def test_long_lists_are_split_and_small_tables_lose_nothing(spark, monkeypatch):
+    rows = made(random.Random(2))
+    df = spark.createDataFrame(rows, "part string, record_id long, text string")
+    for name, value in (("LONG_LIST", 2), ("SHINGLES_A_POSITION", 1 << 40)):
+        monkeypatch.setattr(f"folio.llm.neardup.{name}", value)
+        assert {tuple(x) for x in linked_pairs(df).collect()} == brute(rows)
+
+
+def test_links_come_from_the_positional_bytes(spark, monkeypatch):
+    rows = made(random.Random(3))
+    assert brute(rows)
+    real = positional_bytes
+    monkeypatch.setattr("folio.llm.neardup.positional_bytes", lambda h, positions: real(h * (h.sum() | np.uint64(1)), positions))  # bytes that no other record has
+    assert linked_pairs(spark.createDataFrame(rows, "part string, record_id long, text string")).count() == 0
