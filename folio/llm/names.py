@@ -4,8 +4,8 @@ Noisy-channel attribution. Every spelling is parsed (titles, legal forms, word o
 A frequent, complete spelling is a candidate canonical form; a variant is attached to the
 candidate with the greatest posterior: the logarithm of its frequency (prior) plus that of the
 likelihood of writing the variant for it (typing errors, abbreviations, nicknames, initials).
-Candidates are found by keys that a spelling shares with all forms within one typing error of
-it, so no two unrelated names are ever paired.
+Candidates are found by keys that a spelling shares with every form the channel may have made it
+from, so no link is lost and no two unrelated names are ever paired.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.durable import materialize
+from folio.durable import materialize, with_rank
 
 # Titles, legal forms (each line one form), words of business with abbreviations, nicknames.
 TITLES = frozenset("dr mr mrs ms miss prof sir herr frau mme dipl ing".split())
@@ -63,8 +63,10 @@ NICKNAMES = {
     )
 }
 
-#: Characters of either end that are keys of a name too long for a key for each error.
-LONG_KEY = 32
+#: Letters of a surname and of an organisation's words from which on two typing errors are allowed, not one.
+TWO_ERRORS, TWO_ERRORS_WORDS = 10, 12
+#: Letters of a half of a name that are used for keys; of a longer half only this many at the name's end.
+LONG_KEY = 24
 
 _GLUED = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -90,8 +92,14 @@ def parse(name: str) -> tuple[str, ...]:
         return ("o", " ".join(core) or " ".join(lower), " ".join(sorted(set(business))), " ".join(sorted(kinds)))
     whole = [(w, at) for (w, at) in zip(lower, (at for _, at in tokens)) if len(w) > 1]
     short = [w for w in lower if len(w) == 1]
-    if len(whole) < 1 or len(whole) > 2:
+    if len(whole) < 1 or len(whole) > 3:
         return ("o", " ".join(lower), "", "")
+    if len(whole) == 3:  # a second given name counts as its initial
+        (a, at_a), (b, at_b), (c, at_c) = whole
+        written = {at: t for t, at in tokens}
+        if at_a < comma < at_b or (written[at_a].isupper() and not written[at_c].isupper()):
+            return ("p", a, b, c[0])
+        return ("p", c, a, b[0])
     if len(whole) == 1:
         return ("p", whole[0][0], short[0] if short else "", short[1] if len(short) > 1 else "")
     (a, at_a), (b, at_b) = whole
@@ -106,22 +114,81 @@ def _dotted(text: str) -> str:
     return letters if letters.lower() in LEGAL else " ".join(letters)
 
 
-def keys(parsed: tuple[str, ...]) -> list[str]:
-    """Keys of which two parsed names within one typing error of each other share one."""
+def _hash(key: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+
+
+def _shorter(text: str) -> set[str]:
+    """The text without one of its letters."""
+    return {text[:i] + text[i + 1 :] for i in range(len(text))}
+
+
+def _halves(length: int) -> tuple[int, int]:
+    return min(length // 2, LONG_KEY), min(length - length // 2, LONG_KEY)
+
+
+def _variant_keys(text: str, two: int) -> set[str]:
+    """Keys of a text of which it shares one with every text of which it is a variant by one typing error, or by
+    two where that has ``two`` letters or more.
+
+    Of one error both texts are equal without a letter. Of two errors one half of the other text holds
+    one at most, so that half and the letters at this text's end are equal without a letter; which
+    letters they are depends on the other's length.
+    """
+    n, found = len(text), set()
+    if n - 1 < two:
+        found.update((f"={text}", *(f"={x}" for x in _shorter(text))))
+    for length in range(max(two, n - 2), n + 3):
+        head, tail = _halves(length)
+        for size in (head, head + 1):
+            found.update(f"<{head}:{x}" for x in _shorter(text[:size]) | ({text} if n < size else set()))
+        for size in (tail, tail + 1):
+            found.update(f">{tail}:{x}" for x in _shorter(text[-size:]) | ({text} if n < size else set()))
+    return found
+
+
+def _canonical_keys(text: str, two: int) -> set[str]:
+    """The other side of _variant_keys."""
+    if len(text) < two:
+        return {f"={text}", *(f"={x}" for x in _shorter(text))}
+    head, tail = _halves(len(text))
+    low, high = text[:head], text[-tail:]
+    return {f"<{head}:{x}" for x in (low, *_shorter(low))} | {f">{tail}:{x}" for x in (high, *_shorter(high))}
+
+
+def _ends(given: str) -> set[str]:
+    """Of two given names that differ by one error one of these is equal."""
+    return {f"f{given[:2]}", f"l{given[-2:]}", *((f"e{given[0]}{given[-1]}",) if len(given) == 4 else ())}
+
+
+def _given_keys(given: str, canonical: bool) -> set[str]:
+    """Keys of a given name for _given(): a variant shares one with every canonical name it may stand for."""
+    other = NICKNAMES.get(given, ())
+    if not canonical:
+        if len(given) < 2:
+            return {f"i{given}" if given else "*"}
+        return _ends(given) | {f"f{name[:2]}" for name in other}
+    found = {"*"}
+    if given:
+        found.update((f"i{given[0]}", *(f"i{name[0]}" for name in other)))
+    if len(given) > 1:
+        found |= _ends(given) | {f"f{name[:2]}" for name in other}
+    return found
+
+
+def keys(parsed: tuple[str, ...], canonical: bool) -> set[str]:
+    """Keys of a name as a variant or as a canonical form. Wherever channel(variant, form) is finite, the two share one."""
     if parsed[0] == "p":
-        bases = {parsed[1]}
-    else:
-        words = parsed[1].split()
-        bases = {"".join(words), "".join(words[1:] + words[:1]), "".join(sorted(words))}
-    found = set()
-    for b in bases:
-        if len(b) > 2 * LONG_KEY:  # of a long name one end is free of the error
-            found.update((f"{b[:LONG_KEY]}<", f">{b[-LONG_KEY:]}"))
-            continue
-        found.add(b)
-        if len(b) >= 5:
-            found.update(b[:i] + b[i + 1 :] for i in range(len(b)))
-    return [f"{parsed[0]}:{k}" for k in sorted(found)]
+        names = _canonical_keys(parsed[1], TWO_ERRORS) if canonical else _variant_keys(parsed[1], TWO_ERRORS)
+        given = _given_keys(parsed[2], canonical)
+        return {f"p{g}:{k}" for k in names for g in given}
+    words = parsed[1].split()
+    if not canonical:
+        return {f"o{k}" for k in _variant_keys("".join(words), TWO_ERRORS_WORDS)}
+    orders = {"".join(words), "".join(words[1:] + words[:1]), "".join(sorted(words))}
+    return {f"o{k}" for text in orders for k in _canonical_keys(text, TWO_ERRORS_WORDS)}
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
@@ -137,18 +204,20 @@ def edits(a: str, b: str, most: int = 2) -> int:
     while high < min(len(a), len(b)) and a[-1 - high] == b[-1 - high]:
         high += 1
     a, b = a[: len(a) - high], b[: len(b) - high]
-    if len(a) > 12 or len(b) > 12:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
+    far = most + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}  # only places near the diagonal can be reached
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
+        new = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            d = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, before.get(j - 2, far) + 1)
+            new[j] = d
         before, row = row, new
-    return min(row[-1], most + 1)
+        if min(row.values(), default=far) > most:
+            return far
+    return min(row.get(len(b), far), far)
 
 
 def channel(variant: tuple[str, ...], canonical: tuple[str, ...]) -> float:
@@ -158,7 +227,7 @@ def channel(variant: tuple[str, ...], canonical: tuple[str, ...]) -> float:
     if variant[0] == "o":
         v, c = variant[1].split(), canonical[1].split()
         far = min(edits("".join(v), "".join(x)) for x in (c, c[1:] + c[:1], sorted(c)))
-        if variant[1].split() != v or far > (2 if len("".join(c)) >= 12 else 1):
+        if far > (2 if len("".join(c)) >= TWO_ERRORS_WORDS else 1):
             return math.inf
         cost = TYPO * far
         if variant[2] != canonical[2]:
@@ -169,7 +238,7 @@ def channel(variant: tuple[str, ...], canonical: tuple[str, ...]) -> float:
             cost += OTHER_LEGAL if variant[3] and canonical[3] else DROPPED
         return cost
     far = edits(variant[1], canonical[1])
-    if far > (2 if len(canonical[1]) >= 10 else 1):
+    if far > (2 if len(canonical[1]) >= TWO_ERRORS else 1):
         return math.inf
     given = _given(variant[2], canonical[2])
     cost = TYPO * far + given
@@ -219,15 +288,33 @@ def link_spellings(names: DataFrame) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms = [parse(n) for n in batch.column(0).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array(["|".join(f) for f in forms], pa.string()), pa.array([keys(f) for f in forms], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([rank(f) for f in forms], pa.int32())], ["name", "weight", "form", "keys", "rank"])
-
-    spelled = materialize(counted.mapInArrow(parsed, "name string, weight long, form string, keys array<string>, rank int"))
-    forms = materialize(spelled.groupBy("form").agg(F.sum("weight").alias("weight"), F.first("keys").alias("keys"), F.first("rank").alias("rank")))
-    keyed = forms.select("form", "rank", "weight", F.explode("keys").alias("key"))
-    a = keyed.select("key", F.col("form").alias("v"), F.struct("rank", "weight", "form").alias("ov"))
-    b = keyed.select("key", F.col("form").alias("c"), F.col("weight").alias("w"), F.struct("rank", "weight", "form").alias("oc"))
-    pairs = a.join(b, "key").where("ov < oc").select("v", "c", "w").distinct()
+            columns = [batch.column(0), batch.column(1), pa.array(["|".join(f) for f in forms], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([rank(f) for f in forms], pa.int32())], ["name", "weight", "form", "rank"])
+
+    spelled = materialize(counted.mapInArrow(parsed, "name string, weight long, form string, rank int"))
+    forms = spelled.groupBy("form").agg(F.sum("weight").alias("weight"), F.first("rank").alias("rank"))
+    # A form may only stand for those before it in this order.
+    forms = materialize(with_rank(forms, "place", "rank", "weight", "form"))
+
+    def keyed(canonical: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    places, found = [], []
+                    for place, form in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                        some = keys(tuple(form.split("|")), canonical)
+                        found += map(_hash, some)
+                        places += [place] * len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.uint64()).view(pa.int64()), pa.array(places, pa.int64())], ["key", "place"])
+
+        return forms.select("place", "form").mapInArrow(run, "key long, place long")
+
+    a, b = keyed(False).withColumnRenamed("place", "place_v"), keyed(True).withColumnRenamed("place", "place_c")
+    met = materialize(a.join(b, "key").where("place_v < place_c").select("place_v", "place_c").distinct())
+    pairs = met.join(forms.select(F.col("place").alias("place_v"), F.col("form").alias("v")), "place_v").join(
+        forms.select(F.col("place").alias("place_c"), F.col("form").alias("c"), F.col("weight").alias("w")), "place_c"
+    ).select("v", "c", "w")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
