@@ -27,8 +27,8 @@ MOST_SAMPLES = 20_000
 MOST_TEXTS, MOST_CHARS = 2_000, 20_000
 #: Penalties of a switch inside a paragraph and at its start; greatest loss of one word.
 SWITCH, SWITCH_AT_PARAGRAPH, FLOOR = 8.0, 2.0, 5.0
-#: Words of a sequence of the search; a longer text is searched in such stretches.
-STRETCH = 512
+#: Words of the texts that are searched side by side (bounds the memory of a task; a longer text is searched alone).
+CELLS = 131_072
 LEAST_WORDS = 8
 UNKNOWN = "und"
 
@@ -143,40 +143,39 @@ class LanguageModel:
     def label(self, texts: list[str]) -> list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
         """For each text its paragraphs: number, word count by language, summed scores by language, words."""
         n = max(1, len(self.languages))
-        stretches, lengths, spans = [], [], []
+        words, starts, marks = [], [], []
         for text in texts:
-            ids, starts, marks = [], [], []
+            ids: list[int] = []
+            first, spans = [], []
             for number, paragraph in enumerate(text.split("\n\n"), 1):
                 found = WORD.findall(_CODE.sub(_as_code, paragraph))
                 if found:
-                    marks.append((number, len(ids), len(ids) + len(found)))
-                    starts.append(len(ids))
+                    spans.append((number, len(ids), len(ids) + len(found)))
+                    first.append(len(ids))
                     ids.extend(map(self.number, found))
-            spans.append((len(stretches), len(ids), marks))
-            for a in range(0, len(ids), STRETCH):
-                stretches.append((ids[a : a + STRETCH], [s - a for s in starts if a <= s < a + STRETCH]))
-        labels: list[np.ndarray] = [np.empty(0, np.int8)] * len(stretches)
-        order = sorted(range(len(stretches)), key=lambda k: len(stretches[k][0]))
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
-            longest = max(len(stretches[k][0]) for k in some)
+            words.append(np.array(ids, np.int64))
+            starts.append(first)
+            marks.append(spans)
+        labels: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
+        order = sorted((k for k in range(len(texts)) if len(words[k])), key=lambda k: -len(words[k]))
+        while order:
+            longest = len(words[order[0]])
+            some = order[: max(1, CELLS // longest)]
+            order = order[len(some) :]
             ids = np.zeros((len(some), longest), np.int64)
             real = np.zeros((len(some), longest), bool)
             penalty = np.full((len(some), longest), SWITCH, np.float32)
             for row, k in enumerate(some):
-                words, starts = stretches[k]
-                ids[row, : len(words)] = words
-                real[row, : len(words)] = True
-                penalty[row, starts] = SWITCH_AT_PARAGRAPH
+                ids[row, : len(words[k])] = words[k]
+                real[row, : len(words[k])] = True
+                penalty[row, starts[k]] = SWITCH_AT_PARAGRAPH
             found = self._viterbi(ids, real, penalty)
             for row, k in enumerate(some):
-                labels[k] = found[row, : len(stretches[k][0])]
+                labels[k] = found[row, : len(words[k])]
         out = []
-        for first, size, marks in spans:
-            mine = np.concatenate(labels[first : first + (size + STRETCH - 1) // STRETCH]) if size else np.empty(0, np.int8)
-            ids = np.concatenate([np.array(stretches[k][0]) for k in range(first, first + (size + STRETCH - 1) // STRETCH)]) if size else np.empty(0, np.int64)
+        for ids, mine, spans in zip(words, labels, marks):
             paragraphs = []
-            for number, a, b in marks:
+            for number, a, b in spans:
                 counted = self.counted[ids[a:b]]
                 paragraphs.append((number, np.bincount(mine[a:b][counted], minlength=n), self.table[ids[a:b]].sum(0), b - a))
             out.append(paragraphs)
@@ -263,8 +262,9 @@ def _code_of(stored: str | None, languages: list[str]) -> str | None:
 
 
 def identify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "language") -> DataFrame:
-    """(id, seg_no, language, confidence, n_words, stored_ok): seg_no 0 is the whole text; a text that mixes
+    """(id, seg_no, language, confidence, n_words, stored_ok, main): seg_no 0 is the whole text; a text that mixes
     languages has a further row for each paragraph with words (numbered from 1, split at two newlines).
+    main is the language of the whole text, on each of its rows.
 
     A text or paragraph whose words are in no language of the samples (numbers, codes, strings of
     code, other scripts), null and empty texts included, has the language 'und' and confidence 0.
@@ -292,7 +292,7 @@ def identify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id"
         names = model.languages
         for batch in rows(batches, 1000):
             ids, texts, stored = (c.to_pylist() for c in batch.columns)
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for key, label, paragraphs in zip(ids, stored, model.label([t or "" for t in texts])):
                 counts = sum((p[1] for p in paragraphs), np.zeros(max(1, len(names)), np.int64))
                 scores = sum((p[2] for p in paragraphs), np.zeros(max(1, len(names)), np.float32))
@@ -302,22 +302,18 @@ def identify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id"
                 if any(p[1] not in (main, UNKNOWN) for p in parts):
                     found += parts
                 for row in found:
-                    for column, value in zip(out, (key, *row)):
+                    for column, value in zip(out, (key, *row, main)):
                         column.append(value)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "seg_no", "language", "confidence", "n_words", "stored_ok"])
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "seg_no", "language", "confidence", "n_words", "stored_ok", "main"])
 
     kind = source.schema["id"].dataType.simpleString()
-    found = source.mapInArrow(run, f"id {kind}, seg_no int, language string, confidence double, n_words int, stored_ok boolean")
+    found = source.mapInArrow(run, f"id {kind}, seg_no int, language string, confidence double, n_words int, stored_ok boolean, main string")
     return found.withColumnRenamed("id", id_column)
 
 
 def cases(found: DataFrame, id_column: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, seg_no, language): documents whose stored label is missing or wrong, and paragraphs in
     another language than their document's main one, each of at least ``least_words`` words."""
-    enough = found.where((F.col("n_words") >= least_words) & (F.col("language") != UNKNOWN))
-    whole = enough.where("seg_no = 0 AND NOT stored_ok")
-    # A row's paragraphs come from the same task; their main language is handed over by id and text.
-    main = found.where("seg_no = 0").select(F.col(id_column), F.col("language").alias("main")).distinct()
-    parts = enough.where("seg_no > 0").join(main, id_column).where("language <> main")
-    return whole.select(id_column, "seg_no", "language").unionByName(parts.select(id_column, "seg_no", "language")).distinct()
+    case = F.when(F.col("seg_no") == 0, ~F.col("stored_ok")).otherwise(F.col("language") != F.col("main"))
+    return found.where((F.col("n_words") >= least_words) & (F.col("language") != UNKNOWN) & case).select(id_column, "seg_no", "language").distinct()

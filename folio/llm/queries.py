@@ -68,10 +68,9 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    from folio.durable import materialize
     from folio.llm.language import cases
 
-    return cases(materialize(p3_languages(spark, folder)))
+    return cases(p3_languages(spark, folder))
 
 
 def p3_languages(spark: SparkSession, folder: str) -> DataFrame:

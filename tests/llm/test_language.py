@@ -27,3 +27,26 @@ def test_rows(spark):
     assert out == {(2, 0, "en"), (3, 0, "en"), (4, 2, "de"), (None, 0, "en")}
     assert cases(identify(df.limit(0), samples)).count() == 0
     assert {r["language"] for r in identify(df, samples.limit(0)).collect()} == {"und"}
+
+
+def test_the_state_is_carried_through_long_texts():
+    model = LanguageModel(word_counts([("en", "the house of the people is on the hill and it was old"), ("de", "das Haus der Leute ist auf dem Berg und es war alt")]))
+    english, german = "the house of the people is on the hill ", "das Haus der Leute ist auf dem Berg "
+    # One foreign word never pays for two switches, wherever it stands in the text.
+    for at in (511, 512, 513, 2000):
+        text = (english * 400).split()
+        text[at] = "alt"
+        (paragraph,) = model.label([" ".join(text)])[0]
+        assert paragraph[1].tolist() == [0, len(text)]
+    long, short = english * 40_000, german
+    found = model.label([short, long, "", long + "\n\n" + german * 3])
+    assert [[p[1].argmax() for p in one] for one in found] == [[0], [1], [], [1, 0]]
+
+
+def test_repeated_and_null_ids_keep_their_own_main_language(spark):
+    samples = spark.read.parquet(f"{TESTDATA}/lang_samples.parquet")
+    english = "The supplier was informed that the contract ends with the month and that all invoices are due."
+    german = "Der Vertrag wird mit dem Ende des Monats und nach der letzten Mahnung ohne weitere Angaben beendet."
+    docs = [(1, f"{english} {english}\n\n{german}", "en"), (1, f"{german} {german}\n\n{english}", "de"), (None, f"{english} {english}\n\n{german}", "en")]
+    out = {tuple(r) for r in cases(identify(spark.createDataFrame(docs, "doc_id long, text string, language string"), samples)).collect()}
+    assert out == {(1, 2, "de"), (1, 2, "en"), (None, 2, "de")}
