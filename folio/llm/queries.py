@@ -27,6 +27,13 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_units(_table(spark, folder, "units"), _table(spark, folder, "unit_limits"))
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    from folio.llm.split import rejoined, split_units
+
+    units, limits = _table(spark, folder, "units"), _table(spark, folder, "unit_limits")
+    return rejoined(split_units(units, limits), units, limits)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 

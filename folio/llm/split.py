@@ -1,7 +1,7 @@
 """Problem 1: splitting oversized units at natural boundaries.
 
-Agglomerative merging. The text is cut into atoms at every boundary of the coarsest level whose
-segments all fit, and of the levels above it. Neighbouring atoms stand in a heap; the pair with
+Agglomerative merging. The text is cut into atoms: level by level from coarse to fine, until every
+segment fits; the level that was needed is the boundary reported. Neighbouring atoms stand in a heap; the pair with
 the weakest boundary is merged first, as long as the two together and the overlap fit the limit.
 What remains are the pieces, cut at the strongest boundaries that the limit allows.
 """
@@ -30,28 +30,20 @@ STRENGTH = {"paragraph": 4, "line": 2, "sentence": 3, "word": 1, "none": 0}
 SCHEMA = "piece_no int, text string, char_start int, char_end int, overlap int, boundary string"
 
 
-def boundary_of(text: str, size: int) -> str:
-    """The first level whose segments are all at most ``size`` characters long, or none."""
-    for name, separator in LEVELS:
-        start, fits = 0, True
-        for m in separator.finditer(text):
-            if m.start() - start > size:
-                fits = False
-                break
-            start = m.end()
-        if fits and len(text) - start <= size:
-            return name
-    return "none"
-
-
-def _cuts(text: str, level: str, size: int) -> dict[int, int]:
-    """Positions where an atom may begin, with the strength of the boundary there."""
+def atoms(text: str, size: int) -> tuple[str, dict[int, int]]:
+    """The level whose segments all fit in ``size`` (or none), and the places where an atom begins, with the
+    strength of the boundary there: those of that level and of the ones above it."""
     found: dict[int, int] = {}
+    level = "none"
     for name, separator in LEVELS:
+        end, longest = 0, 0
         for m in separator.finditer(text):
-            if 0 < m.end() < len(text):
-                found[m.end()] = max(found.get(m.end(), 0), STRENGTH[name])
-        if name == level:
+            longest = max(longest, m.start() - end)
+            end = m.end()
+            if 0 < end < len(text):
+                found[end] = max(found.get(end, 0), STRENGTH[name])
+        if max(longest, len(text) - end) <= size:
+            level = name
             break
     marks = [0, *sorted(found), len(text)]
     for a, b in zip(marks, marks[1:]):  # only stretches without any boundary, and those with long separators
@@ -61,7 +53,7 @@ def _cuts(text: str, level: str, size: int) -> dict[int, int]:
                 c -= 1
             found[c] = STRENGTH["none"]
             a = c
-    return found
+    return level, found
 
 
 def split_text(text: str, max_chars: int, overlap_chars: int) -> tuple[str, list[tuple[int, int, int]]]:
@@ -69,8 +61,7 @@ def split_text(text: str, max_chars: int, overlap_chars: int) -> tuple[str, list
     first ``overlap`` characters repeat the end of the piece before. Without the overlaps the
     pieces make up the text exactly."""
     room = max(1, max_chars - max(0, overlap_chars))
-    level = boundary_of(text, room)
-    found = _cuts(text, level, room)
+    level, found = atoms(text, room)
     starts = [0, *sorted(found)]
     ends = [*starts[1:], len(text)]
     after = list(range(1, len(starts))) + [-1]
@@ -140,3 +131,19 @@ def split_units(units: DataFrame, limits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return long.mapInArrow(run, f"unit_id string, {SCHEMA}")
+
+
+def rejoined(pieces: DataFrame, units: DataFrame, limits: DataFrame) -> DataFrame:
+    """(unit_id, boundary, whole, fits, overlaps) of the pieces of each unit: the hash of their text without the
+    overlaps, whether none is over its limit, and whether each begins as the one before it ends, by no
+    more than the overlap allowed. The pieces of one unit come together in one row."""
+    limits = limits.select("unit_type", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("most")).dropDuplicates(["unit_type"])
+    before = F.lag("text").over(Window.partitionBy("unit_id").orderBy("piece_no"))
+    repeated = F.when(F.col("piece_no") == 1, F.col("overlap") == 0).otherwise(F.endswith(before, F.substring("text", F.lit(1), F.col("overlap"))))
+    own = F.struct("piece_no", F.substring("text", F.col("overlap") + 1, F.length("text")).alias("own"))
+    one = pieces.withColumn("repeated", repeated).groupBy("unit_id").agg(
+        F.first("boundary").alias("boundary"), F.array_sort(F.collect_list(own)).alias("own"), F.max(F.length("text")).alias("longest"), F.max("overlap").alias("overlap"), F.every("repeated").alias("repeated")
+    )
+    kinds = units.select("unit_id", "unit_type").join(limits, "unit_type").groupBy("unit_id").agg(F.max("max_chars").alias("max_chars"), F.max("most").alias("most"))
+    whole = F.md5(F.array_join(F.col("own.own"), "").cast("binary")).alias("whole")
+    return one.join(kinds, "unit_id").select("unit_id", "boundary", whole, (F.col("longest") <= F.col("max_chars")).alias("fits"), (F.col("repeated") & (F.col("overlap") <= F.col("most"))).alias("overlaps"))

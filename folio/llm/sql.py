@@ -16,16 +16,19 @@ NARROW = f"translate(seen, '{''.join(chr(ord(c) + 0xFEE0) for c in LETTERS)}', '
 ALIKE = f"translate({NARROW}, 'аеоуіАЕОУІοαΟΑΕΙ', 'aeoyiAEOYIoaOAEI')"
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
-ORACLE: dict[str, str] = {
-    "p1_found": rf"""
+_LONG = rf"""
         WITH long AS (
-          SELECT DISTINCT unit_id, text, max_chars - overlap_chars AS size FROM units JOIN unit_limits USING (unit_type) WHERE length(text) > max_chars)
-        SELECT unit_id, CASE
+          SELECT DISTINCT unit_id, text, max_chars - overlap_chars AS size FROM units JOIN unit_limits USING (unit_type) WHERE length(text) > max_chars),
+        b AS (SELECT unit_id, text, CASE
           WHEN {_most(r"\n[\t\r\f\v ]*(?:\n[\t\r\f\v ]*)+")} <= size THEN 'paragraph'
           WHEN {_most(r"\n+")} <= size THEN 'line'
           WHEN {_most(chr(1), "regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(1), 'g')")} <= size THEN 'sentence'
           WHEN {_most(r"[ \n]+")} <= size THEN 'word' ELSE 'none' END AS boundary
-        FROM long""",
+        FROM long)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"{_LONG} SELECT unit_id, boundary FROM b",
+    "p1_rejoined": f"{_LONG} SELECT unit_id, boundary, md5(text) AS whole, true AS fits, true AS overlaps FROM b",
     "p5_found": rf"""
         WITH r AS (SELECT DISTINCT 'documents' AS record_kind, doc_id AS id, text FROM documents
                    UNION SELECT DISTINCT 'evidence', evidence_id, text FROM evidence),

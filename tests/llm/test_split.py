@@ -1,7 +1,16 @@
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.split import boundary_of, split_text, split_units
+from folio.llm.split import LEVELS, atoms, rejoined, split_text, split_units
+
+
+def boundary_of(text, size):
+    for name, separator in LEVELS:
+        if all(len(part) <= size for part in separator.split(text)):
+            return name
+    return "none"
 
 
 @settings(max_examples=150, deadline=None)
@@ -15,6 +24,7 @@ def test_pieces_cover_the_text(text, most, overlap):
 
 
 def test_levels():
+    assert atoms("aaaa\n\nbb b", 4) == ("paragraph", {6: 4, 4: 0}) and atoms("aa bb", 3) == ("word", {3: 1})
     assert boundary_of("aaa\n\nbbb", 3) == "paragraph"
     assert boundary_of("aaa\nbbb", 3) == "line"
     assert boundary_of("aa. bbb", 3) == "sentence"
@@ -47,4 +57,9 @@ def test_units(spark):
     pieces = [found["u6", n] for n in range(1, sum(u == "u6" for u, _ in found) + 1)]
     assert "".join(p["text"][p["overlap"] :] for p in pieces) == long
     assert all(len(p["text"]) <= 10 and long[p["char_start"] : p["char_end"]] == p["text"] for p in pieces)
+    checked = [tuple(r) for r in rejoined(out, units, limits).select("unit_id", "fits", "overlaps").collect()]
+    assert sorted(checked) == [("u1", True, True), ("u6", True, True)]
+    whole = {r["unit_id"]: r["whole"] for r in rejoined(out, units, limits).collect()}
+    assert whole == {"u1": hashlib.md5(b"aa bb cc dd ee ff").hexdigest(), "u6": hashlib.md5(long.encode()).hexdigest()}
+    assert all(r["whole"] != whole[r["unit_id"]] for r in rejoined(out.where("piece_no <> 2"), units, limits).collect())
     assert split_units(units.limit(0), limits).count() == 0 and split_units(units, limits.limit(0)).count() == 0
