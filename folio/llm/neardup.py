@@ -208,23 +208,27 @@ def near_duplicates(
     surplus = materialize(emitted.select("class_id", "number").join(first, "class_id").where("number <> first").select("number"))
     classes = emitted.join(_small(surplus), "number", "left_anti")
     place = F.expr("shiftleft(cast(n as long), 32) + at")
-    posted = classes.select("class_id", "n", F.posexplode("entries").alias("at", "entry")).select(*_split("entry"), "class_id", place.alias("place"))
+    # In the index a class goes by its number, which is short; its id is a hash.
+    posted = classes.select("number", "n", F.posexplode("entries").alias("at", "entry")).select(*_split("entry"), "number", place.alias("place"))
     # Both sides are the same rows, so one shuffle serves both. The smaller set of a pair is side a.
     short = _sides(posted, posted, ["position", "byte"])
     # Of a long list each row of side a is in one task, side b in all of them.
-    listed = classes.where("long IS NOT NULL").select("class_id", "n", F.inline("long")).select(*_split("entry"), "class_id", place.alias("place"), "tasks")
-    one, every = F.pmod(F.xxhash64("class_id"), F.col("tasks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))
+    listed = classes.where("long IS NOT NULL").select("number", "n", F.inline("long")).select(*_split("entry"), "number", place.alias("place"), "tasks")
+    one, every = F.pmod(F.xxhash64("number"), F.col("tasks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))
     both = [listed.withColumn("task", where).drop("tasks") for where in (one, every)]
     met = short.unionByName(_sides(*both, ["position", "byte", "task"]))
     n_a, n_b = F.shiftright("place_a", 32), F.shiftright("place_b", 32)
     at_a, at_b = F.col("place_a").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("place_b").bitwiseAND(F.lit(0xFFFFFFFF))
     overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-6)
-    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("class_a") < F.col("class_b")))
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("number_a") < F.col("number_b")))
     close: Column = smaller & (at_a <= n_a - overlap + (shared - 1)) & (at_b <= n_b - overlap + (shared - 1))
     # A pair of small sets may reach t with fewer than k shared shingles in all; then each counts for more.
     weight = F.greatest(F.lit(1), F.ceil(shared / F.greatest(overlap, F.lit(1))))
-    tallied = met.where(close).groupBy("class_a", "class_b").agg(F.sum(weight).alias("hits"))
-    candidates = materialize(tallied.where(F.col("hits") >= shared).select("class_a", "class_b"))
+    tallied = met.where(close).groupBy("number_a", "number_b").agg(F.sum(weight).alias("hits"))
+    candidates = materialize(tallied.where(F.col("hits") >= shared).select("number_a", "number_b"))
+    for side in "ab":
+        candidates = candidates.join(classes.select(F.col("number").alias(f"number_{side}"), F.col("class_id").alias(f"class_{side}")), f"number_{side}")
+    candidates = materialize(candidates.select("class_a", "class_b"))
     return members, _verified(candidates, classes, source, similarity, shingle)
 
 
@@ -234,8 +238,8 @@ def _split(entry: str) -> list[Column]:
 
 
 def _sides(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """class_a, place_a, class_b, place_b of all that stand in the same lists."""
-    named = [df.select(*on, F.col("class_id").alias(f"class_{side}"), F.col("place").alias(f"place_{side}")) for df, side in ((a, "a"), (b, "b"))]
+    """number_a, place_a, number_b, place_b of all that stand in the same lists."""
+    named = [df.select(*on, F.col("number").alias(f"number_{side}"), F.col("place").alias(f"place_{side}")) for df, side in ((a, "a"), (b, "b"))]
     return named[0].join(named[1], on).drop(*on)
 
 
