@@ -9,6 +9,7 @@ from folio.operators.answers import collect_evidence, extractive, verify
 from folio.operators.engine import Engine, TenantCatalog
 from folio.plans import registry
 from folio.sources import parsers as S
+from folio.sources.safety import unsafe_archive
 
 DATA = "/root/testdata/sf0.001"
 
@@ -68,7 +69,7 @@ def test_parsers(spark, tmp_path):
     texts = [r["text"] for r in rows if r["text"]]
     assert "LUMEN REPORT\n\nfirst line\nsecond\n\n- one\n- two" in texts and "T\n\nHead\n\npara bold\n\na | b\n1 | 2" in texts
     assert sum(t.startswith("h | v") for t in texts) == 3 and any("Subject: Hi" in t for t in texts)
-    assert S.unsafe_archive(b"nothing") == "damaged archive"
+    assert unsafe_archive(b"nothing") == "damaged archive"
 
 
 def test_answers():
