@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where the setting is absent (tests on one
-    machine) a temporary folder is created and remembered in the session."""
+    """The folder named by spark.checkpoint.dir. Only where the setting is absent and everything runs on this
+    machine (tests) a temporary folder stands in for it; a cluster needs the setting."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("folio.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folio-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("folio.checkpoint.dir", folder)
     return folder
 
@@ -23,7 +29,8 @@ def _own(spark: SparkSession) -> str:
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove this application's tables from the shared folder; no result built on them may be read later."""
+    """Remove this application's tables from the shared folder; no result built on them may be read later.
+    Call it when an application has written its results, and between batches of queries."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

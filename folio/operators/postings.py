@@ -12,13 +12,13 @@ from pyspark.sql.window import Window
 
 from folio.functions import text as T
 
-#: BM25 with a constant average length, and the cap of document frequencies that keeps scores comparable.
-K1, B, AVERAGE, DF_CAP = 1.2, 0.75, 120.0, 200_000
+#: BM25 with a constant average length.
+K1, B, AVERAGE = 1.2, 0.75, 120.0
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row for each key: the one stored last."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(at))
+    """One row for each key: the one stored last; of those stored at one time the one with the greatest hash."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.desc(F.xxhash64(*df.columns)))
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -44,7 +44,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
-    return words.groupBy("term").agg(F.least(F.count_distinct("unit_id"), F.lit(DF_CAP)).alias("df"))
+    return words.groupBy("term").agg(F.count_distinct("unit_id").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -69,7 +69,7 @@ def ranked(units: DataFrame, terms: list[str], need: int | None = None, forms: D
     hits = held.where(F.col("term").isin(terms)) if forms is None else held.join(forms, "word")
     hits = hits.groupBy("unit_id", "document_id", "length", "term").agg(F.count("*").alias("tf"))
     # At most one row for each asked term, and one row: bounded by the question.
-    df = hits.groupBy("term").agg(F.least(F.count("*"), F.lit(DF_CAP)).alias("df"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
     scored = scored.withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length")))
     found = scored.groupBy("unit_id", "document_id").agg(F.count("*").alias("matched"), F.round(F.sum("s"), 6).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.durable import with_rank
+from folio.durable import materialize, with_rank
 
 # Match type -> (tier, priority inside the tier), retrieval constants.
 MATCHES = {
@@ -69,12 +69,14 @@ def fuse(candidates: DataFrame, exact_intent: bool = False, partition: str | Non
 
 
 def rerank(ranked: DataFrame, groups: str = "key", frozen: int = 1) -> DataFrame:
-    """Reorder by ``relevance`` inside each group; slots stay with the group, the frozen group stays as it is."""
-    slots = Window.partitionBy(groups).orderBy("rank")
-    best = Window.partitionBy(groups).orderBy(F.when(F.col(groups) != frozen, -F.col("relevance")), "rank")
-    numbered = ranked.withColumn("_slot", F.row_number().over(slots)).withColumn("_best", F.row_number().over(best))
-    places = numbered.select(groups, F.col("_slot").alias("_best"), F.col("rank").alias("new_rank"))
-    return numbered.join(places, [groups, "_best"]).drop("_slot", "_best")
+    """Reorder by ``relevance`` inside each group; slots stay with the group, the frozen group stays as it is.
+
+    Rows are numbered over range partitions, so a group is not brought into one task.
+    """
+    best = F.when(F.col(groups) != frozen, -F.col("relevance"))
+    both = with_rank(with_rank(ranked, "_slot", F.asc(groups), F.asc("rank")), "_best", F.asc(groups), best.asc(), F.asc("rank"))
+    numbered = materialize(both)
+    return numbered.join(numbered.select(F.col("_slot").alias("_best"), F.col("rank").alias("new_rank")), "_best").drop("_slot", "_best")
 
 
 def longest_names(found: DataFrame) -> DataFrame:
@@ -196,9 +198,41 @@ def quality(ranked: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def label_quality(ranked: DataFrame, asked: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """quality() where an item is relevant if its label is the query's.
+
+    ranked: query_id, label (of the item), rank; asked: query_id, label; items: label, one row an item. What is
+    relevant is counted by label, so no query meets all items of its label.
+    """
+    counts = items.groupBy("label").agg(F.count("*").alias("relevant"))
+    wanted = asked.join(counts, "label", "left").withColumnRenamed("label", "asked")
+    hits = ranked.join(wanted, "query_id").withColumn("hit", F.col("label").eqNullSafe(F.col("asked")) & F.col("asked").isNotNull())
+    got = hits.groupBy("query_id", "relevant").agg(
+        (F.count_if((F.col("rank") <= 5) & F.col("hit")) / 5).alias("precision_at_5"),
+        F.count_if((F.col("rank") <= k) & F.col("hit")).alias("found"),
+        F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
+        F.sum(F.when((F.col("rank") <= k) & F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+    )
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("relevant").cast("int"), F.lit(k)))), F.lit(0.0), lambda s, x: s + 1 / F.log2(x + 1))
+    return got.select(
+        "query_id", "precision_at_5", F.round(F.coalesce(F.try_divide("found", "relevant"), F.lit(0.0)), 6).alias("recall_at_k"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"),
+        F.round(F.coalesce(F.try_divide(F.col("dcg"), best), F.lit(0.0)), 6).alias("ndcg"),
+    )
+
+
 def percentiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), by: str = "kind") -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(p n)."""
-    order = Window.partitionBy(by).orderBy(column)
-    numbered = values.select(by, column).withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy(by)))
-    picks = [F.max(F.when(F.col("_n") == F.ceil(p * F.col("_all")), F.col(column))).alias(f"p{round(100 * p)}") for p in shares]
-    return numbered.groupBy(by).agg(*picks)
+    """Nearest-rank percentiles: the value at place ceil(p n); nulls come last.
+
+    Equal values are counted first. The counts are range-partitioned, so a group of any size is
+    spread over many tasks; places are found from the sizes of the partitions before.
+    """
+    counted = values.groupBy(by, column).agg(F.count("*").alias("_c"))
+    order = [F.asc(by), F.asc_nulls_last(column)]
+    ranged = materialize(counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(by, "_part").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.select(by, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(by)).alias("_all"))
+    inside = F.sum("_c").over(Window.partitionBy(by, "_part").orderBy(F.asc_nulls_last(column)))
+    placed = ranged.withColumn("_upto", inside).join(sizes, [by, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    picks = [F.max(F.when((F.ceil(p * F.col("_all")) <= F.col("_upto")) & (F.ceil(p * F.col("_all")) > F.col("_upto") - F.col("_c")), F.col(column))).alias(f"p{round(100 * p)}") for p in shares]
+    return placed.groupBy(by).agg(*picks)

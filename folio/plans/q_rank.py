@@ -93,8 +93,7 @@ def semantic_margin(s, d):
 def label_quality(s, d):
     e = table(s, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    grades = e.join(F.broadcast(asked), "label").select("query_id", F.col("vec_id").alias("item"), F.lit(1).alias("grade"))
-    return R.quality(_nearest(s, d).withColumnRenamed("vec_id", "item"), grades)
+    return R.label_quality(_nearest(s, d), asked, e)
 
 
 @query(

@@ -18,7 +18,7 @@ PHRASE = "within thirty days"
 def _bm25(terms: list[str], need: int) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""{W}, h AS (SELECT unit_id, document_id, len(words) AS dl, t AS term, count(*) AS tf FROM (SELECT unit_id, document_id, words, unnest(words) AS t FROM w) WHERE t IN ({listed}) GROUP BY ALL),
-      f AS (SELECT term, least(count(*), 200000) AS df FROM h GROUP BY term), n AS (SELECT count(*) AS n FROM w),
+      f AS (SELECT term, count(*) AS df FROM h GROUP BY term), n AS (SELECT count(*) AS n FROM w),
       s AS (SELECT unit_id, document_id, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 120.0))), 6) AS score
             FROM h JOIN f USING (term) CROSS JOIN n GROUP BY unit_id, document_id HAVING count(*) >= {need})"""
 
@@ -50,7 +50,7 @@ def any_term(s, d):
     return M.units(s, d).where(F.arrays_overlap(words, F.array(F.lit("warranty"), F.lit("landlord")))).select("unit_id")
 
 
-@query(f"{W} SELECT t AS term, least(count(DISTINCT unit_id), 200000) AS df FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY t")
+@query(f"{W} SELECT t AS term, count(DISTINCT unit_id) AS df FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY t")
 def term_df(s, d):
     return P.document_frequency(P.postings(M.units(s, d), "w"))
 

@@ -24,8 +24,8 @@ def insert_absent(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The latest row of each key."""
-    order = Window.partitionBy(*key).orderBy(F.desc_nulls_last(at))
+    """The latest row of each key; of those of one time the one with the greatest hash."""
+    order = Window.partitionBy(*key).orderBy(F.desc_nulls_last(at), F.desc(F.xxhash64(*stored.columns)))
     return stored.unionByName(new).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.durable import materialize
+
 ATTEMPTS, STALLED_AFTER = 5, 120
 
 
@@ -48,9 +50,12 @@ OUT = "document_id string, state string, attempts int"
 def _follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Events of one job in order of time: queued, running, heartbeat, done, failed."""
     status, attempts, at, again = state.get if state.exists else ("queued", 0, None, False)
-    if state.hasTimedOut:
+    if state.hasTimedOut:  # the run was lost, its attempt counts; a job that may not be tried again is forgotten
         status = "queued" if attempts < ATTEMPTS else "failed"
-        state.remove()
+        if status == "failed":
+            state.remove()
+        else:
+            state.update((status, attempts, at, False))
         yield pd.DataFrame([(key[0], status, attempts)], columns=["document_id", "state", "attempts"])
         return
     for row in pd.concat(list(frames)).sort_values("ts").itertuples():
@@ -81,13 +86,58 @@ def attempts(jobs: DataFrame) -> DataFrame:
     return g.withColumn("retry", (F.col("last") == "failed") & (F.col("attempts") < ATTEMPTS))
 
 
-def ingest(files: DataFrame, out: str, checkpoint: str, once: bool = True):
-    """Continuous ingest: each micro-batch is parsed and replaces what is stored of its documents, so a
-    repeated batch changes nothing."""
+def _stored(spark, out: str) -> str | None:
+    """The folder of the state that counts, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    done = [n for n in names if n.startswith("state=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
+    return f"{out}/{max(done, key=lambda n: int(n[6:]))}" if done else None
+
+
+def pages_of(spark, out: str) -> DataFrame:
+    """What ingest() holds: the pages of every document once."""
+    return spark.read.parquet(_stored(spark, out))
+
+
+def ingest(files: DataFrame, out: str, checkpoint: str, once: bool = True, quarantine: str | None = None):
+    """Continuous ingest: the pages of a micro-batch replace what is stored of their documents, whichever batch
+    brought them, and a repeated batch changes nothing. Files that cannot be read go to ``quarantine`` with
+    their error and the number of the batch (without it they stay among the pages)."""
     from folio.sources.parsers import parse_files
+    from folio.sources.sinks import replace_content
 
     def store(batch: DataFrame, number: int) -> None:
-        parse_files(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        before = _stored(spark, out)
+        version = int(before.rpartition("=")[2]) + 1 if before else 0
+        new = parse_files(batch.dropDuplicates(["content"]))
+        if quarantine:
+            new = materialize(new)
+            new.where("error IS NOT NULL").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(quarantine)
+            new = new.where("error IS NULL")
+        kept = replace_content(spark.read.parquet(before), new) if before else new
+        kept.write.mode("overwrite").parquet(f"{out}/state={version}")
+        if before:  # the one before stays for readers of it; older ones go
+            path = spark._jvm.org.apache.hadoop.fs.Path(out)
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            for f in fs.listStatus(path):
+                name = f.getPath().getName()
+                if name.startswith("state=") and int(name[6:]) < version - 1:
+                    fs.delete(f.getPath(), True)
 
     writer = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
+def back_off(attempts: Column, base: int = 30, most: int = 3600) -> Column:
+    """Seconds until a failed job is tried again: doubled with each attempt."""
+    return F.least(F.lit(most), (F.lit(base) * F.pow(F.lit(2), attempts - 1)).cast("long"))
+
+
+def queue_metrics(jobs: DataFrame) -> DataFrame:
+    """state, jobs, oldest (instant of the last event) by the last event of each job (document_id, event, ts)."""
+    last = jobs.groupBy("document_id").agg(F.max_by("event", F.struct("ts", "event")).alias("state"), F.max("ts").alias("at"))
+    return last.groupBy("state").agg(F.count("*").alias("jobs"), F.min("at").alias("oldest"))

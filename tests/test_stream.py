@@ -1,6 +1,9 @@
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from folio.streaming import events as E
 
 
@@ -44,7 +47,57 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for _ in range(2):
         stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder))
         E.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["one\n\ntwo"]
+    assert [r["text"] for r in E.pages_of(spark, str(tmp_path / "out")).collect()] == ["one\n\ntwo"]
+
+
+def test_ingest_replaces_across_batches(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for n, files in enumerate(({"a.txt": "one", "b.txt": "two"}, {"c.txt": "one", "d.pdf": "%PDF-1.4"}, {"e.txt": "three"})):
+        for name, text in files.items():
+            (folder / name).write_text(text)
+        stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder))
+        E.ingest(stream, out, str(tmp_path / ("cp" if n < 2 else "another")), quarantine=str(tmp_path / "bad")).awaitTermination(60)
+    assert sorted(r["text"] for r in E.pages_of(spark, out).collect()) == ["one", "three", "two"]
+    assert {r["error"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"ValueError: no parser for pdf"}
+
+
+class State:
+    """A job's state as the stream keeps it."""
+
+    value, hasTimedOut = None, False
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        pass
+
+
+def test_attempts_survive_stalls():
+    state, seen = State(), []
+    for n in range(8):
+        state.hasTimedOut = False
+        events = pd.DataFrame([("running", datetime(2024, 1, 1) + timedelta(hours=n))], columns=["event", "ts"])
+        list(E._follow(("a",), iter([events]), state))
+        state.hasTimedOut = True
+        seen += [tuple(f.iloc[0])[1:] for f in E._follow(("a",), iter([]), state)]
+        if seen[-1][0] == "failed":
+            break
+    assert seen == [("queued", 1), ("queued", 2), ("queued", 3), ("queued", 4), ("failed", 5)] and not state.exists
+
+
+def test_queue(spark):
+    t = datetime(2024, 1, 1)
+    jobs = spark.createDataFrame([("a", "queued", t), ("a", "running", t + timedelta(1)), ("b", "queued", t)], "document_id string, event string, ts timestamp")
+    assert {tuple(r) for r in E.queue_metrics(jobs).collect()} == {("running", 1, t + timedelta(1)), ("queued", 1, t)}
+    waits = spark.range(1, 9).select(E.back_off(F.col("id")).alias("s")).collect()
+    assert [r["s"] for r in waits] == [30, 60, 120, 240, 480, 960, 1920, 3600]
 
 
 def test_first_of_content(spark, tmp_path):
