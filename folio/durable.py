@@ -24,17 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _own(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{shared_folder(spark)}/folio/{spark.sparkContext.applicationId}"
 
 
 def clear(spark: SparkSession) -> None:
     """Remove this application's tables from the shared folder; no result built on them may be read later.
     Call it when an application has written its results, and between batches of queries."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -42,7 +48,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the result survives the loss of any executor. The table stays until clear() is called.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,8 +21,12 @@ STOPWORDS = tuple("a an and are as at be by for from has have in is it its of on
 TOKEN = r"[\p{L}\p{N}]+"
 IDENTIFIER = r"[\p{L}\p{N}]+(?:[-/#_.][\p{L}\p{N}]+)*"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-#: Scanner confusions in letter context, applied in this order.
-FOLDS = (("rn", "m"), ("vv", "w"), ("0", "o"), ("[1l]", "i"), ("5", "s"), ("8", "b"))
+# Scanner confusions, those of single characters beside letters only, applied in this order.
+FOLDS = (
+    ("rn", "m"), ("vv", "w"), ("(?<=[a-z])0(?=[a-z])|^0(?=[a-z]{2})|(?<=[a-z]{2})0$", "o"), ("(?<=[a-z])[1l](?=[a-z])|^[1l](?=[a-z])|(?<=[a-z])[1l]$", "i"), ("(?<=[a-z])5(?=[a-z])", "s"), ("(?<=[a-z])8(?=[a-z])", "b"),
+)
+# Legal forms that are no part of an organisation's name.
+LEGAL_FORMS = "llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|llp|lp|plc|gmbh|ag|sa|sas|bv|nv|pty|the"
 
 
 def normalize(c: Column) -> Column:
@@ -71,6 +75,38 @@ def fold(words: Column) -> Column:
     return F.transform(words, one)
 
 
+def folded_words(words: list[str]) -> list[str]:
+    """fold() of a question's words."""
+    out = []
+    for w in words:
+        letters = sum(x.isalpha() for x in w)
+        if letters and 2 * letters >= len(w):
+            for written, meant in FOLDS:
+                w = re.sub(written, meant, w)
+        out.append(w)
+    return out
+
+
+def norm_name(c: Column) -> Column:
+    """A name as it is compared: its search text."""
+    return search_text(c)
+
+
+def norm_org(c: Column) -> Column:
+    """An organisation's name without legal forms; a name of nothing else stays whole."""
+    name = search_text(c)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(name, rf"\b(?:{LEGAL_FORMS})\b", " "), r"\s+", " "))
+    return F.when(bare != "", bare).otherwise(name)
+
+
+def highlight_terms(phrases: list[str], text: str) -> list[str]:
+    """What a snippet marks: phrases, the words as one string, each content word, and raw identifiers."""
+    words = [w for w in split_words(text) if w not in STOPWORDS]
+    raw = [r for r in re.findall(r"[A-Za-z0-9][A-Za-z0-9\-/.#]*[A-Za-z0-9]", text) if any(x.isdigit() for x in r)]
+    whole = [" ".join(split_words(text))] if len(words) > 1 else []
+    return list(dict.fromkeys([*phrases, *whole, *(w for w in words if len(w) > 1), *raw]))
+
+
 def identifiers(c: Column) -> Column:
     """Canonical identifiers: letters mixed with digits, digits joined by - / # _, or five digits and more."""
     found = F.regexp_extract_all(c, F.lit(f"({IDENTIFIER})"))

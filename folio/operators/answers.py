@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from folio.functions.extract import sentences
 from folio.functions.text import STOPWORDS, split_words
 
@@ -48,6 +51,20 @@ def extractive(question: str, items: list[dict]) -> dict:
     return {"provider": "extractive", "status": "answered" if chosen else "abstained", "sentences": chosen}
 
 
+def counted_noun(question: str) -> str | None:
+    """X of a question "how many X"."""
+    m = re.search(r"(?i)\bhow many ([a-z][a-z-]*)", question)
+    return m[1].lower() if m else None
+
+
+def stated_figure(text: Column, noun: str) -> Column:
+    """The number that a text gives for a noun, before or after it; null where there is none."""
+    root = re.escape(noun[:-1] if noun.endswith("s") and len(noun) > 3 else noun)
+    number = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+    after, before = rf"(?i)\b{root}\w*\b[^.\n0-9]{{0,40}}?{number}", rf"(?i)\(?{number}\)?\s+(?:[a-z]+\s+){{0,2}}{root}\w*\b"
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (after, before)])
+
+
 def verify(answer: list[dict], items: list[dict], most: int = 8, chars: int = 600) -> tuple[list[dict], list[tuple[dict, str]]]:
     """Sentences of a generated answer that their citations support, and the dropped ones with the reason."""
     by, kept, dropped = {i["id"]: i for i in items}, [], []

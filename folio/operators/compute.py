@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,19 @@ def calculation(scope: DataFrame, values: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("considered"), F.count("known").alias("with_value"), F.count_if(F.col("known").isNull()).alias("without_value"), F.count_if(~F.col("known")).alias("unknown_currency"))
 
 
+def period_label(start: date, end: date) -> str:
+    """A year, quarter, month, day or range in short."""
+    last = (end + timedelta(days=1)).day == 1
+    if start.day == 1 and last and start.year == end.year:
+        if (start.month, end.month) == (1, 12):
+            return str(start.year)
+        if start.month == end.month:
+            return f"{start:%Y-%m}"
+        if start.month % 3 == 1 and end.month == start.month + 2:
+            return f"Q{end.month // 3} {start.year}"
+    return f"{start}" if start == end else f"{start} to {end}"
+
+
 def periods(spark, ranges: list[tuple[str, date, date]]) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "ordinal int, period string, start date, end date")
 

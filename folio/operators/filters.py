@@ -51,7 +51,7 @@ def signed_by(documents: DataFrame, entities: DataFrame, name: str) -> DataFrame
 
 
 def with_party(documents: DataFrame, entities: DataFrame, units: DataFrame, name: str) -> DataFrame:
-    """A person or organisation whose name contains the words, or a unit that holds the phrase."""
+    """A person or organisation whose name contains the words, or one of the units that holds the phrase."""
     wanted = " ".join(T.split_words(name))
     words = F.concat_ws(" ", T.tokens(F.col("value_norm")))
     named = entities.where(F.col("type").isin("person", "organization") & words.contains(wanted)).select("document_id")

@@ -18,6 +18,8 @@ MATCHES = {
     "relation": (2, 1), "concept_clause": (2, 1), "partial_identifier": (2, 2), "all_terms": (2, 2), "concept": (2, 2), "filename_terms": (2, 2), "ocr_tolerant": (3, 3), "most_terms": (3, 3),
     "fuzzy": (3, 4), "semantic": (4, 5),
 }
+PHRASE_EVIDENCE = ("exact_phrase", "exact_identifier", "ocr_tolerant", "fuzzy", "filename")
+CONCEPTUAL = ("concept", "concept_clause", "relation", "semantic")
 RRF_K, PER_RETRIEVER, SOFT_TYPE = 60, 0.0015, 0.006
 FLOOR, MARGIN, STRONG = 0.30, 0.22, 0.15
 #: Queries of a block that are compared with a batch at once (bounds the memory of a task).
@@ -36,11 +38,17 @@ def priority(match_type: Column) -> Column:
     return _mapped(match_type, 1)
 
 
-def fuse(candidates: DataFrame, exact_intent: bool = False, partition: str | None = None) -> DataFrame:
+def fuse(
+    candidates: DataFrame, exact_intent: bool = False, partition: str | None = None, *, identifiers_only: bool = False, phrased: bool = False, unmatched: bool = False, soft: DataFrame | None = None
+) -> DataFrame:
     """document_id, score, key, rank from candidates (document_id, retriever, match_type, raw_score).
 
     Fuzzy hits go when any other lexical one exists; lexical and semantic ranks are added by
     reciprocal rank; further retrievers lift a little; results are ordered by key, then score, then id.
+    identifiers_only: the question is identifiers alone, so documents alike in meaning only are dropped. phrased:
+    it holds a quoted phrase, so only documents with PHRASE_EVIDENCE stay. unmatched: it uses words that no
+    document has, so documents that match by CONCEPTUAL evidence only must be strongly similar. soft:
+    document_id of those of a type that the question mentions; they are lifted a little.
     """
     by = [partition] if partition else []
     lexical = F.col("match_type") != "semantic"
@@ -52,7 +60,8 @@ def fuse(candidates: DataFrame, exact_intent: bool = False, partition: str | Non
     c = c.where("NOT (match_type = 'fuzzy' AND coalesce(_other, 0) = 1)")
     c = c.withColumn("_tier", tier(F.col("match_type"))).withColumn("_first", F.struct("_tier", priority(F.col("match_type")).alias("p"), (-F.col("raw_score")).alias("s")))
     docs = c.groupBy(*by, "document_id").agg(
-        F.min(F.when(lexical, F.col("_first"))).alias("lex"), F.max(F.when(~lexical, F.col("raw_score"))).alias("vec"), F.count_distinct("retriever").alias("retrievers"), F.min("_tier").alias("tier")
+        F.min(F.when(lexical, F.col("_first"))).alias("lex"), F.max(F.when(~lexical, F.col("raw_score"))).alias("vec"), F.count_distinct("retriever").alias("retrievers"), F.min("_tier").alias("tier"),
+        F.max(F.col("match_type").isin(*PHRASE_EVIDENCE)).alias("_phrase"), F.max(~F.col("match_type").isin(*CONCEPTUAL)).alias("_said"),
     )
 
     def numbered(df: DataFrame, name: str, *order) -> DataFrame:
@@ -61,11 +70,20 @@ def fuse(candidates: DataFrame, exact_intent: bool = False, partition: str | Non
     docs = numbered(numbered(docs, "_l", F.asc_nulls_last("lex"), F.asc("document_id")), "_v", F.desc_nulls_last("vec"), F.asc("document_id"))
     docs = docs.withColumn("lex_rank", F.when(F.col("lex").isNotNull(), F.col("_l") - 1)).withColumn("vec_rank", F.when(F.col("vec").isNotNull(), F.col("_v") - 1))
     w_lex, w_vec = (1.0, 0.6) if exact_intent else (0.7, 1.0)
+    if identifiers_only:
+        docs = docs.where(F.col("lex").isNotNull())
+    elif phrased:
+        docs = docs.where("_phrase")
+    if unmatched:
+        docs = docs.where(F.col("_said") | (F.coalesce("vec", F.lit(0.0)) >= FLOOR + STRONG))
     score = F.coalesce(w_lex / (RRF_K + F.col("lex_rank")), F.lit(0.0)) + F.coalesce(w_vec / (RRF_K + F.col("vec_rank")), F.lit(0.0)) + PER_RETRIEVER * (F.col("retrievers") - 1)
+    if soft is not None:
+        docs = docs.join(soft.select("document_id", F.lit(True).alias("_soft")).distinct(), "document_id", "left")
+        score = score + F.when(F.col("_soft"), SOFT_TYPE).otherwise(0.0)
     exact = F.lit(exact_intent) | (F.col("tier") == 1)
     key = F.when(exact, F.col("tier")).when((F.col("tier") == 2) | (F.coalesce("vec", F.lit(0.0)) >= FLOOR + STRONG), 2).otherwise(3)
     docs = docs.withColumn("score", F.round(score, 9)).withColumn("key", key)
-    return numbered(docs.select(*by, "document_id", "tier", "key", "score"), "rank", F.asc("key"), F.desc("score"), F.asc("document_id"))
+    return numbered(docs.select(*by, "document_id", "tier", "key", "score", "vec"), "rank", F.asc("key"), F.desc("score"), F.asc("document_id"))
 
 
 def rerank(ranked: DataFrame, groups: str = "key", frozen: int = 1) -> DataFrame:

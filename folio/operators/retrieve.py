@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.functions.stem import with_stems
 from folio.operators import postings as P
 from folio.operators.rank import longest_names
 
@@ -28,9 +27,14 @@ def ocr_tolerant(units: DataFrame, words: list[str]) -> DataFrame:
     return _found(units.where(F.concat(F.lit(" "), F.array_join(folded, " "), F.lit(" ")).contains(F.concat(F.lit(" "), wanted, F.lit(" ")))), "ocr_tolerant", F.lit(1.0))
 
 
+def is_part(word: str) -> bool:
+    """Whether a word may be a part of an identifier: four characters, a digit, no year."""
+    return len(word) >= 4 and any(c.isdigit() for c in word) and not (len(word) == 4 and word[:2] in ("19", "20") and word.isdigit())
+
+
 def partial_identifier(units: DataFrame, part: str) -> DataFrame:
-    """Units with a word that starts or ends with a part of an identifier (four characters, a digit, no year)."""
-    if len(part) < 4 or not any(c.isdigit() for c in part) or (len(part) == 4 and part[:2] in ("19", "20") and part.isdigit()):
+    """Units with a word that starts or ends with a part of an identifier."""
+    if not is_part(part):
         return _found(units.limit(0), "partial_identifier", F.lit(1.0))
     hit = F.exists(T.tokens(F.col("text")), lambda w: w.startswith(part) | w.endswith(part))
     return _found(units.where(hit), "partial_identifier", F.lit(1.0))
@@ -46,56 +50,31 @@ def filename(documents: DataFrame, words: list[str]) -> DataFrame:
     return kept.select("document_id", F.lit(None).cast("string").alias("unit_id"), F.when(whole, "filename").otherwise("filename_terms").alias("match_type"), F.lit(1.0).alias("raw_score"))
 
 
-def all_stems(units: DataFrame, words: list[str]) -> DataFrame:
-    """Units that hold a form of every word: postings carry stems, the question is stemmed alike."""
-    from folio.functions.stem import stem
-
-    wanted = sorted({stem(w) for w in words})
-    held = with_stems(P.postings(units, "w")).where(F.col("stem").isin(wanted))
-    hits = held.groupBy("unit_id", "document_id").agg(F.count_distinct("stem").alias("n"), F.sum("tf").alias("tf")).where(F.col("n") == len(wanted))
-    return _found(hits, "all_terms", F.col("tf"))
-
-
-def stem_forms(units: DataFrame, stems: list[str]) -> DataFrame:
-    """word, term: the words of the units that have one of the stems, with that stem."""
-    held = units.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    return with_stems(held).where(F.col("stem").isin(stems)).select(F.col("term").alias("word"), F.col("stem").alias("term"))
-
-
-def typos(units: DataFrame, known: DataFrame, words: list[str]) -> DataFrame:
-    """Units that hold all the words, where words that ``known`` units lack are corrected (six words at most, five letters at least)."""
-    asked = list(dict.fromkeys(words))
-    long = [w for w in asked if len(w) >= 5 and not w.isdigit()]
-    if not long or len(asked) > 6:
-        return _found(units.limit(0), "fuzzy", F.lit(1.0))
-    vocabulary = P.vocabulary(known.select(F.explode(T.tokens(F.col("text"))).alias("term")))
-    near = None
-    for w in long:
-        some = P.corrections(vocabulary, w, None).select(F.col("term").alias("word"), F.lit(w).alias("term"))
-        near = some if near is None else near.unionByName(some)
-    near = near.join(unmatched(known, long).withColumnRenamed("word", "term"), "term", "left_semi").select("word", "term")
-    own = units.sparkSession.createDataFrame([(w, w) for w in asked], "word string, term string")
-    forms = own.unionByName(near)
-    corrected = forms.agg(F.coalesce(F.max(F.col("word") != F.col("term")), F.lit(False)).alias("_corrected"))
-    return _found(P.ranked(units, asked, forms=forms).crossJoin(F.broadcast(corrected)).where("_corrected"), "fuzzy", F.lit(1.0))
-
-
 def entity(spark: SparkSession, entities: DataFrame, question: str) -> DataFrame:
-    """Documents of persons, organisations and jurisdictions that the question names; longer names win."""
+    """Documents of persons, organisations and jurisdictions that the question names, with the first place of the name;
+    organisations are compared without legal forms; longer names win."""
     grams = spark.createDataFrame([(g,) for g in T.question_ngrams(question)], "gram string")
-    named = entities.where(F.col("type").isin("person", "organization", "jurisdiction")).select("document_id", F.concat_ws(" ", T.tokens(F.col("value_norm"))).alias("name"))
-    hits = named.join(F.broadcast(grams), F.col("name") == F.col("gram")).select("document_id", "name").distinct()
-    kept = longest_names(hits.select(F.lit(1).alias("question"), "name").distinct()).select("name")
-    return _found(hits.join(F.broadcast(kept), "name").withColumn("unit_id", F.lit(None).cast("string")), "entity", F.length("name"))
+    words = F.concat_ws(" ", T.tokens(F.col("value_norm")))
+    spans = [F.col(c) if c in entities.columns else F.lit(None).cast("int").alias(c) for c in ("page", "char_start", "char_end")]
+    kept = entities.where(F.col("type").isin("person", "organization", "jurisdiction"))
+    names = F.array_distinct(F.when(F.col("type") == "organization", F.array(words, T.norm_org(F.col("value_norm")))).otherwise(F.array(words)))
+    named = kept.select("document_id", F.explode(names).alias("name"), F.struct(*spans).alias("span"))
+    hits = named.join(F.broadcast(grams), F.col("name") == F.col("gram")).groupBy("document_id", "name").agg(F.min("span").alias("span"))  # grams: bounded by the question
+    longest = longest_names(hits.select(F.lit(1).alias("question"), "name").distinct()).select("name")
+    found = hits.join(F.broadcast(longest), "name")  # at most one row for each gram
+    return found.select("document_id", F.lit(None).cast("string").alias("unit_id"), F.lit("entity").alias("match_type"), F.length("name").cast("double").alias("raw_score"), "span.*")
+
+
+def concepts_of(question: str) -> list[tuple[str, tuple[str, ...]]]:
+    """(clause type, ways to say it) of the concepts that a question names."""
+    low = T.normalize_exact(question)
+    return [(kind, ways) for name, (kind, ways) in CONCEPTS.items() if name in low or any(w in low for w in ways)]
 
 
 def contextual(units: DataFrame, clauses: DataFrame, question: str) -> DataFrame:
     """Clauses of a concept that the question names, and units that name it in another way."""
-    low = T.normalize_exact(question)
-    found = [k for k, (_, ways) in CONCEPTS.items() if k in low or any(w in low for w in ways)]
     out = _found(units.limit(0), "concept", F.lit(0.5))
-    for k in found:
-        kind, ways = CONCEPTS[k]
+    for kind, ways in concepts_of(question):
         out = out.unionByName(_found(clauses.where(F.col("clause_type") == kind).withColumn("unit_id", F.lit(None).cast("string")), "concept_clause", F.lit(1.0)))
         for way in ways:
             out = out.unionByName(_found(P.with_phrase(units, way), "concept", F.lit(0.5)))

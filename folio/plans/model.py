@@ -3,9 +3,13 @@ name/value rows. Orders stand in for documents with amounts, dates, parties and
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.durable import exists, own_folder
+from folio.operators.index import Index
 from folio.operators.postings import latest
 from folio.sources.tables import table
 
@@ -18,6 +22,25 @@ FIELDS_SQL = """
            FROM orders o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   docs AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id, o_orderpriority AS doc_type, o_orderstatus AS status, c_name AS party, n_name AS jurisdiction, day, unit, o_totalprice AS value FROM base)
 """
+#: The scanner fold of words x of a table: rules of single characters, one after the other, each by place.
+_PLACED = "array_to_string(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN {1} THEN '{2}' ELSE {0}[i] END), '')"
+_BESIDE = "(i > 1 AND regexp_matches({0}[i - 1:i + 1], '^[a-z]{1}[a-z]$'))"
+
+
+def fold_sql(words: str) -> str:
+    """CTEs ending in folds (word, folded) for a query that gives different words as column word."""
+
+    def placed(column: str, signs: str, to: str, *more: str) -> str:
+        return _PLACED.format(column, " OR ".join([_BESIDE.format(column, signs), *more]), to)
+
+    zero = ("(i = 1 AND regexp_matches(f0, '^0[a-z]{2}'))", "(i = length(f0) AND regexp_matches(f0, '[a-z]{2}0$'))")
+    one = ("(i = 1 AND regexp_matches(f1, '^[1l][a-z]'))", "(i = length(f1) AND regexp_matches(f1, '[a-z][1l]$'))")
+    return f"""d0 AS (SELECT word, replace(replace(word, 'rn', 'm'), 'vv', 'w') AS f0 FROM ({words})),
+      d1 AS (SELECT *, {placed("f0", "0", "o", *zero)} AS f1 FROM d0), d2 AS (SELECT *, {placed("f1", "[1l]", "i", *one)} AS f2 FROM d1),
+      d3 AS (SELECT *, {placed("f2", "5", "s")} AS f3 FROM d2), d4 AS (SELECT *, {placed("f3", "8", "b")} AS f4 FROM d3),
+      folds AS (SELECT word, CASE WHEN length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) > 0 AND 2 * length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) >= length(word) THEN f4 ELSE word END AS folded FROM d4)"""
+
+
 UNITS_SQL = """
   u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY stored_at DESC NULLS LAST) AS _n FROM units) WHERE _n = 1),
   w AS (SELECT unit_id, document_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM u)
@@ -28,6 +51,14 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "units"), "unit_id", "stored_at")
 
 
+def index(spark: SparkSession, d: str) -> Index:
+    """The stored index of a data folder, written when it is asked for first in an application."""
+    path = f"{own_folder(spark)}/index-{hashlib.md5(d.encode()).hexdigest()}"
+    if exists(spark, f"{path}/totals/_SUCCESS"):
+        return Index(spark, path)
+    return Index.build(units(spark, d), documents(spark, d), path)
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 

@@ -34,7 +34,7 @@ def _candidates(s, d):
 
 @query(FUSED_SQL)
 def rrf_fusion(s, d):
-    return R.fuse(_candidates(s, d))
+    return R.fuse(_candidates(s, d)).drop("vec")
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT document_id, min(tier) AS tier, min(prio) AS priority FROM c GROUP BY document_id")

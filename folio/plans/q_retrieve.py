@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import extract as X
 from folio.functions import stem as St
+from folio.functions import text as T
 from folio.functions.chunks import chunk_pages
 from folio.operators import postings as P
 from folio.operators import retrieve as R
@@ -14,21 +15,21 @@ from folio.plans.registry import query
 from folio.sources.tables import table
 
 W = f"WITH {M.UNITS_SQL}"
-_FOLD = (
-    "CASE WHEN length(regexp_replace(x, '[^\\p{L}]', '', 'g')) > 0 AND 2 * length(regexp_replace(x, '[^\\p{L}]', '', 'g')) >= length(x)"
-    " THEN replace(replace(regexp_replace(replace(replace(replace(x, 'rn', 'm'), 'vv', 'w'), '0', 'o'), '[1l]', 'i', 'g'), '5', 's'), '8', 'b') ELSE x END"
-)
 
 
-@query(f"{W} SELECT unit_id FROM w WHERE contains(' ' || array_to_string(list_transform(words, lambda x: {_FOLD}), ' ') || ' ', ' ciosed fiie ') OR contains(' ' || array_to_string(list_transform(words, lambda x: {_FOLD}), ' ') || ' ', ' oid cabinet ')")
+@query(
+    f"{W}, {M.fold_sql('SELECT DISTINCT unnest(words) AS word FROM w')},"
+    " j AS (SELECT unit_id, ' ' || string_agg(folded, ' ' ORDER BY pos) || ' ' AS t FROM (SELECT unit_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w) JOIN folds USING (word) GROUP BY unit_id)"
+    " SELECT unit_id FROM j WHERE contains(t, ' ciosed fiie ') OR contains(t, ' oid cabinet ')"
+)
 def ocr_tolerant(s, d):
-    u = M.units(s, d)
-    return R.ocr_tolerant(u, ["0ld", "cabinet"]).select("unit_id").union(R.ocr_tolerant(u, ["c1osed", "file"]).select("unit_id")).distinct()
+    index = M.index(s, d)
+    return index.folded(["0ld", "cabinet"]).select("unit_id").union(index.folded(["c1osed", "file"]).select("unit_id")).distinct()
 
 
 @query(f"{W} SELECT unit_id FROM w WHERE len(list_filter(words, lambda x: starts_with(x, '8012') OR ends_with(x, '8012'))) > 0")
 def partial_identifier(s, d):
-    return R.partial_identifier(M.units(s, d), "8012").select("unit_id")
+    return M.index(s, d).part("8012").select("unit_id")
 
 
 @query(
@@ -66,13 +67,35 @@ def unmatched_terms(s, d):
 
 @query()
 def stem_df(s, d):
-    words = St.with_stems(P.postings(M.units(s, d), "w"))
-    return words.groupBy("stem").agg(F.count_distinct("unit_id").alias("df"))
+    return M.index(s, d).terms("s").withColumnRenamed("term", "stem")
 
 
 @query()
 def all_stems(s, d):
-    return R.all_stems(M.units(s, d), ["suppliers", "invoicing", "quarters"])
+    return M.index(s, d).ranked(sorted({St.stem(w) for w in ("suppliers", "invoicing", "quarters")}), kind="s").drop("matched")
+
+
+@query(f"{W} SELECT document_id, unit_id, tf FROM (SELECT document_id, unit_id, count(*) AS tf FROM (SELECT document_id, unit_id, unnest(words) AS t FROM w) WHERE t IN ('invoice', 'invoices', 'invoiced', 'invoicing') GROUP BY ALL)")
+def stem_postings(s, d):
+    """One stem, whose words are few and known."""
+    return M.index(s, d).postings("s", [St.stem("invoices")]).select("document_id", "unit_id", "tf")
+
+
+@query(f"{W} SELECT document_id, 'n' AS kind, t AS term, count(*) AS tf FROM (SELECT document_id, unnest(regexp_extract_all(lower(replace(filename, '_', ' ')), '[\\p{{L}}\\p{{N}}]+')) AS t FROM documents) GROUP BY ALL")
+def filename_postings(s, d):
+    return M.index(s, d).postings("n").select("document_id", F.lit("n").alias("kind"), "term", "tf")
+
+
+LEGAL = T.LEGAL_FORMS
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT value, concat_ws(' ', array_to_string(regexp_extract_all(lower(value), '[\\p{L}\\p{N}]+'), ' '), nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(value, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), lambda x: lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g'))))), ' '), '')) AS name FROM entities WHERE type = 'organization')"
+    f" SELECT value, coalesce(nullif(trim(regexp_replace(regexp_replace(name, '\\b(?:{LEGAL})\\b', ' ', 'g'), '\\s+', ' ', 'g')), ''), name) AS name FROM n"
+)
+def organization_names(s, d):
+    named = table(s, d, "entities").where("type = 'organization'").select("value").distinct()
+    return named.select("value", T.norm_org(F.col("value")).alias("name"))
 
 
 @query()

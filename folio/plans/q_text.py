@@ -28,36 +28,34 @@ def _bm25(terms: list[str], need: int) -> str:
     + f", p AS (SELECT unit_id FROM w WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' {PHRASE} ')) SELECT unit_id, document_id, score FROM s WHERE unit_id IN (SELECT unit_id FROM p) ORDER BY score DESC, unit_id LIMIT 10"
 )
 def phrase_bm25_top10(s, d):
-    u = M.units(s, d)
-    found = P.ranked(P.with_phrase(u, PHRASE), []) if not PHRASE else P.ranked(u, PHRASE.split())
-    hits = P.with_phrase(u, PHRASE).select("unit_id")
-    return found.join(hits, "unit_id", "left_semi").select("unit_id", "document_id", "score").orderBy(F.desc("score"), "unit_id").limit(10)
+    index = M.index(s, d)
+    found = index.ranked(PHRASE.split()).join(index.phrase(PHRASE).select("unit_id"), "unit_id", "left_semi")
+    return found.select("unit_id", "document_id", "score").orderBy(F.desc("score"), "unit_id").limit(10)
 
 
 @query(_bm25(["supplier", "invoice", "quarter"], 3) + " SELECT unit_id, document_id, score FROM s")
 def all_terms(s, d):
-    return P.ranked(M.units(s, d), ["supplier", "invoice", "quarter"]).drop("matched")
+    return M.index(s, d).ranked(["supplier", "invoice", "quarter"]).drop("matched")
 
 
 @query(_bm25(["supplier", "invoice", "quarter", "landlord"], 3) + " SELECT unit_id, document_id, matched, score FROM s WHERE matched < 4")
 def most_terms(s, d):
-    return P.ranked(M.units(s, d), ["supplier", "invoice", "quarter", "landlord"], need=3).where("matched < 4")
+    return M.index(s, d).ranked(["supplier", "invoice", "quarter", "landlord"], need=3).where("matched < 4")
 
 
 @query(f"{W} SELECT DISTINCT unit_id FROM (SELECT unit_id, unnest(words) AS t FROM w) WHERE t IN ('warranty', 'landlord')")
 def any_term(s, d):
-    words = T.tokens(F.col("text"))
-    return M.units(s, d).where(F.arrays_overlap(words, F.array(F.lit("warranty"), F.lit("landlord")))).select("unit_id")
+    return M.index(s, d).postings("w", ["warranty", "landlord"]).select("unit_id").distinct()
 
 
 @query(f"{W} SELECT t AS term, count(DISTINCT unit_id) AS df FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY t")
 def term_df(s, d):
-    return P.document_frequency(P.postings(M.units(s, d), "w"))
+    return M.index(s, d).terms("w")
 
 
 @query(f"{W} SELECT unit_id, t AS term, count(*) AS tf FROM (SELECT unit_id, unnest(words) AS t FROM w) GROUP BY ALL")
 def term_tf(s, d):
-    return P.postings(M.units(s, d), "w").select("unit_id", "term", "tf")
+    return M.index(s, d).postings("w").select("unit_id", "term", "tf")
 
 
 @query(
@@ -75,26 +73,25 @@ def n_terms(s, d):
 
 @query(f"{W} SELECT DISTINCT t AS term, length(t) AS length FROM (SELECT unnest(words) AS t FROM w) WHERE regexp_full_match(t, '[a-z]{{4,32}}')")
 def vocabulary(s, d):
-    return P.vocabulary(P.postings(M.units(s, d), "w"))
+    return P.vocabulary(M.index(s, d).terms("w"))
 
 
 @query(f"{W} SELECT t AS term, count(*) AS n FROM (SELECT unnest(words) AS t FROM w) WHERE starts_with(t, 'ware') GROUP BY t")
 def prefix_terms(s, d):
-    return P.starting(P.postings(M.units(s, d), "w"), "ware").groupBy("term").agg(F.sum("tf").alias("n"))
+    return M.index(s, d).starting("ware").groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query(f"{W} SELECT DISTINCT t AS term FROM (SELECT unnest(words) AS t FROM w) WHERE ends_with(t, '84') AND length(t) >= 3 AND regexp_matches(t, '[0-9]')")
 def suffix_terms(s, d):
-    back = P.postings(M.units(s, d), "r")
-    return P.starting(back, "48").select(F.reverse("term").alias("term")).distinct()
+    return M.index(s, d).starting("48", "r").select(F.reverse("term").alias("term")).distinct()
 
 
 @query(f"{W} SELECT unit_id FROM w WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' follow up workshop ') OR contains(' ' || array_to_string(words, ' ') || ' ', ' followup workshop ') OR contains(' ' || array_to_string(words, ' ') || ' ', ' follow upworkshop ')")
 def joined_form(s, d):
-    u, found = M.units(s, d), None
+    index, found = M.index(s, d), None
     for form in ["follow up workshop", *T.join_variants(["follow", "up", "workshop"])]:
         if " " in form:
-            some = P.with_phrase(u, form).select("unit_id")
+            some = index.phrase(form).select("unit_id")
             found = some if found is None else found.unionByName(some)
     return found.distinct()
 
@@ -110,7 +107,7 @@ def identifiers(s, d):
 
 @query(f"{W} SELECT unit_id, document_id FROM w WHERE list_contains(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:[-/#_.][\\p{{L}}\\p{{N}}]+)*'), lambda t: regexp_replace(lower(t), '[^0-9a-z]', '', 'g')), 'qt2022981653')")
 def exact_identifier(s, d):
-    return M.units(s, d).where(F.array_contains(T.identifiers(F.col("text")), "qt2022981653")).select("unit_id", "document_id")
+    return M.index(s, d).identifier("qt2022981653")
 
 
 @query("SELECT document_id, page, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))) AS email FROM (SELECT DISTINCT document_id, page, text FROM pages)")
@@ -124,11 +121,7 @@ def camel_variants(s, d):
     return table(s, d, "entities").select("value").distinct().select("value", T.camel_variants(F.col("value")).alias("variants"))
 
 
-@query(
-    "WITH t AS (SELECT DISTINCT document_id, page, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM pages WHERE kind = 'ocr')"
-    " SELECT DISTINCT w AS word, CASE WHEN length(regexp_replace(w, '[^\\p{L}]', '', 'g')) > 0 AND 2 * length(regexp_replace(w, '[^\\p{L}]', '', 'g')) >= length(w)"
-    " THEN replace(replace(regexp_replace(replace(replace(replace(w, 'rn', 'm'), 'vv', 'w'), '0', 'o'), '[1l]', 'i', 'g'), '5', 's'), '8', 'b') ELSE w END AS folded FROM t"
-)
+@query(f"""WITH {M.fold_sql("SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM pages WHERE kind = 'ocr'")} SELECT word, folded FROM folds""")
 def fold_tokens(s, d):
     words = table(s, d, "pages").where("kind = 'ocr'").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", T.fold(F.array("word"))[0].alias("folded"))
@@ -175,10 +168,14 @@ def evidence_windows(s, d):
     return u.select("unit_id", start.alias("start"), text.alias("window"))
 
 
-@query()
+@query(
+    f"{W}, t AS (SELECT DISTINCT t AS term FROM (SELECT unnest(words) AS t FROM w) WHERE regexp_full_match(t, 'w[a-z]{{3,31}}') AND abs(length(t) - 9) <= 2),"
+    " g AS (SELECT term, list_distinct(list_transform(range(1, length(term) + 2), lambda i: ('  ' || term || ' ')[i:i + 2])) AS g, list_distinct(list_transform(range(1, 11), lambda i: '  warehuose '[i:i + 2])) AS h FROM t)"
+    " SELECT term, CAST(damerau_levenshtein(term, 'warehuose') AS INT) AS distance FROM g WHERE damerau_levenshtein(term, 'warehuose') <= 2 AND len(list_intersect(g, h)) >= 0.3 * len(list_distinct(list_concat(g, h)))"
+    " QUALIFY rank() OVER (ORDER BY damerau_levenshtein(term, 'warehuose')) = 1 ORDER BY term LIMIT 5"
+)
 def typo_candidates(s, d):
-    terms = P.vocabulary(P.postings(M.units(s, d), "w"))
-    return P.corrections(terms, "warehuose")
+    return P.corrections(P.vocabulary(M.index(s, d).terms("w")), "warehuose")
 
 
 @query()
