@@ -6,7 +6,7 @@ result is the tenant's own.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Callable
 from datetime import date
 
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.durable import exists, own_folder
 from folio.functions import text as T
 from folio.functions.stem import stem
 from folio.operators import answers as A
@@ -38,23 +37,26 @@ CONFIDENCE = {1: 0.97, 2: 0.85, 3: 0.6}
 CANDIDATE = "document_id string, unit_id string, retriever string, match_type string, raw_score double, matched string, page int, char_start int, char_end int"
 
 
+def _spelled(term: str) -> str:
+    """A pattern of a term's words in a text, whatever stands between them."""
+    return r"(?iu)(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(re.escape(w) for w in T.split_words(term) or [term])
+
+
 class TenantCatalog:
-    def __init__(self, spark: SparkSession, folder: str, tenant: str):
+    """Tables and index of one tenant, or with None those of the whole collection."""
+
+    def __init__(self, spark: SparkSession, folder: str, tenant: str | None):
         self.spark, self.folder, self.tenant = spark, folder, tenant
 
     def table(self, name: str) -> DataFrame:
         df = table(self.spark, self.folder, name)
-        return df if name in SHARED_TABLES else df.where(F.col("tenant_id") == F.lit(self.tenant))
+        return df if name in SHARED_TABLES or self.tenant is None else df.where(F.col("tenant_id") == F.lit(self.tenant))
 
     def units(self) -> DataFrame:
         return P.latest(self.table("units"), "unit_id", "stored_at")
 
     def index(self) -> Index:
-        """The tenant's index; it is written when it is asked for first in an application."""
-        path = f"{own_folder(self.spark)}/index-{hashlib.md5(f'{self.folder}|{self.tenant}'.encode()).hexdigest()}"
-        if exists(self.spark, f"{path}/totals/_SUCCESS"):
-            return Index(self.spark, path, self.tenant)
-        return Index.build(self.units().drop("tenant_id"), self.table("documents"), path, self.tenant)
+        return Index.stored(self.spark, self.folder, self.units() if self.tenant is None else self.units().drop("tenant_id"), self.table("documents"), self.tenant)
 
 
 class Engine:
@@ -151,7 +153,7 @@ class Engine:
         if "entity" in chosen:
             add(V.entity(self.catalog.spark, self.catalog.table("entities"), plan.question).drop("unit_id"), "entity", "entity", "", "raw_score")
         if "contextual" in chosen:
-            for kind, ways in V.concepts_of(plan.question):
+            for _, kind, ways in V.concepts_of(plan.question):
                 add(self.catalog.table("clauses").where(F.col("clause_type") == kind), "contextual", "concept_clause", kind)
                 for way in ways:
                     add(index.phrase(way), "contextual", "concept", way, F.lit(0.5))
@@ -170,7 +172,7 @@ class Engine:
         f = plan.filters
         soft = self.catalog.table("documents").where(F.col("doc_type").isin(f.doc_types)) if f.doc_types and not f.hard else None
         words = [w for w in plan.text.split() if w not in T.STOPWORDS]
-        ways = {w for _, said in V.concepts_of(plan.question) for way in said for w in way.split()}
+        ways = {w for name, _, said in V.concepts_of(plan.question) for way in (name, *said) for w in way.split()}
         unmatched = bool(self.catalog.index().unknown([w for w in words if w not in ways])) if words and "contextual" in plan.strategies else False
         return R.fuse(candidates, plan.exact_intent, identifiers_only=identifier_only(plan), phrased=bool(plan.phrases), unmatched=unmatched, soft=soft)
 
@@ -183,7 +185,7 @@ class Engine:
         """
         index = self.catalog.index()
         order = [R.tier(F.col("match_type")), R.priority(F.col("match_type")), F.desc("raw_score")]
-        terms = T.highlight_terms(plan.phrases, plan.text) or [""]
+        terms = T.highlight_terms(plan.phrases, plan.text)
         held = candidates.where("unit_id IS NOT NULL")
         texts = index.text_of(held).select("unit_id", "unit_type", F.col("page").alias("u_page"), F.col("char_start").alias("u_start"), "text")
         joined = F.concat(F.lit(" "), F.concat_ws(" ", T.tokens(F.col("text"))), F.lit(" "))
@@ -201,7 +203,7 @@ class Engine:
         other = F.col("summary") & F.col("o_unit").isNotNull()
         for new, old in (("unit_id", "o_unit"), ("u_page", "o_page"), ("u_start", "o_start"), ("text", "o_text")):
             hits = hits.withColumn(new, F.when(other, F.col(old)).otherwise(F.col(new)))
-        at = F.greatest(F.lit(1), F.coalesce(*[F.nullif(F.instr(F.lower("text"), t.lower()), F.lit(0)) for t in terms], F.lit(1)))
+        at = F.coalesce(*[F.nullif(F.regexp_instr("text", F.lit(_spelled(t))), F.lit(0)) for t in terms], F.lit(1))
         start, window = T.window_around(F.col("text"), at)
         shown = hits.select("document_id", "summary", "match_type", "retriever", "raw_score", F.col("unit_id").alias("key"), F.col("u_page").alias("page"), (F.col("u_start") + start).alias("char_start"), window.alias("text"))
         spans = candidates.where("unit_id IS NULL AND page IS NOT NULL AND char_start IS NOT NULL AND char_end IS NOT NULL")

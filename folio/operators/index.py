@@ -11,11 +11,13 @@ with a digit, n words of file names (one posting a document, without a unit).
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.durable import exists, own_folder
 from folio.functions import text as T
 from folio.functions.stem import stem, with_stems
 from folio.operators import postings as P
@@ -64,6 +66,12 @@ class Index:
         self._owned(stored.agg(F.count("*").alias("n"))).write.mode("overwrite").parquet(f"{path}/totals")
         return self
 
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, units: DataFrame, documents: DataFrame, tenant: str | None = None) -> Index:
+        """The index of a data folder (and tenant) in the shared folder, written when it is asked for first in an application."""
+        path = f"{own_folder(spark)}/index-{hashlib.md5(f'{folder}|{tenant or ""}'.encode()).hexdigest()}"
+        return cls(spark, path, tenant) if exists(spark, f"{path}/totals/_SUCCESS") else cls.build(units, documents, path, tenant)
+
     def _write(self, postings: DataFrame, mode: str) -> None:
         placed = self._owned(postings).withColumn("bucket", _bucket(F.col("term"), TERM_BUCKETS))
         placed.hint("rebalance", "kind", "bucket").sortWithinPartitions("kind", "bucket", "term").write.mode(mode).partitionBy("kind", "bucket").parquet(f"{self.path}/postings")

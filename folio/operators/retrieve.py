@@ -65,16 +65,16 @@ def entity(spark: SparkSession, entities: DataFrame, question: str) -> DataFrame
     return found.select("document_id", F.lit(None).cast("string").alias("unit_id"), F.lit("entity").alias("match_type"), F.length("name").cast("double").alias("raw_score"), "span.*")
 
 
-def concepts_of(question: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(clause type, ways to say it) of the concepts that a question names."""
+def concepts_of(question: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(name, clause type, ways to say it) of the concepts that a question names."""
     low = T.normalize_exact(question)
-    return [(kind, ways) for name, (kind, ways) in CONCEPTS.items() if name in low or any(w in low for w in ways)]
+    return [(name, kind, ways) for name, (kind, ways) in CONCEPTS.items() if name in low or any(w in low for w in ways)]
 
 
 def contextual(units: DataFrame, clauses: DataFrame, question: str) -> DataFrame:
     """Clauses of a concept that the question names, and units that name it in another way."""
     out = _found(units.limit(0), "concept", F.lit(0.5))
-    for kind, ways in concepts_of(question):
+    for _, kind, ways in concepts_of(question):
         out = out.unionByName(_found(clauses.where(F.col("clause_type") == kind).withColumn("unit_id", F.lit(None).cast("string")), "concept_clause", F.lit(1.0)))
         for way in ways:
             out = out.unionByName(_found(P.with_phrase(units, way), "concept", F.lit(0.5)))

@@ -3,12 +3,9 @@ name/value rows. Orders stand in for documents with amounts, dates, parties and
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.durable import exists, own_folder
 from folio.operators.index import Index
 from folio.operators.postings import latest
 from folio.sources.tables import table
@@ -52,11 +49,16 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> Index:
-    """The stored index of a data folder, written when it is asked for first in an application."""
-    path = f"{own_folder(spark)}/index-{hashlib.md5(d.encode()).hexdigest()}"
-    if exists(spark, f"{path}/totals/_SUCCESS"):
-        return Index(spark, path)
-    return Index.build(units(spark, d), documents(spark, d), path)
+    return Index.stored(spark, d, units(spark, d), documents(spark, d))
+
+
+def document_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that the documents table itself has, in the form of fields(): the day of creation, and the pages as an
+    amount in the unit 'pages'."""
+    docs = documents(spark, d)
+    day = F.struct(F.lit("issue_date").alias("name"), F.lit(None).cast("string").alias("value_text"), F.lit(None).cast("double").alias("value_num"), F.to_date("created_at").alias("value_date"), F.lit(None).cast("string").alias("unit"), F.lit(0).alias("field_id"))
+    size = F.struct(F.lit("total_amount").alias("name"), F.lit(None).cast("string").alias("value_text"), F.col("page_count").cast("double").alias("value_num"), F.lit(None).cast("date").alias("value_date"), F.lit("pages").alias("unit"), F.lit(1).alias("field_id"))
+    return docs.select("document_id", F.lit(1.0).alias("confidence"), F.inline(F.array(day, size)))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from folio.plans import q_compute, q_detail, q_events, q_filters, q_rank, q_retrieve, q_text  # noqa: F401
+    from folio.plans import q_compute, q_detail, q_engine, q_events, q_filters, q_rank, q_retrieve, q_text  # noqa: F401
 
     return dict(QUERIES)
 
