@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.durable import materialize
 from folio.functions import text as T
 from folio.functions.stem import stem
 from folio.operators import answers as A
@@ -167,14 +168,14 @@ class Engine:
             out = out.unionByName(part)
         return out.join(scope.select("document_id"), "document_id", "left_semi")
 
-    def ranked(self, plan: QueryPlan, candidates: DataFrame) -> DataFrame:
+    def ranked(self, plan: QueryPlan, candidates: DataFrame, few: bool = False) -> DataFrame:
         """The candidates' documents in the order of the fusion rules."""
         f = plan.filters
         soft = self.catalog.table("documents").where(F.col("doc_type").isin(f.doc_types)) if f.doc_types and not f.hard else None
         words = [w for w in plan.text.split() if w not in T.STOPWORDS]
         ways = {w for name, _, said in V.concepts_of(plan.question) for way in (name, *said) for w in way.split()}
         unmatched = bool(self.catalog.index().unknown([w for w in words if w not in ways])) if words and "contextual" in plan.strategies else False
-        return R.fuse(candidates, plan.exact_intent, identifiers_only=identifier_only(plan), phrased=bool(plan.phrases), unmatched=unmatched, soft=soft)
+        return R.fuse(candidates, plan.exact_intent, identifiers_only=identifier_only(plan), phrased=bool(plan.phrases), unmatched=unmatched, soft=soft, few=few)
 
     def evidence(self, plan: QueryPlan, candidates: DataFrame) -> DataFrame:
         """document_id, n, page, char_start, char_end, text, match_type, retriever: up to MOST_EVIDENCE items of each document,
@@ -223,9 +224,9 @@ class Engine:
     def search(self, plan: QueryPlan, limit: int = 20) -> DataFrame:
         """rank, document_id, filename, title, doc_type, tier, score, confidence, page, char_start, snippet, evidence of the best
         documents. One that matched through its text, but of which no evidence is proven, is left out."""
-        candidates = self.candidates(plan)
-        ranked = self.ranked(plan, candidates)
-        head = ranked.where(F.col("rank") <= 2 * limit)  # some may be left out
+        candidates = materialize(self.candidates(plan))  # read several times
+        ranked = materialize(self.ranked(plan, candidates, candidates.count() <= R.FEW).where(F.col("rank") <= 2 * limit))
+        head = ranked  # twice as many, for some may be left out
         some = candidates.join(head.select("document_id"), "document_id", "left_semi")
         items = self.evidence(plan, some).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("n", "page", "char_start", "char_end", "text", "match_type", "retriever"))).alias("evidence"))
         filtered = some.where("match_type = 'structured'").select("document_id", F.lit(True).alias("_filtered")).distinct()

@@ -27,6 +27,10 @@ KINDS = "wsfirn"
 TERM_BUCKETS, UNIT_BUCKETS = 32, 32
 
 
+#: Indexes in use, by folder: their files are listed once.
+_OPEN: dict[str, Index] = {}
+
+
 def _bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(c.cast("binary")), F.lit(buckets)).cast("int")
 
@@ -42,6 +46,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, tenant: str | None = None):
         self.spark, self.path, self.tenant = spark, path, tenant
+        self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def build(cls, units: DataFrame, documents: DataFrame, path: str, tenant: str | None = None) -> Index:
@@ -58,19 +63,23 @@ class Index:
         names = names.select(F.lit("n").alias("kind"), "term", F.lit(None).cast("string").alias("unit_id"), "document_id", "tf", F.lit(0).alias("length"))
         words = words.join(stored.select("unit_id", lengths), "unit_id").select("kind", "term", "unit_id", "document_id", "tf", "length")
         self._write(words.unionByName(names), "overwrite")
+        self._tables.clear()
         # Stems are taken of the different words only.
         stems = with_stems(self.postings("w")).groupBy(F.lit("s").alias("kind"), F.col("stem").alias("term"), "unit_id", "document_id", "length").agg(F.sum("tf").alias("tf"))
         self._write(stems.select("kind", "term", "unit_id", "document_id", "tf", "length"), "append")
+        self._tables.clear()
         terms = self._read("postings").groupBy("kind", "term").agg(F.count("*").alias("df"))
         self._owned(terms).hint("rebalance", "kind").sortWithinPartitions("kind", "term").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/terms")
         self._owned(stored.agg(F.count("*").alias("n"))).write.mode("overwrite").parquet(f"{path}/totals")
-        return self
+        return cls(spark, path, tenant)
 
     @classmethod
     def stored(cls, spark: SparkSession, folder: str, units: DataFrame, documents: DataFrame, tenant: str | None = None) -> Index:
         """The index of a data folder (and tenant) in the shared folder, written when it is asked for first in an application."""
         path = f"{own_folder(spark)}/index-{hashlib.md5(f'{folder}|{tenant or ""}'.encode()).hexdigest()}"
-        return cls(spark, path, tenant) if exists(spark, f"{path}/totals/_SUCCESS") else cls.build(units, documents, path, tenant)
+        if not exists(spark, f"{path}/totals/_SUCCESS"):
+            _OPEN[path] = cls.build(units, documents, path, tenant)
+        return _OPEN.setdefault(path, cls(spark, path, tenant))
 
     def _write(self, postings: DataFrame, mode: str) -> None:
         placed = self._owned(postings).withColumn("bucket", _bucket(F.col("term"), TERM_BUCKETS))
@@ -80,7 +89,9 @@ class Index:
         return df if self.tenant is None else df.withColumn("tenant_id", F.lit(self.tenant))
 
     def _read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{name}")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        df = self._tables[name]
         return df if self.tenant is None else df.where(F.col("tenant_id") == F.lit(self.tenant)).drop("tenant_id")
 
     def units(self) -> DataFrame:

@@ -22,6 +22,8 @@ PHRASE_EVIDENCE = ("exact_phrase", "exact_identifier", "ocr_tolerant", "fuzzy",
 CONCEPTUAL = ("concept", "concept_clause", "relation", "semantic")
 RRF_K, PER_RETRIEVER, SOFT_TYPE = 60, 0.0015, 0.006
 FLOOR, MARGIN, STRONG = 0.30, 0.22, 0.15
+#: Candidates that one task may put in order.
+FEW = 100_000
 #: Queries of a block that are compared with a batch at once (bounds the memory of a task).
 PART = 256
 
@@ -39,7 +41,7 @@ def priority(match_type: Column) -> Column:
 
 
 def fuse(
-    candidates: DataFrame, exact_intent: bool = False, partition: str | None = None, *, identifiers_only: bool = False, phrased: bool = False, unmatched: bool = False, soft: DataFrame | None = None
+    candidates: DataFrame, exact_intent: bool = False, partition: str | None = None, *, identifiers_only: bool = False, phrased: bool = False, unmatched: bool = False, soft: DataFrame | None = None, few: bool = False
 ) -> DataFrame:
     """document_id, score, key, rank from candidates (document_id, retriever, match_type, raw_score).
 
@@ -48,7 +50,8 @@ def fuse(
     identifiers_only: the question is identifiers alone, so documents alike in meaning only are dropped. phrased:
     it holds a quoted phrase, so only documents with PHRASE_EVIDENCE stay. unmatched: it uses words that no
     document has, so documents that match by CONCEPTUAL evidence only must be strongly similar. soft:
-    document_id of those of a type that the question mentions; they are lifted a little.
+    document_id of those of a type that the question mentions; they are lifted a little. few: the candidates
+    have been counted and are at most FEW, so one task may number them.
     """
     by = [partition] if partition else []
     lexical = F.col("match_type") != "semantic"
@@ -65,7 +68,7 @@ def fuse(
     )
 
     def numbered(df: DataFrame, name: str, *order) -> DataFrame:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else with_rank(df, name, *order)
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by or few else with_rank(df, name, *order)
 
     docs = numbered(numbered(docs, "_l", F.asc_nulls_last("lex"), F.asc("document_id")), "_v", F.desc_nulls_last("vec"), F.asc("document_id"))
     docs = docs.withColumn("lex_rank", F.when(F.col("lex").isNotNull(), F.col("_l") - 1)).withColumn("vec_rank", F.when(F.col("vec").isNotNull(), F.col("_v") - 1))
