@@ -57,7 +57,7 @@ class ItemIndex:
                 at.setdefault(k, []).append(p)
             self.places.append(at)
             sums = np.cumsum([0.0, *(weights[col][k] for k in text)])
-            least[col] = (sums[run:] - sums[:-run]).min() * (1 - 1e-6)
+            least[col] = (sums[run:] - sums[:-run]).min() * (1 - 1e-5)
         starts = range(0, n, BLOCK)
         self.bound = np.zeros((self.other + 1, len(starts)), np.float32)  # the last row is for other words
         self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # row of a word, weights of its postings, thresholds
@@ -76,15 +76,16 @@ class ItemIndex:
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place of the passage's middle word, item) of all passages and items that reach the item's threshold."""
         run = self.run
-        starts = np.arange(0, max(1, len(numbers) - run + 1), run)
-        ends = np.minimum(starts + 2 * run - 1, len(numbers))
-        middle = starts + run - 1
-        reached = _sums(self.bound[numbers], starts, ends) >= self.least
+        steps = -(-len(numbers) // run)  # a passage is one step of ``run`` words and all but the last of the next
+        padded = np.full(steps * run, self.other)
+        padded[: len(numbers)] = numbers
+        whole = len(numbers) // run  # passages whose middle word is one of the text
+        reached = _sums(self.bound[padded], run)[:whole] >= self.least
         for b in np.nonzero(reached.any(0))[0]:
-            some = np.nonzero(reached[:, b])[0]
             row, table, least = self.blocks[b]
-            passages, items = np.nonzero(_sums(table[row[numbers]], starts[some], ends[some]) >= least)
-            yield from zip(middle[some[passages]].tolist(), (items + b * BLOCK).tolist())
+            hit = (_sums(table[row[padded]], run)[:whole] >= least) & reached[:, b, None]
+            passages, items = np.nonzero(hit)
+            yield from zip((passages * run + run - 1).tolist(), (items + b * BLOCK).tolist())
 
     def leaks(self, text: list[str]) -> dict[int, int]:
         """item id -> longest number of consecutive words of the item that the text holds (from run on)."""
@@ -107,11 +108,13 @@ class ItemIndex:
         return {self.ids[col]: n for col, n in best.items()}
 
 
-def _sums(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of the rows from start to end, for each pair of them."""
-    total = np.zeros((len(weights) + 1, weights.shape[1]))
-    np.cumsum(weights, axis=0, out=total[1:])
-    return total[ends] - total[starts]
+def _sums(weights: np.ndarray, run: int) -> np.ndarray:
+    """Sums of the rows of each passage of 2 * run - 1 words; passages begin every ``run`` words."""
+    steps = weights.reshape(-1, run, weights.shape[1])
+    whole = steps.sum(1)
+    out = whole.copy()
+    out[:-1] += whole[1:] - steps[1:, -1]
+    return out
 
 
 def _overlap(text: list[int], at: int, item: list[int], p: int) -> int:
