@@ -188,8 +188,9 @@ FINDERS = {
 FACTS = "document_id string, page int, kind string, name string, value string, unit string, char_start int, char_end int, confidence double"
 
 
-def analyze(pages: DataFrame) -> DataFrame:
-    """All facts of pages (document_id, page, text), in one Arrow stage; null text has none."""
+def analyze(pages: DataFrame, asked: tuple[str, ...] = tuple(FINDERS)) -> DataFrame:
+    """All facts of pages (document_id, page, text), or those of some kinds, in one Arrow stage; null text has none."""
+    finders = {kind: FINDERS[kind] for kind in asked}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
@@ -197,7 +198,7 @@ def analyze(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for document, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for kind, find in FINDERS.items():
+                for kind, find in finders.items():
                     for f in find(text or ""):
                         for column, value in zip(out, (document, page, kind, f["name"], f["value"], f.get("unit"), f["start"], f["end"], f["confidence"])):
                             column.append(value)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
+from folio.operators import answers as A
 from folio.plans import model as M
 from folio.plans.registry import query
 from folio.sources.tables import table
@@ -29,9 +30,12 @@ def guessed_titles(s, d):
     return M.documents(s, d).select("doc_id", T.guess_title(F.col("text")).alias("title"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(https?://[^\\s?#]+)\\?[^\\s]*', '\\1?…', 'g') AS text FROM documents WHERE contains(text, 'http')")
+@query("SELECT doc_id, 'from https://' || source || '.example/' || filename || '?… on' AS text FROM documents WHERE source IS NOT NULL AND NOT regexp_matches(source || filename, '[\\s?#]')")
 def redacted_urls(s, d):
-    return M.documents(s, d).where(F.col("text").contains("http")).select("doc_id", T.redact_url(F.col("text")).alias("text"))
+    """Addresses made of the table's columns, as the texts hold none."""
+    docs = M.documents(s, d).where(F.col("source").isNotNull() & ~F.concat("source", "filename").rlike(r"[\s?#]"))
+    url = F.concat(F.lit("from https://"), "source", F.lit(".example/"), "filename", F.lit("?key="), "document_id", F.lit("&x=1 on"))
+    return docs.select("doc_id", T.redact_url(url).alias("text"))
 
 
 @query(f"WITH {M.UNITS_SQL} SELECT document_id, page, list(list_transform(string_split(text, '|'), lambda x: trim(x)) ORDER BY ordinal, unit_id) AS grid FROM u WHERE unit_type = 'table_row' GROUP BY document_id, page")
@@ -51,11 +55,17 @@ def key_fields(s, d):
     return first.groupBy("document_id").pivot("type", ["organization", "person"]).agg(F.max("value"))
 
 
-@query("WITH p AS (SELECT DISTINCT document_id, page, text FROM pages) SELECT document_id, page, CAST(regexp_extract(text, 'within (\\d+|thirty) days', 1) AS VARCHAR) AS figure FROM p WHERE regexp_matches(text, 'within (\\d+|thirty) days')")
+_NUMBER = "([0-9][0-9,]*(?:\\.[0-9]+)?)"
+
+
+@query(
+    f"WITH p AS (SELECT DISTINCT document_id, page, text FROM pages), f AS (SELECT document_id, page, coalesce(nullif(regexp_extract(text, '(?i)\\bday\\w*\\b[^.\\n0-9]{{0,40}}?{_NUMBER}', 1), ''),"
+    f" nullif(regexp_extract(text, '(?i)\\(?{_NUMBER}\\)?\\s+(?:[a-z]+\\s+){{0,2}}day\\w*\\b', 1), '')) AS figure FROM p) SELECT document_id, page, figure FROM f WHERE figure IS NOT NULL"
+)
 def stated_figures(s, d):
+    """The number that each page gives for days."""
     pages = table(s, d, "pages").select("document_id", "page", "text").distinct()
-    figure = F.regexp_extract("text", r"within (\d+|thirty) days", 1)
-    return pages.where(F.col("text").rlike(r"within (\d+|thirty) days")).select("document_id", "page", figure.alias("figure"))
+    return pages.select("document_id", "page", A.stated_figure(F.col("text"), "days").alias("figure")).where("figure IS NOT NULL")
 
 
 @query("SELECT document_id, 'register' AS action, created_at AS at, json_object('file', filename, 'kind', kind) AS detail FROM documents UNION ALL SELECT document_id, 'index', indexed_at, json_object('file', filename, 'kind', kind) FROM documents WHERE indexed_at IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.functions import extract as X
 from folio.functions import stem as St
@@ -98,27 +99,52 @@ def organization_names(s, d):
     return named.select("value", T.norm_org(F.col("value")).alias("name"))
 
 
+def _pages(s, d):
+    return table(s, d, "pages").select("document_id", "page", "text").distinct()
+
+
+def _with_written(s, d, kinds: tuple[str, ...]):
+    """Facts of some kinds with the text of their span."""
+    pages = _pages(s, d)
+    facts = X.analyze(pages, kinds)
+    return facts.join(pages, ["document_id", "page"]).withColumn("written", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("text")
+
+
 @query()
 def extracted_facts(s, d):
-    return X.analyze(table(s, d, "pages").select("document_id", "page", "text").distinct())
+    return X.analyze(_pages(s, d))
+
+
+@query("SELECT * FROM (VALUES ('clause', true), ('identifier', true), ('organization', true), ('person', true), ('relation', true)) t(kind, exact)")
+def fact_spans(s, d):
+    """Facts that are quoted stand where their span says."""
+    return _with_written(s, d, ("identifier", "person", "organization", "clause", "relation")).groupBy("kind").agg(F.every(F.col("written") == F.col("value")).alias("exact"))
 
 
 @query()
 def page_units(s, d):
-    return chunk_pages(table(s, d, "pages").select("document_id", "page", "text").distinct())
+    return chunk_pages(_pages(s, d))
+
+
+@query("SELECT document_id, page, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS covered FROM (SELECT DISTINCT document_id, page, text FROM pages) WHERE NOT contains(text, ' | ') AND regexp_matches(text, '[\\p{L}\\p{N}]')")
+def page_unit_cover(s, d):
+    """Letters and digits of the pages without tables that stand in a unit, each once: all of them."""
+    units = chunk_pages(_pages(s, d).where(~F.col("text").contains(" | ")))
+    before = F.lag("char_end", 1, 0).over(Window.partitionBy("document_id", "page").orderBy("ordinal"))
+    new = units.withColumn("from", F.greatest(F.lit(0), before - F.col("char_start")))
+    kept = F.regexp_replace(F.substring("text", F.col("from") + 1, F.length("text")), r"[^\p{L}\p{N}]", "")
+    return new.groupBy("document_id", "page").agg(F.sum(F.length(kept)).alias("covered")).where("covered > 0")
 
 
-@query("SELECT document_id, page, unnest(regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) AS day FROM (SELECT DISTINCT document_id, page, text FROM pages)")
+@query("SELECT document_id, page, day FROM (SELECT document_id, page, unnest(regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) AS day FROM (SELECT DISTINCT document_id, page, text FROM pages)) WHERE try_cast(day AS DATE) IS NOT NULL")
 def iso_dates(s, d):
-    pages = table(s, d, "pages").select("document_id", "page", "text").distinct()
-    return pages.select("document_id", "page", F.explode(F.regexp_extract_all("text", F.lit(r"(\b\d{4}-\d{2}-\d{2}\b)"))).alias("day"))
+    return _with_written(s, d, ("date",)).where(F.col("written").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("document_id", "page", F.col("value").alias("day"))
 
 
 @query("SELECT document_id, page, regexp_extract(a, '^[A-Z]+') AS currency, CAST(replace(regexp_extract(a, '[0-9,.]+$'), ',', '') AS DOUBLE) AS value FROM (SELECT document_id, page, unnest(regexp_extract_all(text, '\\b(?:EUR|USD|GBP|CHF) \\d[\\d,]*\\.\\d{2}')) AS a FROM (SELECT DISTINCT document_id, page, text FROM pages))")
 def page_amounts(s, d):
-    pages = table(s, d, "pages").select("document_id", "page", "text").distinct()
-    a = pages.select("document_id", "page", F.explode(F.regexp_extract_all("text", F.lit(r"(\b(?:EUR|USD|GBP|CHF) \d[\d,]*\.\d{2})"))).alias("a"))
-    return a.select("document_id", "page", F.regexp_extract("a", "^[A-Z]+", 0).alias("currency"), F.regexp_replace(F.regexp_extract("a", "[0-9,.]+$", 0), ",", "").cast("double").alias("value"))
+    found = _with_written(s, d, ("amount",)).where(F.col("written").rlike(r"^(?:EUR|USD|GBP|CHF) \d[\d,]*\.\d{2}$"))
+    return found.select("document_id", "page", F.col("unit").alias("currency"), F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (substring(p.text, c.char_start + 1, c.char_end - c.char_start) = c.text) AS exact FROM (SELECT DISTINCT document_id, page, char_start, char_end, text FROM clauses) c JOIN (SELECT DISTINCT document_id, page, text FROM pages) p USING (document_id, page)")

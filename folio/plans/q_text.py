@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.functions import extract as X
 from folio.functions import text as T
 from folio.operators import postings as P
 from folio.plans import model as M
@@ -110,10 +111,15 @@ def exact_identifier(s, d):
     return M.index(s, d).identifier("qt2022981653")
 
 
-@query("SELECT document_id, page, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))) AS email FROM (SELECT DISTINCT document_id, page, text FROM pages)")
+@query(
+    "WITH t AS (SELECT document_id, 'Write to ' || regexp_replace(lower(filename), '[^a-z0-9_.]', '', 'g') || '@' || tenant_id || '.example, or again to a@b.example.' AS text FROM documents)"
+    " SELECT DISTINCT document_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS email FROM t"
+)
 def contacts(s, d):
-    pages = table(s, d, "pages").select("document_id", "page", "text").distinct()
-    return pages.select("document_id", "page", F.explode(T.emails(F.col("text"))).alias("email"))
+    """Addresses made of the table's columns, as the texts hold none; the extraction operator finds them."""
+    text = F.concat(F.lit("Write to "), F.regexp_replace(F.lower("filename"), "[^a-z0-9_.]", ""), F.lit("@"), "tenant_id", F.lit(".example, or again to a@b.example."))
+    found = X.analyze(M.documents(s, d).select("document_id", F.lit(1).alias("page"), text.alias("text")), ("contact",))
+    return found.where("name = 'email'").select("document_id", F.col("value").alias("email")).distinct()
 
 
 @query("SELECT DISTINCT value, list_sort(list_distinct(list_transform(regexp_extract_all(value, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), lambda x: lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g'))))) AS variants FROM entities")
@@ -161,7 +167,10 @@ def evidence_offsets(s, d):
     return u.select("unit_id", F.greatest(F.lit(0), F.col("p") - 1 - 120).alias("raw"))
 
 
-@query()
+@query(
+    f"{W}, a AS (SELECT unit_id, text, greatest(0, p - 121) AS raw FROM (SELECT unit_id, text, strpos(lower(text), 'thirty days') AS p FROM w) WHERE p > 0),"
+    " b AS (SELECT unit_id, text, CASE WHEN raw = 0 THEN 0 ELSE raw + strpos(substring(text, raw + 1, 360), ' ') END AS start FROM a) SELECT unit_id, start, substring(text, start + 1, 360) AS window FROM b"
+)
 def evidence_windows(s, d):
     u = M.units(s, d).withColumn("p", F.instr(F.lower("text"), "thirty days")).where("p > 0")
     start, text = T.window_around(F.col("text"), F.col("p"))
