@@ -74,6 +74,17 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return grouped(_records(spark, folder)).withColumnRenamed("part", "record_kind")
 
 
+def p5_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record of enough words with the least record id of its group."""
+    from pyspark.sql import functions as F
+
+    from folio.durable import materialize
+
+    groups = materialize(p5_groups(spark, folder).select("record_kind", "record_id", "group_id"))
+    first = groups.groupBy("record_kind", "group_id").agg(F.min("record_id").alias("first_id"))
+    return groups.join(first, ["record_kind", "group_id"]).select("record_kind", "record_id", "first_id").distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from folio.llm.language import cases
 

@@ -26,18 +26,26 @@ _LONG = rf"""
           WHEN {_most(r"[ \n]+")} <= size THEN 'word' ELSE 'none' END AS boundary
         FROM long)"""
 
-ORACLE: dict[str, str] = {
-    "p1_found": f"{_LONG} SELECT unit_id, boundary FROM b",
-    "p1_rejoined": f"{_LONG} SELECT unit_id, boundary, md5(text) AS whole, true AS fits, true AS overlaps FROM b",
-    "p5_found": rf"""
-        WITH r AS (SELECT DISTINCT 'documents' AS record_kind, doc_id AS id, text FROM documents
+#: Pairs of records with similar texts (equal ones included).
+_ALIKE = rf"""
+        WITH RECURSIVE r AS (SELECT DISTINCT 'documents' AS record_kind, doc_id AS id, text FROM documents
                    UNION SELECT DISTINCT 'evidence', evidence_id, text FROM evidence),
         w AS (SELECT *, {WORDS} AS w FROM r),
         g AS (SELECT DISTINCT record_kind, id, text, unnest(list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p+3], ' '))) AS g FROM w WHERE len(w) >= 40),
-        n AS (SELECT record_kind, id, count(*) AS n FROM g GROUP BY ALL),
-        s AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.record_kind = b.record_kind AND a.id < b.id AND a.text <> b.text GROUP BY ALL)
-        SELECT record_kind, id_a, id_b FROM s JOIN n x USING (record_kind) JOIN n y USING (record_kind)
-        WHERE x.id = id_a AND y.id = id_b AND c >= 0.6 * (x.n + y.n - c)""",
+        n AS (SELECT record_kind, id, text, count(*) AS n FROM g GROUP BY ALL),
+        t AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, a.text AS text_a, b.text AS text_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.record_kind = b.record_kind AND a.id < b.id GROUP BY ALL),
+        s AS (SELECT t.* FROM t JOIN n x ON x.record_kind = t.record_kind AND x.id = id_a AND x.text = text_a JOIN n y ON y.record_kind = t.record_kind AND y.id = id_b AND y.text = text_b
+              WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"{_LONG} SELECT unit_id, boundary FROM b",
+    "p1_rejoined": f"{_LONG} SELECT unit_id, boundary, md5(text) AS whole, true AS fits, true AS overlaps FROM b",
+    "p5_found": f"""{_ALIKE}
+        SELECT record_kind, id_a, id_b FROM (SELECT DISTINCT record_kind, id_a, id_b FROM s WHERE text_a <> text_b)""",
+    "p5_components": f"""{_ALIKE},
+        e AS (SELECT record_kind, id_a AS x, id_b AS y FROM s UNION SELECT record_kind, id_b, id_a FROM s),
+        c AS (SELECT DISTINCT record_kind, id AS x, id AS y FROM n UNION SELECT r.record_kind, r.x, e.y FROM c r JOIN e ON r.record_kind = e.record_kind AND r.y = e.x)
+        SELECT record_kind, x AS record_id, min(y) AS first_id FROM c GROUP BY ALL""",
     "p7_found": rf"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
