@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from folio.functions.extract import sentences
 from folio.sources.parsers import block_type
@@ -69,3 +70,15 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in UNITS.split(", ")])
 
     return pages.select("document_id", "page", "text").mapInArrow(run, UNITS)
+
+
+def document_unit(title: Column, doc_type: Column, filename: Column, *key_fields: Column) -> Column:
+    """The text of a document's own unit: title, type in words, file name and key fields, one a line; missing ones left out."""
+    return F.concat_ws("\n", title, F.replace(doc_type, F.lit("_"), F.lit(" ")), filename, *key_fields)
+
+
+def labelled_row(header: Column, row: Column) -> Column:
+    """A row of a table with its header's names: ``Header: value; ...``; empty cells are left out."""
+    cells = [F.transform(F.split(c, r"\|"), lambda x: F.trim(x)) for c in (header, row)]
+    both = F.zip_with(*cells, lambda h, v: F.when((v != "") & (F.coalesce(h, F.lit("")) != ""), F.concat(h, F.lit(": "), v)).when(v != "", v))
+    return F.array_join(F.array_compact(both), "; ")

@@ -11,6 +11,7 @@ from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folio.plans.plan import CURRENCY, MONTHS, TIMES
 
@@ -171,6 +172,29 @@ def find_relations(text: str) -> list[dict]:
     return [{"start": m.start(2), "end": m.end(2), "name": m[1].strip().lower().replace(" ", "_"), "value": m[2], "confidence": 0.8} for m in _LABEL.finditer(text)]
 
 
+def pattern_relations(text: str, patterns: dict[str, str]) -> list[dict]:
+    """Relations that a domain's patterns state, sentence by sentence: name -> pattern with the groups ``subject`` and ``object``;
+    further groups are qualifiers. The span is the sentence's."""
+    compiled = {name: re.compile(p) for name, p in patterns.items()}
+    found = []
+    for a, b in sentences(text):
+        for name, p in compiled.items():
+            for m in p.finditer(text, a, b):
+                groups = {k: v.strip() for k, v in m.groupdict().items() if v}
+                if "subject" in groups and "object" in groups:
+                    found.append({"start": a, "end": b, "name": name, "subject": groups.pop("subject"), "object": groups.pop("object"), "qualifiers": groups, "confidence": 0.75})
+    return found
+
+
+def derived_relations(fields: DataFrame, entities: DataFrame) -> DataFrame:
+    """document_id, subject, name, object: signed (a signer), party_to (an organisation) and governed_by (a jurisdiction), from
+    what was extracted of a document."""
+    people = entities.where("type = 'person' AND role = 'signer'").select("document_id", F.col("value").alias("subject"), F.lit("signed").alias("name"), F.col("document_id").alias("object"))
+    parties = entities.where("type = 'organization'").select("document_id", F.col("value").alias("subject"), F.lit("party_to").alias("name"), F.col("document_id").alias("object"))
+    law = fields.where("name = 'jurisdiction' AND value_text IS NOT NULL").select("document_id", F.col("document_id").alias("subject"), F.lit("governed_by").alias("name"), F.col("value_text").alias("object"))
+    return people.unionByName(parties).unionByName(law).distinct()
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     found = []
     for m in _SENTENCE.finditer(text):

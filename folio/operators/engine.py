@@ -24,6 +24,7 @@ from folio.operators import postings as P
 from folio.operators import rank as R
 from folio.operators import retrieve as V
 from folio.operators.index import Index
+from folio.operators.meaning import Retriever, Scorer, reranked
 from folio.plans.plan import STRATEGIES, QueryPlan, identifier_only, plan_query, validate
 from folio.sources.tables import table
 
@@ -61,10 +62,11 @@ class TenantCatalog:
 
 
 class Engine:
-    """Answers the questions of one tenant. fields: the tenant's facts, for amounts and dates."""
+    """Answers the questions of one tenant. fields: the tenant's facts, for amounts and dates; retrievers: further ones,
+    run where the plan names them or knows no such name; scorer: puts the head of the results in order of relevance."""
 
-    def __init__(self, catalog: TenantCatalog, fields: DataFrame | None = None):
-        self.catalog, self.fields = catalog, fields
+    def __init__(self, catalog: TenantCatalog, fields: DataFrame | None = None, retrievers: tuple[Retriever, ...] = (), scorer: Scorer | None = None):
+        self.catalog, self.fields, self.retrievers, self.scorer = catalog, fields, retrievers, scorer
 
     def plan(self, question: str, today: date | None = None) -> QueryPlan:
         """The validated plan; organisations of the tenant that a computation names become a condition."""
@@ -106,8 +108,8 @@ class Engine:
 
     def candidates(self, plan: QueryPlan, strategies: list[str] | None = None) -> DataFrame:
         """CANDIDATE rows of the retrievers that the plan (or ``strategies``) names, in one union, inside the
-        plan's filters. Scores are those of the whole tenant, whatever the filters. There is no semantic
-        retriever: questions have no vectors here."""
+        plan's filters. Scores are those of the whole tenant, whatever the filters. A semantic retriever needs an
+        embedder and is one of the further ones."""
         chosen = strategies or plan.strategies or list(STRATEGIES)
         scope, index = self.scope(plan), self.catalog.index()
         parts: list[DataFrame] = [self.catalog.spark.createDataFrame([], CANDIDATE)]
@@ -163,6 +165,7 @@ class Engine:
             add(index.text_of(held).where("unit_type = 'document'"), "metadata", "metadata", plan.text)
         if not (words or plan.phrases or plan.identifiers) or plan.strategies == ["structured"]:
             add(scope, "structured", "structured", "", F.lit(0.0))
+        parts += [r.retrieve(self, plan) for r in self.retrievers if r.name in chosen or r.name not in STRATEGIES]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -267,7 +270,8 @@ class Engine:
         if plan.intent == "lookup" and plan.lookup_field and self.fields is not None:
             return self.lookup(plan, limit)
         if plan.intent in ("search", "fact", "lookup"):
-            return self.search(plan, limit)
+            found = self.search(plan, limit)
+            return found if self.scorer is None else reranked(found, plan.question, self.scorer)
         scope = self.document_set(plan)
         name = plan.aggregate_field or "total_amount"
         if plan.compare and self.fields is not None:

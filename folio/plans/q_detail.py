@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.functions import extract as X
 from folio.functions import text as T
+from folio.functions.chunks import document_unit, labelled_row
 from folio.operators import answers as A
+from folio.operators.meaning import embedding_input
 from folio.plans import model as M
 from folio.plans.registry import query
 from folio.sources.tables import table
@@ -79,3 +82,31 @@ def audit_events(s, d):
 def stats_rollup(s, d):
     """An extension: subtotals in one pass."""
     return M.documents(s, d).rollup("kind", "status").agg(F.count("*").alias("documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"))
+
+
+@query("SELECT document_id, concat_ws(chr(10), title, replace(doc_type, '_', ' '), filename, 'pages: ' || page_count) AS text FROM documents")
+def document_units(s, d):
+    pages = F.concat(F.lit("pages: "), F.col("page_count").cast("string"))
+    return M.documents(s, d).select("document_id", document_unit(F.col("title"), F.col("doc_type"), F.col("filename"), pages).alias("text"))
+
+
+@query(
+    f"WITH {M.UNITS_SQL} SELECT unit_id, array_to_string(list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] = '' THEN NULL WHEN coalesce(h[i], '') <> '' THEN h[i] || ': ' || r[i] ELSE r[i] END), lambda x: x IS NOT NULL), '; ') AS text"
+    " FROM (SELECT unit_id, list_transform(string_split(context, '|'), lambda x: trim(x)) AS h, list_transform(string_split(text, '|'), lambda x: trim(x)) AS r FROM u WHERE unit_type = 'table_row' AND context IS NOT NULL)"
+)
+def labelled_rows(s, d):
+    return M.units(s, d).where("unit_type = 'table_row' AND context IS NOT NULL").select("unit_id", labelled_row(F.col("context"), F.col("text")).alias("text"))
+
+
+@query(f"WITH {M.UNITS_SQL} SELECT unit_id, concat_ws(chr(10), nullif(title, ''), nullif(context, ''), u.text) AS text FROM u JOIN documents USING (document_id)")
+def embedding_inputs(s, d):
+    docs = M.documents(s, d).select("document_id", "title")
+    return M.units(s, d).join(docs, "document_id").select("unit_id", embedding_input(F.col("title"), F.col("context"), F.col("text")).alias("text"))
+
+
+@query(
+    "SELECT DISTINCT document_id, value AS subject, CASE WHEN type = 'organization' THEN 'party_to' ELSE 'signed' END AS name, document_id AS object FROM entities WHERE type = 'organization' OR (type = 'person' AND role = 'signer')"
+    f" UNION ALL SELECT document_id, document_id, 'governed_by', jurisdiction FROM (WITH {M.FIELDS_SQL} SELECT DISTINCT document_id, jurisdiction FROM docs)"
+)
+def derived_relations(s, d):
+    return X.derived_relations(M.fields(s, d), table(s, d, "entities"))

@@ -3,6 +3,8 @@ partitions concerned; all are idempotent, so a repeated micro-batch changes noth
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,3 +57,9 @@ def write(df: DataFrame, path: str, partition: str | None = "tenant_id") -> None
     """Parquet, one folder a tenant; only the partitions in df are overwritten."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def append_audit(spark, path: str, actor: str, action: str, target: str, detail: dict) -> None:
+    """One line of the audit, appended; lines are never changed."""
+    row = [(actor, action, target, json.dumps(detail, sort_keys=True))]
+    spark.createDataFrame(row, "actor string, action string, target string, detail string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
