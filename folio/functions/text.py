@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,9 +47,37 @@ def normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else normalize_exact(t))
 
 
+@lru_cache(maxsize=1)
+def compatible() -> tuple[str, str]:
+    """Characters whose compatible, case-folded form (NFKC) is another single character than their lower case, and those forms;
+    by rule from the Unicode tables."""
+    some = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    found = [(c, unicodedata.normalize("NFKC", c).casefold()) for c in some]
+    found = [(c, to) for c, to in found if len(to) == 1 and to not in (c, c.lower())]
+    return "".join(c for c, _ in found), "".join(to for _, to in found)
+
+
+# Fixed value: characters of words whose form has several characters.
+JOINED = "ßẞﬀﬁﬂﬃﬄﬅﬆŉǰĳĲ½¼¾№™"
+
+
+def joined_forms() -> dict[str, str]:
+    return {c: unicodedata.normalize("NFKC", c).casefold() for c in JOINED}
+
+
+def casefold(c: Column) -> Column:
+    """Compatible forms and case folding in generated code: NFKC character by character (letters with separate accents
+    stay as they are; normalize_udf composes them too)."""
+    plain = F.lower(F.translate(c, *compatible()))
+    joined = plain
+    for sign, form in joined_forms().items():
+        joined = F.replace(joined, F.lit(sign), F.lit(form))
+    return F.translate(F.when(plain.rlike(f"[{JOINED}]"), joined).otherwise(plain), "ς", "σ")
+
+
 def tokens(c: Column) -> Column:
-    """Words in order: maximal runs of letters and digits, lower-cased; empty for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN})")), F.array().cast("array<string>"))
+    """Words in order: maximal runs of letters and digits of the case-folded text; empty for null."""
+    return F.coalesce(F.regexp_extract_all(casefold(c), F.lit(f"({TOKEN})")), F.array().cast("array<string>"))
 
 
 def camel_variants(c: Column) -> Column:

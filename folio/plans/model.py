@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.operators.index import Index
 from folio.operators.postings import latest
 from folio.sources.tables import table
@@ -38,9 +39,23 @@ def fold_sql(words: str) -> str:
       folds AS (SELECT word, CASE WHEN length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) > 0 AND 2 * length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) >= length(word) THEN f4 ELSE word END AS folded FROM d4)"""
 
 
-UNITS_SQL = """
+def folded_sql(text: str) -> str:
+    """SQL of casefold()."""
+    written, meant = (x.replace("'", "''") for x in T.compatible())
+    found = f"lower(translate({text}, '{written}', '{meant}'))"
+    for sign, form in T.joined_forms().items():
+        found = f"replace({found}, '{sign}', '{form}')"
+    return f"replace({found}, 'ς', 'σ')"
+
+
+def words_sql(text: str) -> str:
+    """SQL of tokens()."""
+    return f"regexp_extract_all({folded_sql(text)}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+UNITS_SQL = f"""
   u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY stored_at DESC NULLS LAST) AS _n FROM units) WHERE _n = 1),
-  w AS (SELECT unit_id, document_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM u)
+  w AS (SELECT unit_id, document_id, text, {words_sql("text")} AS words FROM u)
 """
 
 

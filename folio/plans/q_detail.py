@@ -18,7 +18,7 @@ _HITS = ", ".join(f"row(len(list_filter(w, lambda x: x IN ({', '.join(chr(39) +
 
 
 @query(
-    f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, len(w) AS n, list_max([{_HITS}]) AS best FROM t)"
+    f"WITH t AS (SELECT doc_id, {M.words_sql('text')} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, len(w) AS n, list_max([{_HITS}]) AS best FROM t)"
     " SELECT doc_id, CASE WHEN n >= 8 AND best[1] >= greatest(2.0, 0.04 * n) THEN best[2] ELSE 'und' END AS language FROM b"
 )
 def language_by_words(s, d):

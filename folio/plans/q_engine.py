@@ -52,7 +52,7 @@ def engine_typo(s, d):
 
 @query(
     "SELECT DISTINCT document_id FROM entities WHERE type = 'organization'"
-    f" AND trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(lower(value_norm), '[\\p{{L}}\\p{{N}}]+'), ' '), '\\b(?:{T.LEGAL_FORMS})\\b', ' ', 'g'), '\\s+', ' ', 'g')) = 'zenka ouvri services' AND {INDEXED}"
+    f" AND trim(regexp_replace(regexp_replace(array_to_string({M.words_sql('value_norm')}, ' '), '\\b(?:{T.LEGAL_FORMS})\\b', ' ', 'g'), '\\s+', ' ', 'g')) = 'zenka ouvri services' AND {INDEXED}"
 )
 def engine_entity(s, d):
     """The question leaves the legal form out."""

@@ -49,7 +49,7 @@ def filter_signer(s, d):
 
 
 @query(
-    f"WITH {M.UNITS_SQL}, p AS (SELECT document_id FROM entities WHERE type IN ('person', 'organization') AND contains(array_to_string(regexp_extract_all(lower(value_norm), '[\\p{{L}}\\p{{N}}]+'), ' '), 'services corp')"
+    f"WITH {M.UNITS_SQL}, p AS (SELECT document_id FROM entities WHERE type IN ('person', 'organization') AND contains(array_to_string({M.words_sql('value_norm')}, ' '), 'services corp')"
     " UNION SELECT document_id FROM w WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' services corp ')) SELECT document_id FROM documents WHERE document_id IN (SELECT document_id FROM p)"
 )
 def filter_party(s, d):

@@ -34,14 +34,14 @@ def partial_identifier(s, d):
 
 
 @query(
-    "WITH f AS (SELECT document_id, regexp_extract_all(lower(replace(filename, '_', ' ')), '[\\p{L}\\p{N}]+') AS w FROM documents)"
+    f"WITH f AS (SELECT document_id, {M.words_sql("replace(filename, '_', ' ')")} AS w FROM documents)"
     " SELECT document_id, CASE WHEN contains(array_to_string(w, ' '), 'policy branch') THEN 'filename' ELSE 'filename_terms' END AS match_type FROM f WHERE contains(array_to_string(w, ' '), 'policy branch') OR list_has_all(w, ['policy', 'branch'])"
 )
 def filename_match(s, d):
     return R.filename(M.documents(s, d), ["policy", "branch"]).select("document_id", "match_type")
 
 
-@query("SELECT DISTINCT document_id, length('andrew tuvglinesibcald') AS score FROM entities WHERE type IN ('person', 'organization', 'jurisdiction') AND array_to_string(regexp_extract_all(lower(value_norm), '[\\p{L}\\p{N}]+'), ' ') = 'andrew tuvglinesibcald'")
+@query(f"SELECT DISTINCT document_id, length('andrew tuvglinesibcald') AS score FROM entities WHERE type IN ('person', 'organization', 'jurisdiction') AND array_to_string({M.words_sql('value_norm')}, ' ') = 'andrew tuvglinesibcald'")
 def entity_documents(s, d):
     found = R.entity(s, table(s, d, "entities"), "contracts with Andrew Tuvglinesibcald")
     return found.select("document_id", F.col("raw_score").cast("int").alias("score"))
@@ -82,7 +82,7 @@ def stem_postings(s, d):
     return M.index(s, d).postings("s", [St.stem("invoices")]).select("document_id", "unit_id", "tf")
 
 
-@query(f"{W} SELECT document_id, 'n' AS kind, t AS term, count(*) AS tf FROM (SELECT document_id, unnest(regexp_extract_all(lower(replace(filename, '_', ' ')), '[\\p{{L}}\\p{{N}}]+')) AS t FROM documents) GROUP BY ALL")
+@query(f"{W} SELECT document_id, 'n' AS kind, t AS term, count(*) AS tf FROM (SELECT document_id, unnest({M.words_sql("replace(filename, '_', ' ')")}) AS t FROM documents) GROUP BY ALL")
 def filename_postings(s, d):
     return M.index(s, d).postings("n").select("document_id", F.lit("n").alias("kind"), "term", "tf")
 
@@ -91,7 +91,7 @@ LEGAL = T.LEGAL_FORMS
 
 
 @query(
-    "WITH n AS (SELECT DISTINCT value, concat_ws(' ', array_to_string(regexp_extract_all(lower(value), '[\\p{L}\\p{N}]+'), ' '), nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(value, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), lambda x: lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g'))))), ' '), '')) AS name FROM entities WHERE type = 'organization')"
+    f"WITH n AS (SELECT DISTINCT value, concat_ws(' ', array_to_string({M.words_sql('value')}, ' '), nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(value, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1), lambda x: lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g'))))), ' '), '')) AS name FROM entities WHERE type = 'organization')"
     f" SELECT value, coalesce(nullif(trim(regexp_replace(regexp_replace(name, '\\b(?:{LEGAL})\\b', ' ', 'g'), '\\s+', ' ', 'g')), ''), name) AS name FROM n"
 )
 def organization_names(s, d):

@@ -127,7 +127,7 @@ def camel_variants(s, d):
     return table(s, d, "entities").select("value").distinct().select("value", T.camel_variants(F.col("value")).alias("variants"))
 
 
-@query(f"""WITH {M.fold_sql("SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM pages WHERE kind = 'ocr'")} SELECT word, folded FROM folds""")
+@query(f"""WITH {M.fold_sql(f"SELECT DISTINCT unnest({M.words_sql('text')}) AS word FROM pages WHERE kind = 'ocr'")} SELECT word, folded FROM folds""")
 def fold_tokens(s, d):
     words = table(s, d, "pages").where("kind = 'ocr'").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", T.fold(F.array("word"))[0].alias("folded"))
@@ -138,7 +138,7 @@ def normalized_titles(s, d):
     return M.documents(s, d).where("title IS NOT NULL").select("document_id", T.normalize(F.col("title")).alias("title")).distinct()
 
 
-@query("SELECT document_id FROM documents WHERE list_has_all(regexp_extract_all(lower(filename), '[\\p{L}\\p{N}]+'), ['lease', 'agreement'])")
+@query(f"SELECT document_id FROM documents WHERE list_has_all({M.words_sql('filename')}, ['lease', 'agreement'])")
 def filename_terms(s, d):
     words = T.tokens(F.regexp_replace("filename", "_", " "))
     return M.documents(s, d).where(F.size(F.array_intersect(words, F.array(F.lit("lease"), F.lit("agreement")))) == 2).select("document_id")

@@ -1,5 +1,6 @@
 """The engine over a small collection of one tenant, with its index."""
 
+import unicodedata
 from datetime import date
 
 import pytest
@@ -93,3 +94,12 @@ def test_helpers(spark):
     assert A.counted_noun("how many forklifts are there") == "forklifts"
     labels = [C.period_label(*map(date.fromisoformat, x)) for x in (("2024-01-01", "2024-12-31"), ("2024-04-01", "2024-06-30"), ("2024-02-01", "2024-02-29"), ("2024-02-03", "2024-02-03"), ("2024-02-03", "2024-03-01"))]
     assert labels == ["2024", "Q2 2024", "2024-02", "2024-02-03", "2024-02-03 to 2024-03-01"]
+
+
+def test_tokens_equal_those_of_a_question(spark):
+    texts = ["Straße GROẞ ﬁle Ｗｏｒｄ m² ΟΔΟΣ ½ ǅ №5 foo_bar İstanbul", "naïve Café x", "ﬃ ŉ ĳs Ⅷ ㎏"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tokens(F.col("t")).alias("w")).collect()
+    assert rows[0]["w"][:7] == ["strasse", "gross", "file", "word", "m2", "οδοσ", "1"]
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("text", T.tokens(F.col("text")).alias("w")).collect()
+    other = [r for r in documents if r["w"] != T.split_words(r["text"])]
+    assert all(any(unicodedata.combining(c) or unicodedata.category(c) == "Cf" for c in r["text"]) for r in other)  # separate accents, invisible signs
