@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.plans.plan import CURRENCY, MONTHS, TIMES
@@ -245,5 +245,23 @@ def classify(title: str, text: str) -> tuple[str, float, str]:
     scores = sorted(((sum(w * (min(3, low.count(k)) + 2 * (k in head)) for k, w in words.items()), t) for t, words in TYPE_WORDS.items()), reverse=True)
     (top, kind), (second, _) = scores[:2]
     if top >= 2.5:
-        return kind, round(max(0.35, min(0.98, 0.55 + 0.08 * top) * (1 - 0.45 * second / top)), 4), "rules"
+        return kind, round(max(0.35, min(0.98, 0.55 + 0.08 * top) * (1 - 0.45 * second / top)), 6), "rules"
     return (kind, 0.4, "rules_weak") if top > 0 else ("other", 0.5, "none")
+
+
+def classified(title: Column, text: Column) -> Column:
+    """classify() as a column: struct(doc_type, confidence, method) of a document's title and whole text."""
+    low, head = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
+    scores = []
+    for kind, words in TYPE_WORDS.items():
+        score = F.lit(0.0)
+        for k, w in words.items():
+            times = (F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)
+            score = score + w * (F.least(F.lit(3.0), times) + F.when(head.contains(k), 2.0).otherwise(0.0))
+        scores.append(F.struct(score.alias("score"), F.lit(kind).alias("kind")))
+    ranked = F.sort_array(F.array(*scores), asc=False)
+    top, second = ranked[0]["score"], ranked[1]["score"]
+    sure = F.round(F.greatest(F.lit(0.35), F.least(F.lit(0.98), 0.55 + 0.08 * top) * (1 - 0.45 * F.try_divide(second, top))), 6)
+    weak = F.when(top > 0, F.struct(ranked[0]["kind"].alias("doc_type"), F.lit(0.4).alias("confidence"), F.lit("rules_weak").alias("method")))
+    none = F.struct(F.lit("other").alias("doc_type"), F.lit(0.5).alias("confidence"), F.lit("none").alias("method"))
+    return F.when(top >= 2.5, F.struct(ranked[0]["kind"].alias("doc_type"), sure.alias("confidence"), F.lit("rules").alias("method"))).otherwise(F.coalesce(weak, none))

@@ -25,6 +25,7 @@ from folio.operators import rank as R
 from folio.operators import retrieve as V
 from folio.operators.index import Index
 from folio.operators.meaning import Retriever, Scorer, reranked
+from folio.plans.packs import Domain
 from folio.plans.plan import STRATEGIES, QueryPlan, identifier_only, plan_query, validate
 from folio.sources.tables import table
 
@@ -63,17 +64,19 @@ class TenantCatalog:
 
 class Engine:
     """Answers the questions of one tenant. fields: the tenant's facts, for amounts and dates; retrievers: further ones,
-    run where the plan names them or knows no such name; scorer: puts the head of the results in order of relevance."""
+    run where the plan names them or knows no such name; scorer: puts the head of the results in order of relevance;
+    domain: document types and concepts of merged packs."""
 
-    def __init__(self, catalog: TenantCatalog, fields: DataFrame | None = None, retrievers: tuple[Retriever, ...] = (), scorer: Scorer | None = None):
-        self.catalog, self.fields, self.retrievers, self.scorer = catalog, fields, retrievers, scorer
+    def __init__(self, catalog: TenantCatalog, fields: DataFrame | None = None, retrievers: tuple[Retriever, ...] = (), scorer: Scorer | None = None, domain: Domain | None = None):
+        self.catalog, self.fields, self.retrievers, self.scorer, self.domain = catalog, fields, retrievers, scorer, domain
 
     def plan(self, question: str, today: date | None = None) -> QueryPlan:
         """The validated plan; organisations of the tenant that a computation names become a condition."""
-        plan = plan_query(question, today)
+        types = self.domain.type_terms() if self.domain else {}
+        plan = plan_query(question, today, types=types)
         if plan.intent in COMPUTED and plan.text:
-            plan = plan_query(question, today, self.organizations(question))
-        return validate(plan)
+            plan = plan_query(question, today, self.organizations(question), types)
+        return validate(plan, types)
 
     def organizations(self, question: str) -> tuple[str, ...]:
         """Names of the tenant's organisations (without legal forms) that stand in the question: at most its word groups."""
@@ -156,7 +159,7 @@ class Engine:
         if "entity" in chosen:
             add(V.entity(self.catalog.spark, self.catalog.table("entities"), plan.question).drop("unit_id"), "entity", "entity", "", "raw_score")
         if "contextual" in chosen:
-            for _, kind, ways in V.concepts_of(plan.question):
+            for _, kind, ways in V.concepts_of(plan.question, self.domain):
                 add(self.catalog.table("clauses").where(F.col("clause_type") == kind), "contextual", "concept_clause", kind)
                 for way in ways:
                     add(index.phrase(way), "contextual", "concept", way, F.lit(0.5))
@@ -176,7 +179,7 @@ class Engine:
         f = plan.filters
         soft = self.catalog.table("documents").where(F.col("doc_type").isin(f.doc_types)) if f.doc_types and not f.hard else None
         words = [w for w in plan.text.split() if w not in T.STOPWORDS]
-        ways = {w for name, _, said in V.concepts_of(plan.question) for way in (name, *said) for w in way.split()}
+        ways = {w for name, _, said in V.concepts_of(plan.question, self.domain) for way in (name, *said) for w in way.split()}
         unmatched = bool(self.catalog.index().unknown([w for w in words if w not in ways])) if words and "contextual" in plan.strategies else False
         return R.fuse(candidates, plan.exact_intent, identifiers_only=identifier_only(plan), phrased=bool(plan.phrases), unmatched=unmatched, soft=soft, few=few)
 

@@ -57,11 +57,9 @@ class Index:
         self = cls(spark, path, tenant)
         self._owned(own).hint("rebalance", "bucket").sortWithinPartitions("bucket", "unit_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/units")
         stored = self.units()
-        words = P.postings(stored, "wfir")
-        lengths = F.size(T.tokens(F.col("text"))).alias("length")
+        words = P.postings(stored, "wfir").select("kind", "term", "unit_id", "document_id", "tf", "length")
         names = documents.select("document_id", F.explode(T.tokens(F.regexp_replace("filename", "_", " "))).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("tf"))
         names = names.select(F.lit("n").alias("kind"), "term", F.lit(None).cast("string").alias("unit_id"), "document_id", "tf", F.lit(0).alias("length"))
-        words = words.join(stored.select("unit_id", lengths), "unit_id").select("kind", "term", "unit_id", "document_id", "tf", "length")
         self._write(words.unionByName(names), "overwrite")
         self._tables.clear()
         # Stems are taken of the different words only.

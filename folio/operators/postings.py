@@ -23,8 +23,9 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def postings(units: DataFrame, kinds: str = "wfir") -> DataFrame:
-    """kind, term, unit_id, document_id, tf: w words, f folded words that are no word of the unit, i
-    identifiers, r reversed words with a digit. One pass over the units, one shuffle of partial counts."""
+    """kind, term, unit_id, document_id, length (words of the unit), tf: w words, f folded words that are no word of the
+    unit, i identifiers, r reversed words with a digit. Units are partitioned by their id before they are taken
+    apart, so the counts of a unit need no shuffle of their own."""
     words = T.tokens(F.col("text"))
     terms = {
         "w": F.col("_words"), "f": F.array_except(T.fold(F.col("_words")), F.col("_words")), "i": T.identifiers(F.col("text")),
@@ -34,8 +35,9 @@ def postings(units: DataFrame, kinds: str = "wfir") -> DataFrame:
     def entries(kind: str) -> Column:
         return F.transform(terms[kind], lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
-    every = units.select("unit_id", "document_id", "text", words.alias("_words")).select("unit_id", "document_id", F.inline(F.concat(*map(entries, kinds))))
-    return every.groupBy("kind", "term", "unit_id", "document_id").agg(F.count("*").alias("tf"))
+    base = units.select("unit_id", "document_id", "text").repartition("unit_id").withColumn("_words", words)
+    every = base.select("unit_id", "document_id", F.size("_words").alias("length"), F.inline(F.concat(*map(entries, kinds))))
+    return every.groupBy("kind", "term", "unit_id", "document_id", "length").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import postings as P
 from folio.operators.rank import longest_names
+from folio.plans.packs import Domain
 
 # Concepts of the domain with the clause type they name and the ways to say them.
 CONCEPTS = {
@@ -65,10 +66,12 @@ def entity(spark: SparkSession, entities: DataFrame, question: str) -> DataFrame
     return found.select("document_id", F.lit(None).cast("string").alias("unit_id"), F.lit("entity").alias("match_type"), F.length("name").cast("double").alias("raw_score"), "span.*")
 
 
-def concepts_of(question: str) -> list[tuple[str, str, tuple[str, ...]]]:
-    """(name, clause type, ways to say it) of the concepts that a question names."""
+def concepts_of(question: str, domain: Domain | None = None) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(name, clause type, ways to say it) of the concepts that a question names; those of a domain are added to the
+    common ones, their clause type has their name."""
     low = T.normalize_exact(question)
-    return [(name, kind, ways) for name, (kind, ways) in CONCEPTS.items() if name in low or any(w in low for w in ways)]
+    known = CONCEPTS | ({name: (name, ways) for name, ways in domain.concepts.items()} if domain else {})
+    return [(name, kind, ways) for name, (kind, ways) in known.items() if name in low or any(w in low for w in ways)]
 
 
 def contextual(units: DataFrame, clauses: DataFrame, question: str) -> DataFrame:

@@ -15,6 +15,10 @@ class Domain:
     concepts: dict[str, tuple[str, ...]] = field(default_factory=dict)
     cues: dict[str, str] = field(default_factory=dict)
 
+    def type_terms(self) -> dict[str, str]:
+        """Ways to name a document type in a question: its name in words, singular and plural."""
+        return {form: kind for kind in self.types for form in (kind.replace("_", " "), f"{kind.replace('_', ' ')}s")}
+
     def concept_of(self, question: str) -> str | None:
         """The concept whose longest way of saying stands in a normalized question."""
         found = [(len(way), name) for name, ways in self.concepts.items() for way in ways if way in question]

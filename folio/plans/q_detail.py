@@ -110,3 +110,18 @@ def embedding_inputs(s, d):
 )
 def derived_relations(s, d):
     return X.derived_relations(M.fields(s, d), table(s, d, "entities"))
+
+
+def _score_sql(words: dict[str, float]) -> str:
+    return " + ".join(["0.0::DOUBLE", *(f"{w}::DOUBLE * (least(3.0::DOUBLE, (length(low) - length(replace(low, '{k}', ''))) / {len(k)}.0::DOUBLE) + CASE WHEN contains(head, '{k}') THEN 2.0 ELSE 0.0 END)" for k, w in words.items())])
+
+
+@query(
+    "WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, lower(coalesce(title, '')) AS head FROM documents),"
+    f" r AS (SELECT doc_id, list_sort([{', '.join(f"{{'score': {_score_sql(words)}, 'kind': '{kind}'}}" for kind, words in X.TYPE_WORDS.items())}], 'DESC') AS s FROM t),"
+    " f AS (SELECT doc_id, s[1].kind AS kind, s[1].score AS top, s[2].score AS second FROM r)"
+    " SELECT doc_id, CASE WHEN top > 0 THEN kind ELSE 'other' END AS doc_type, CASE WHEN top >= 2.5 THEN round(greatest(0.35, least(0.98, 0.55 + 0.08 * top) * (1 - 0.45 * second / top)), 6) WHEN top > 0 THEN 0.4 ELSE 0.5 END AS confidence,"
+    " CASE WHEN top >= 2.5 THEN 'rules' WHEN top > 0 THEN 'rules_weak' ELSE 'none' END AS method FROM f"
+)
+def document_types(s, d):
+    return M.documents(s, d).select("doc_id", X.classified(F.col("title"), F.col("text")).alias("c")).select("doc_id", "c.*")

@@ -2,6 +2,7 @@ from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folio.functions import extract as X
 from folio.functions import text as T
@@ -93,3 +94,9 @@ def test_engine_stays_inside_its_tenant(spark):
     plan = engine.candidates(engine.plan("short notice"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= plan.count(tenant)
     assert engine.run("documents by type").count() > 0
+
+
+def test_classes_as_columns_equal_those_in_python(spark):
+    rows = [("Memo", "a note on things"), ("NDA", "non-disclosure of confidential information nda nda nda nda"), (None, "nothing"), ("Report", "summary"), ("", ""), ("Lease agreement", "the landlord and the tenant pay rent " * 5)]
+    found = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, title string, text string").select("k", X.classified(F.col("title"), F.col("text")).alias("c")).orderBy("k").collect()
+    assert [tuple(r["c"]) for r in found] == [X.classify(title or "", text) for title, text in rows]

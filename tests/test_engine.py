@@ -11,6 +11,7 @@ from folio.functions import text as T
 from folio.operators import answers as A
 from folio.operators import compute as C
 from folio.operators import rank as R
+from folio.plans.packs import Domain
 
 TODAY = date(2026, 1, 1)
 
@@ -103,3 +104,11 @@ def test_tokens_equal_those_of_a_question(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("text", T.tokens(F.col("text")).alias("w")).collect()
     other = [r for r in documents if r["w"] != T.split_words(r["text"])]
     assert all(any(unicodedata.combining(c) or unicodedata.category(c) == "Cf" for c in r["text"]) for r in other)  # separate accents, invisible signs
+
+
+def test_domain_of_packs(engine):
+    own = type(engine)(engine.catalog, domain=Domain(types={"warehouse_receipt": {}}, concepts={"confidentiality": ("hush hush",)}))
+    plan = own.plan("how many warehouse receipts", TODAY)
+    assert plan.filters.doc_types == ["warehouse_receipt"] and plan.filters.hard and plan.text == ""
+    found = {(r["document_id"], r["match_type"]) for r in own.candidates(own.plan("is it hush hush", TODAY), ["contextual"]).collect()}
+    assert ("d4", "concept_clause") in found
