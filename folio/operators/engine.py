@@ -119,21 +119,27 @@ class Engine:
 
         def add(found: DataFrame, retriever: str, match: str | None, matched: str = "", score: str | Column | None = None) -> None:
             raw = F.lit(1.0) if score is None else F.col(score) if isinstance(score, str) else score
-            held = set(found.columns)
-            spans = [(F.col(c) if c in held else F.lit(None)).cast("int").alias(c) for c in ("page", "char_start", "char_end")] if match in (None, "entity", "concept_clause") else [F.lit(None).cast("int").alias(c) for c in ("page", "char_start", "char_end")]
-            unit = F.col("unit_id") if "unit_id" in held else F.lit(None).cast("string")
+            columns = set(found.columns)
+            spans = [(F.col(c) if c in columns else F.lit(None)).cast("int").alias(c) for c in ("page", "char_start", "char_end")] if match in (None, "entity", "concept_clause") else [F.lit(None).cast("int").alias(c) for c in ("page", "char_start", "char_end")]
+            unit = F.col("unit_id") if "unit_id" in columns else F.lit(None).cast("string")
             kind = F.col("match_type") if match is None else F.lit(match)
             parts.append(found.select("document_id", unit.alias("unit_id"), F.lit(retriever).alias("retriever"), kind.alias("match_type"), raw.cast("double").alias("raw_score"), F.lit(matched).alias("matched"), *spans))
 
         words = list(dict.fromkeys(plan.text.split()))
+        forms = T.join_variants(words)
+        held = index.known([w for t in (*plan.phrases, *words, *forms) for w in T.split_words(t)])
+
+        def may_hold(text: str) -> bool:
+            return all(w in held for w in T.split_words(text))
+
         if "exact" in chosen:
-            for phrase in plan.phrases:
+            for phrase in filter(may_hold, plan.phrases):
                 add(index.phrase(phrase), "exact", "exact_phrase", phrase)
             for identifier in plan.identifiers:
                 add(index.identifier(identifier), "exact", "exact_identifier", identifier)
-            if len(words) == 1:
+            if len(words) == 1 and may_hold(plan.text):
                 add(index.ranked(words), "exact", "exact_term", words[0], "score")
-            if len(words) >= 2:
+            if len(words) >= 2 and may_hold(plan.text):
                 add(index.phrase(plan.text), "exact", "exact_phrase", plan.text)
             named = T.split_words(" ".join([*plan.phrases, plan.text]))
             named = [w for w in named if w not in T.STOPWORDS] or named
@@ -146,14 +152,15 @@ class Engine:
             need = max(2, -(-3 * len(stems) // 5)) if len(stems) >= 3 and not plan.phrases else len(stems)
             scored = index.ranked(stems, need, "s")
             add(scored.withColumn("match_type", F.when(F.col("matched") == len(stems), "all_terms").otherwise("most_terms")), "lexical", None, plan.text, "score")
-            for form in T.join_variants(words):
+            for form in filter(may_hold, forms):
                 add(index.phrase(form), "lexical", "joined_form", form)
         if "fuzzy" in chosen and words:
             add(index.folded(plan.text.split()), "fuzzy", "ocr_tolerant", plan.text)
             for word in words:
                 if V.is_part(word):
                     add(index.part(word), "fuzzy", "partial_identifier", word)
-            meant = {c: w for w in words if len(w) >= 5 and not w.isdigit() for c in index.corrections(w)} if len(words) <= MOST_CORRECTED else {}
+            wrong = [w for w in words if w not in held and len(w) >= 5 and not w.isdigit()] if len(words) <= MOST_CORRECTED else []
+            meant = {c: w for w in wrong for c in index.corrections(w)}
             if meant:  # dropped by fuse where anything else is found
                 add(index.ranked(words, same=meant), "fuzzy", "fuzzy", " ".join(meant), "score")
         if "entity" in chosen:
@@ -163,9 +170,9 @@ class Engine:
                 add(self.catalog.table("clauses").where(F.col("clause_type") == kind), "contextual", "concept_clause", kind)
                 for way in ways:
                     add(index.phrase(way), "contextual", "concept", way, F.lit(0.5))
-        if "metadata" in chosen and words:
-            held = index.postings("w", words).groupBy("unit_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
-            add(index.text_of(held).where("unit_type = 'document'"), "metadata", "metadata", plan.text)
+        if "metadata" in chosen and words and may_hold(plan.text):
+            whole = index.postings("w", words).groupBy("unit_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+            add(index.text_of(whole).where("unit_type = 'document'"), "metadata", "metadata", plan.text)
         if not (words or plan.phrases or plan.identifiers) or plan.strategies == ["structured"]:
             add(scope, "structured", "structured", "", F.lit(0.0))
         parts += [r.retrieve(self, plan) for r in self.retrievers if r.name in chosen or r.name not in STRATEGIES]

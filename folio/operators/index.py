@@ -171,10 +171,14 @@ class Index:
         words = list(dict.fromkeys(words))
         return self.postings("n", words).groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("document_id")
 
+    def known(self, words: list[str]) -> set[str]:
+        """Those of the words that some unit holds."""
+        if not words:
+            return set()
+        return {r["term"] for r in self.terms("w").where(F.col("term").isin(sorted(set(words)))).select("term").collect()}
+
     def corrections(self, word: str, most: int = 5) -> list[str]:
-        """Known words that an unknown one may be a typing error of; none for a known word. At most ``most`` are reported."""
-        if self.postings("w", [word]).limit(1).count():
-            return []
+        """Known words that an unknown one may be a typing error of. At most ``most`` are reported."""
         return [r["term"] for r in P.corrections(P.vocabulary(self.terms("w")), word, most).collect()]
 
     def unknown(self, words: list[str]) -> list[str]:
