@@ -29,11 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.durable import materialize
-from folio.llm.words import WORD, rows
+from folio.llm.words import rows
 
 #: Words of a shingle, similarity, least words of a text, shared index entries that are guaranteed.
 SHINGLE, SIMILARITY, LEAST_WORDS, SHARED = 4, 0.6, 40, 3
@@ -42,36 +43,69 @@ SHINGLE, SIMILARITY, LEAST_WORDS, SHARED = 4, 0.6, 40, 3
 COUNTERS_A_RECORD, LEAST_COUNTERS, MOST_COUNTERS = 8, 1 << 20, 1 << 24
 #: Shingles of the collection for each position of the table of bytes.
 SHINGLES_A_POSITION = 16
+#: Bytes of the texts that are taken together.
+PART_BYTES = 1 << 20
 #: Length of a list of the index beyond which it is split over several tasks.
 LONG_LIST = 20_000
 #: Rows (of at most about 50 bytes) up to which a side of a join is sent to all executors.
 BROADCAST_ROWS = 200_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """For each code point whether it is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes; word hashes are remembered within a task."""
+    """Sets of 64-bit shingle hashes. Texts are taken together as one array of characters: words are found, hashed
+    (a polynomial of their characters) and combined without a step of Python for each word."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size = size
+        self.powers = np.ones(1, np.uint64)
 
     def __call__(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words and the sorted distinct shingle hashes."""
-        found = WORD.findall(text.lower())
-        if len(found) < self.size:
-            return len(found), np.empty(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known = {}
-        known = self.known
-        for w in set(found).difference(known):
-            known[w] = _hash(w)
-        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        words, shingles = self.several([text])
+        return int(words[0]), np.unique(shingles[0])
+
+    def several(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each text its number of words and the hashes of its shingles in order."""
+        lower = [t.lower() for t in texts]
+        stops = np.cumsum([len(t) + 1 for t in lower])
+        codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _in_words()[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edges = np.concatenate(([0], edges))
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]  # the last character is a line feed, so every word ends
+        last = np.searchsorted(starts, stops)
+        first = np.concatenate(([0], last[:-1]))
+        if not len(starts):
+            return last - first, [np.empty(0, np.uint64)] * len(texts)
+        if len(self.powers) < lengths.max():
+            more = np.full(int(lengths.max()), _BASE, np.uint64)
+            more[0] = 1
+            self.powers = np.cumprod(more)
+        begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+        h = np.add.reduceat((codes[inside].astype(np.uint64) + np.uint64(1)) * self.powers[place], begin)
+        h = _mixed(h)
         n = len(h) - self.size + 1
-        mixed = h[:n].copy()
+        if n < 1:
+            return last - first, [np.empty(0, np.uint64)] * len(texts)
+        shingles = h[:n].copy()
         for k in range(1, self.size):
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX + h[k : n + k]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
-        return len(found), np.unique(mixed ^ (mixed >> np.uint64(29)))
+            shingles = (shingles ^ (shingles >> np.uint64(29))) * _MIX + h[k : n + k]
+        shingles = _mixed(shingles)
+        return last - first, [shingles[a : max(a, b - self.size + 1)] for a, b in zip(first.tolist(), last.tolist())]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def _hash(word: str) -> int:
@@ -95,10 +129,11 @@ def _counts(texts: DataFrame, size: int, least: int, counters: int) -> np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total = Shingler(size), np.zeros(counters, np.uint32)
-        for batch in rows(batches):
-            several = [_salted(part, h) for part, (n, h) in zip(batch.column(0).to_pylist(), map(shingles, batch.column(1).to_pylist())) if n >= least]
+        for batch in _parts(batches):
+            words, found = shingles.several(batch.column(1).to_pylist())
+            several = [_salted(part, h) for part, n, h in zip(batch.column(0).to_pylist(), words, found) if n >= least]
             if several:
-                total += np.bincount((np.concatenate(several) % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
+                total += np.bincount((np.concatenate(several) & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
         if total.any():
             parts = [b.tobytes() for b in total.reshape(blocks, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
@@ -116,6 +151,17 @@ def _counts(texts: DataFrame, size: int, least: int, counters: int) -> np.ndarra
     return out.reshape(-1)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most 500 with about PART_BYTES of texts (the last column); a longer text is alone."""
+    for batch in rows(batches, 500):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES))
+            yield batch.slice(at, max(1, end - at))
+            at += max(1, end - at)
+
+
 def _power(least: float) -> int:
     """The least power of two that is not below ``least``."""
     return 1 << max(0, math.ceil(math.log2(max(1.0, least))))
@@ -171,34 +217,39 @@ def near_duplicates(
 
         shingles, weight, seen = Shingler(shingle), counts.value, set()
         number = TaskContext.get().partitionId() << 40
-        for batch in rows(batches, 1000):
-            out: list[list] = [[] for _ in range(9)]
-            for part, record, text in zip(*(c.to_pylist() for c in batch.columns)):
-                n, h = shingles(text)
+        for batch in _parts(batches):
+            out: list[list] = [[] for _ in range(8)]
+            every = [np.empty(0, np.int64)]
+            words, found = shingles.several(batch.column(2).to_pylist())
+            for part, record, text, n, h in zip(*(c.to_pylist() for c in batch.columns), words, found):
                 if n < least_words:
                     continue
+                h = np.unique(h)
                 one = _class(part, h)
-                entries = long = None
-                if one not in seen:  # copies within a task are indexed once
+                entries, long = every[0], None
+                new = one not in seen  # copies within a task are indexed once
+                if new:
                     seen.add(one)
                     placed = positional_bytes(_salted(part, h), positions)
                     times = weight[(placed & np.uint64(counters - 1)).astype(np.int64)]
                     order = np.argsort(times, kind="stable")[: _prefix(len(h), similarity, shared)]
                     entries, times = placed[order].view(np.int64), times[order]
-                    if (many := times > LONG_LIST).any():  # they stand last; frequent ones are split
-                        short = len(order) - int(many.sum())
+                    if times[-1] > LONG_LIST:  # frequent ones stand last; their lists are split
+                        short = len(order) - int((times > LONG_LIST).sum())
                         long = [{"entry": int(e), "at": short + k, "tasks": int(t) // LONG_LIST + 1} for k, (e, t) in enumerate(zip(entries[short:], times[short:]))]
                         entries = entries[:short]
                 number += 1
-                for column, value in zip(out, (part, record, one, _signed(_hash(text)), len(h), number, entries, long, entries is not None)):
+                every.append(entries)
+                for column, value in zip(out, (part, record, one, _signed(_hash(text)), len(h), number, long, new)):
                     column.append(value)
             listed = pa.list_(pa.struct([("entry", pa.int64()), ("at", pa.int32()), ("tasks", pa.int32())]))
-            kinds = (pa.string(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), listed, pa.bool_())
-            names = ["part", "record_id", "class_id", "text_id", "n", "number", "entries", "long", "indexed"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            kinds = (pa.string(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), listed, pa.bool_())
+            names = ["part", "record_id", "class_id", "text_id", "n", "number", "long", "indexed", "entries"]
+            entries = pa.ListArray.from_arrays(pa.array(np.cumsum([len(e) for e in every]), pa.int32()), pa.array(np.concatenate(every)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), entries], names)
 
     kind = source.schema["record_id"].dataType.simpleString()
-    schema = f"part string, record_id {kind}, class_id long, text_id long, n int, number long, entries array<long>, long array<struct<entry:long,at:int,tasks:int>>, indexed boolean"
+    schema = f"part string, record_id {kind}, class_id long, text_id long, n int, number long, long array<struct<entry:long,at:int,tasks:int>>, indexed boolean, entries array<long>"
     indexed = materialize(source.mapInArrow(index, schema))
     members = indexed.select("part", "class_id", "record_id", "text_id").distinct()
     # Of copies indexed by several tasks one stays. Only the others are joined, and they are few or,
@@ -250,10 +301,10 @@ def _verified(candidates: DataFrame, classes: DataFrame, source: DataFrame, simi
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
-        for batch in rows(batches, 1000):
+        for batch in _parts(batches):
             found: list[list] = [[], []]
-            for one, part, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h = shingles(text)[1]
+            for one, part, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles.several(batch.column(2).to_pylist())[1]):
+                h = np.unique(h)
                 if _class(part, h) == one:
                     found[0].append(one)
                     found[1].append(h.tobytes())
@@ -289,7 +340,9 @@ def _signed(value: int) -> int:
 
 
 def _class(part: str, hashes: np.ndarray) -> int:
-    return _signed(_hash(part + hashes.tobytes().hex()))
+    import xxhash
+
+    return _signed(xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass") + b"\0" + hashes.tobytes()))
 
 
 def linked_pairs(records: DataFrame, **options) -> DataFrame:

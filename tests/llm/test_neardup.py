@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from folio.llm.neardup import Shingler, grouped, linked_pairs, positional_bytes
+from folio.llm.words import words
 
 
 def brute(rows, similarity=0.6):
@@ -95,3 +96,16 @@ def test_links_come_from_the_positional_bytes(spark, monkeypatch):
     real = positional_bytes
     monkeypatch.setattr("folio.llm.neardup.positional_bytes", lambda h, positions: real(h * (h.sum() | np.uint64(1)), positions))  # bytes that no other record has
     assert linked_pairs(spark.createDataFrame(rows, "part string, record_id long, text string")).count() == 0
+
+
+def test_shingles_are_those_of_the_words(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["", "one", "a_b c-d É½² " * 3, "x" * 5000 + " y z w", "1 2 3 4", "\n\n", "İstanbul ΣΑΣ ss"]
+    counts, hashes = Shingler(4).several(texts)
+    names = {}
+    for text, n, h in zip(texts, counts, hashes):
+        w = words(text)
+        assert n == len(w) and len(h) == max(0, len(w) - 3)
+        for i, x in enumerate(h.tolist()):
+            assert names.setdefault(x, tuple(w[i : i + 4])) == tuple(w[i : i + 4])
+    assert len(set(names.values())) == len(names)
+    assert all(np.array_equal(np.unique(h), Shingler(4)(t)[1]) for t, h in zip(texts, hashes))
