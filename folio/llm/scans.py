@@ -36,7 +36,7 @@ SHARD = 50_000
 TEMPLATE_DOCUMENTS, TEMPLATE_SHARE = 3, 0.2
 #: Rows up to which the verdicts on words (about 60 bytes each) are sent to all executors; beyond, they are shuffled.
 BROADCAST_ROWS = 200_000
-#: Lines on either end of a page that are looked at together; where all are furniture, so many further ones are.
+#: Lines on either end of a page that are looked at first; where all are furniture, twice as many further ones are, and so on.
 EDGE = 3
 
 # What scanners confuse, as written:meant.
@@ -82,13 +82,13 @@ def page_number(line: str) -> bool:
     return bool(_NUMBER.fullmatch(line.strip()))
 
 
-def edge_lines(text: str, depth: int = 0) -> list[tuple[str, int, int, str, str, bool]]:
-    """(zone, place from the edge, line number, key, template, is a page number) of the outermost lines, those
-    before ``depth`` left out."""
+def edge_lines(text: str, depth: int = 0, count: int = EDGE) -> list[tuple[str, int, int, str, str, bool]]:
+    """(zone, place from the edge, line number, key, template, is a page number) of ``count`` lines from either edge,
+    after ``depth`` outer ones."""
     lines = text.split("\n")
     filled = [i for i, line in enumerate(lines) if line.strip()]
     found = []
-    for zone, some in (("top", filled[depth : depth + EDGE]), ("bottom", filled[::-1][depth : depth + EDGE])):
+    for zone, some in (("top", filled[depth : depth + count]), ("bottom", filled[::-1][depth : depth + count])):
         for place, i in enumerate(some, depth):
             line = lines[i].strip()
             gap = _GAP.search(line)
@@ -304,12 +304,12 @@ def cased(word: str, like: str) -> str:
 def _running(pages: DataFrame) -> DataFrame:
     """document_id, page, running (line numbers of furniture) of the pages that have any."""
 
-    def edges(depth: int):
+    def edges(depth: int, count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows(batches):
                 out: list[list] = [[] for _ in range(8)]
                 for document, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    for row in edge_lines(text, depth):
+                    for row in edge_lines(text, depth, count):
                         for column, value in zip(out, (document, page, *row)):
                             column.append(value)
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
@@ -318,18 +318,18 @@ def _running(pages: DataFrame) -> DataFrame:
         return run
 
     schema = "document_id string, page int, zone string, place int, line_no int, key string, template string, number boolean"
-    found, full, depth = None, None, 0
+    found, full, depth, count = None, None, 0, EDGE
     while True:
         some = pages if full is None else pages.join(full.select("document_id", "page").distinct(), ["document_id", "page"], "left_semi")
-        edge = some.select("document_id", "page", "text").mapInArrow(edges(depth), schema)
+        edge = some.select("document_id", "page", "text").mapInArrow(edges(depth, count), schema)
         if full is not None:
             edge = edge.join(full, ["document_id", "page", "zone"], "left_semi")
         zones = _zones(materialize(edge))
         found = zones if found is None else found.unionByName(zones)
-        full = zones.where(F.size("lines") == EDGE).select("document_id", "page", "zone")
+        full = zones.where(F.size("lines") == count).select("document_id", "page", "zone")
         if not full.limit(1).count():
             break
-        full, depth = materialize(full), depth + EDGE
+        full, depth, count = materialize(full), depth + count, 2 * count
     return found.groupBy("document_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("running")).where(F.size("running") > 0)
 
 
@@ -344,7 +344,7 @@ def _zones(edge: DataFrame) -> DataFrame:
     own = repeated.where("pages > 1").select("document_id", "zone", "key", F.lit(True).alias("own"))
     marked = edge.join(own, ["document_id", "zone", "key"], "left").join(templates.select("zone", "template", F.lit(True).alias("common")), ["zone", "template"], "left")
     marked = marked.withColumn("is", F.coalesce("own", F.lit(False)) | F.coalesce("common", F.lit(False)) | F.col("number"))
-    # Furniture stands outermost: a line counts only if all lines farther out do (EDGE lines a zone).
+    # Furniture stands outermost: a line counts only if all lines farther out do.
     ordered = F.array_sort(F.collect_list(F.struct("place", "line_no", "is")))
     zones = marked.groupBy("document_id", "page", "zone").agg(ordered.alias("e"))
     outer = F.filter("e", lambda x: ~F.exists("e", lambda y: (y["place"] <= x["place"]) & ~y["is"]))

@@ -92,3 +92,10 @@ def test_errors_outside_the_table_and_deep_furniture(spark):
         assert r["text"] == f"The document shows {w} agreement of managers {w} document about document terms for {w} customers."
         assert [p["line_no"] for p in r["problems"] if p["problem"] == "running"] == [1, 2, 3, 4, 8]
         assert [p["line_no"] for p in r["problems"] if p["problem"] == "misread"] == [5, 6, 7]
+
+
+def test_pages_of_nothing_else_end(spark):
+    copy = "\n".join(f"{w} line of a copied page" for w in ("one two three four five six seven eight nine ten".split()))
+    rows = [("d", n, "ocr", copy) for n in (1, 2)] + [("d", 3, "ocr", "")]
+    out = repair_scans(spark.createDataFrame(rows, "document_id string, page int, kind string, text string")).collect()
+    assert {r["page"]: [p["line_no"] for p in r["problems"]] for r in out} == {1: list(range(1, 11)), 2: list(range(1, 11)), 3: []}
