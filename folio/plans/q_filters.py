@@ -53,7 +53,7 @@ def filter_signer(s, d):
     " UNION SELECT document_id FROM w WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' services corp ')) SELECT document_id FROM documents WHERE document_id IN (SELECT document_id FROM p)"
 )
 def filter_party(s, d):
-    return O.with_party(M.documents(s, d), table(s, d, "entities"), M.units(s, d), "Services Corp").select("document_id")
+    return O.with_party(M.documents(s, d), table(s, d, "entities"), M.index(s, d).phrase("Services Corp"), "Services Corp").select("document_id")
 
 
 @query(f"WITH {M.FIELDS_SQL} SELECT document_id FROM docs WHERE day BETWEEN DATE '1995-01-01' AND DATE '1995-03-31'")
