@@ -308,10 +308,12 @@ def link_spellings(names: DataFrame) -> DataFrame:
                         places += [place] * len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.uint64()).view(pa.int64()), pa.array(places, pa.int64())], ["key", "place"])
 
-        return forms.select("place", "form").mapInArrow(run, "key long, place long")
+        # Forms are few bytes but many keys: they are spread before keys are made, and the keys are never broadcast.
+        spread = forms.select("place", "form").repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
+        return spread.mapInArrow(run, "key long, place long")
 
     a, b = keyed(False).withColumnRenamed("place", "place_v"), keyed(True).withColumnRenamed("place", "place_c")
-    met = materialize(a.join(b, "key").where("place_v < place_c").select("place_v", "place_c").distinct())
+    met = materialize(a.join(b.hint("merge"), "key").where("place_v < place_c").select("place_v", "place_c").distinct())
     pairs = met.join(forms.select(F.col("place").alias("place_v"), F.col("form").alias("v")), "place_v").join(
         forms.select(F.col("place").alias("place_c"), F.col("form").alias("c"), F.col("weight").alias("w")), "place_c"
     ).select("v", "c", "w")
